@@ -39,13 +39,22 @@ def enrich_with_customers(
     return skew_join(transactions, single, ["customer_id"], how, salt_on=["transaction_id"])
 
 
-def add_customer_fields(results: DataFrame, customers: DataFrame, fields: Sequence[str], order: Sequence = ()) -> DataFrame:
-    """Customer attributes on aggregates or alerts that lack them."""
+def add_customer_fields(
+    results: DataFrame,
+    customers: DataFrame,
+    fields: Sequence[str],
+    order: Sequence = (),
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """Customer attributes on aggregates or alerts that lack them.
+
+    Aggregates and alerts have few rows per customer, so nothing is salted unless ``hot`` is given.
+    """
     wanted = [name for name in fields if name not in results.columns and name in customers.columns]
     if not wanted:
         return results
     single = first_per_key(customers, ["customer_id"], order).select("customer_id", *wanted)
-    return skew_join(results, single, ["customer_id"], "left", salt_on=results.columns[:3])
+    return skew_join(results, single, ["customer_id"], "left", salt_on=results.columns, hot=hot)
 
 
 def scenario_names(runs: DataFrame, scenarios: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from txnwatch.functions.rows import one_row
 from txnwatch.operators.skew import skew_join
 
 # Every accepted operator spelling.
@@ -238,11 +239,9 @@ def preview_grouped(transactions: DataFrame, customers: DataFrame, filters: Sequ
         F.sum("_hit").alias("matched_transactions"),
         F.count_if((F.col("_hit") > 0) & F.col("customer_id").isNotNull()).alias("matched_customers"),
         F.sum("_all").alias("total_transactions"),
-        F.lit(0).cast("long").alias("total_customers"),
     )
-    others = [F.lit(0).cast("long").alias(c) for c in counts.columns[:3]]
-    totals = counts.unionByName(customers.agg(F.count(F.lit(1)).alias("total_customers")).select(*others, "total_customers"))
-    summed = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns])
+    both = one_row([counts, customers.agg(F.count(F.lit(1)).alias("total_customers"))])
+    summed = both.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in both.columns])
     share = F.round(F.try_divide(F.col("matched_transactions") * 100.0, F.col("total_transactions")), 2)
     return summed.withColumn("match_percentage", F.coalesce(share, F.lit(0.0)))
 
