@@ -17,6 +17,7 @@ from txnwatch.operators.refine import exclusion_log, refine
 from txnwatch.plans.grouped import grouped_alert_links, grouped_alerts
 from txnwatch.plans.peak import peak_alerts, peak_links
 from txnwatch.rules import PEAK, Rule, RuleError, make_rule
+from txnwatch.session import checkpoint_folder
 
 COMMON = [
     "alert_id", "run_id", "scenario_id", "scenario_name", "scenario_description", "customer_id", "customer_name",
@@ -95,7 +96,7 @@ def run_rules(
     """Alerts of all rules; a rule that cannot be read contributes nothing and is reported.
 
     The run's mapping and date range apply once (B4, B19), a rule's own mapping when it uses a field
-    (B3). Everything stays lazy except link numbering, which writes one checkpoint per rule.
+    (B3). Without links everything stays lazy; with links, alerts and link numbers are checkpointed.
     """
     txns = in_date_range(map_columns(transactions, mapping), start, end)
     people = map_columns(customers, mapping)
@@ -107,6 +108,10 @@ def run_rules(
             rejected[scenario_id] = str(error)
             continue
         marked = refined_alerts(txns, people, rule, run_id, whitelist)
+        if with_links:
+            # Alerts feed three tables; they are computed once and kept in the shared checkpoint folder.
+            checkpoint_folder(marked.sparkSession)
+            marked = marked.checkpoint()
         alerts.append(common_alerts(marked))
         if with_links:
             links.append(contributions(rule_links(txns, people, marked, rule)))

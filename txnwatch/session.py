@@ -16,6 +16,7 @@ def build_session(app: str = "txnwatch", cpus: int | None = None) -> SparkSessio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if cpus:
