@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from catalog.base import Tables, query
 from txnwatch.operators.compare import customer_counts, customer_sets
 from txnwatch.operators.enrich import add_customer_fields, enrich_with_customers, linked_transactions, scenario_names
-from txnwatch.operators.refine import alerts_with_keywords, lookback_pairs, verified_names
+from txnwatch.operators.refine import alerts_with_keywords, lookback, verified_names
 from txnwatch.rules import customer_fields_of, make_rule
 
 
@@ -74,11 +74,14 @@ def whitelist(t: Tables) -> DataFrame:
 
 @query(
     "c7_lookback",
-    """select a.alert_id, t.transaction_id from old a join txn t on a.customer_id = t.customer_id
-       and t.transaction_date between a.alert_date - interval 30 day and a.alert_date""",
+    """select a.alert_id, a.customer_id, count(t.transaction_id) as lookback_transactions,
+              cast(coalesce(sum(cast(transaction_amount as decimal(18,2))), 0) as double) as lookback_amount,
+              min(t.transaction_date) as lookback_first, max(t.transaction_date) as lookback_last
+       from old a left join txn t on a.customer_id = t.customer_id and t.transaction_date between a.alert_date - interval 30 day and a.alert_date
+       group by a.alert_id, a.customer_id""",
 )
-def lookback(t: Tables) -> DataFrame:
-    return lookback_pairs(t.old, t.txn).select("alert_id", "transaction_id")
+def lookback_summary(t: Tables) -> DataFrame:
+    return lookback(t.old, t.txn)
 
 
 @query(

@@ -97,7 +97,7 @@ def diff_grouped(
     baseline: DataFrame, refined: DataFrame, links: DataFrame, transactions: DataFrame, limit: int | None = 50
 ) -> DataFrame:
     """Customers without alerts in the refined run: their alerts, linked amount, top score and scenarios."""
-    gone = baseline.join(refined.select("customer_id").distinct(), "customer_id", "left_anti")
+    gone = skew_join(baseline, refined.select("customer_id").distinct(), ["customer_id"], "left_anti", salt_on=["alert_id"])
     by_class = F.lit(DEFAULT_SCORE)
     for name, score in CLASS_SCORE.items():
         by_class = F.when(F.upper("risk_classification") == name, score).otherwise(by_class)
@@ -112,7 +112,7 @@ def diff_grouped(
     owners = gone.select("alert_id", "customer_id")
     kept = skew_join(links.select("alert_id", "transaction_id"), owners, ["alert_id"], "inner", salt_on=["transaction_id"])
     totals = (
-        kept.join(amounts, "transaction_id", "inner")
+        skew_join(kept, amounts, ["transaction_id"], "inner", salt_on=["alert_id"])
         .groupBy("customer_id")
         .agg(F.sum("_amount").cast("double").alias("_total"))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from txnwatch.operators.skew import skew_join
+from txnwatch.operators.skew import UNKNOWN, skew_join
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence = ()) -> DataFrame:
@@ -44,11 +44,11 @@ def add_customer_fields(
     customers: DataFrame,
     fields: Sequence[str],
     order: Sequence = (),
-    hot: DataFrame | None = None,
+    hot: DataFrame | None | object = UNKNOWN,
 ) -> DataFrame:
     """Customer attributes on aggregates or alerts that lack them.
 
-    Aggregates and alerts have few rows per customer, so nothing is salted unless ``hot`` is given.
+    ``hot`` may hand over the customers with many rows; None says there are none.
     """
     wanted = [name for name in fields if name not in results.columns and name in customers.columns]
     if not wanted:
@@ -63,7 +63,7 @@ def scenario_names(runs: DataFrame, scenarios: DataFrame) -> DataFrame:
     A run lists a handful of scenarios, so gathering them again per run is bounded by that list.
     """
     listed = runs.select("run_id", F.posexplode("scenarios_run").alias("_place", "scenario_id"))
-    named = listed.join(scenarios.select("scenario_id", "scenario_name"), "scenario_id", "left")
+    named = skew_join(listed, scenarios.select("scenario_id", "scenario_name"), ["scenario_id"], "left", salt_on=["run_id"])
     gathered = named.groupBy("run_id").agg(
         F.array_sort(
             F.collect_list(F.struct("_place", F.coalesce("scenario_name", "scenario_id").alias("name")))
@@ -76,5 +76,5 @@ def scenario_names(runs: DataFrame, scenarios: DataFrame) -> DataFrame:
 
 def linked_transactions(alerts: DataFrame, links: DataFrame, transactions: DataFrame) -> DataFrame:
     """C14: alerts with the transactions linked to them."""
-    with_rows = links.join(transactions, "transaction_id", "inner")
+    with_rows = skew_join(links, transactions, ["transaction_id"], "inner", salt_on=["alert_id"])
     return skew_join(with_rows, alerts, ["alert_id"], "inner", salt_on=["transaction_id"])

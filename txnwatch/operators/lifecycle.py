@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.functions.rows import one_row
-from txnwatch.operators.skew import skew_join
+from txnwatch.operators.skew import list_join, skew_join
 
 DEFAULT_HOURS = 48
 LONGEST_HOURS = 168
@@ -40,7 +40,7 @@ def extend_expiry(uploads: DataFrame, upload_id: str, hours: int, now: Any) -> D
 def propagate_expiry(rows: DataFrame, uploads: DataFrame) -> DataFrame:
     """Child rows take the expiry of their upload; rows of unknown uploads keep theirs."""
     new = uploads.select("upload_id", F.col("expires_at").alias("_new"))
-    joined = skew_join(rows, new, ["upload_id"], "left")
+    joined = list_join(rows, new, ["upload_id"], "left")
     return joined.withColumn("expires_at", F.coalesce("_new", "expires_at")).select(*rows.columns)
 
 
@@ -57,7 +57,7 @@ def cleanup(uploads: DataFrame, transactions: DataFrame, customers: DataFrame, a
     """
     gone = expired(uploads, now).select("upload_id").distinct()
     people = _affected(customers, gone)
-    marked = alerts.join(people.withColumn("_gone", F.lit(True)), "customer_id", "left")
+    marked = skew_join(alerts, people.withColumn("_gone", F.lit(True)), ["customer_id"], "left")
     hit = F.coalesce(F.col("_gone"), F.lit(False)) & ~F.col("is_anonymized")
     state = {
         "customer_name": F.when(hit, F.concat(F.lit("ANONYMIZED-"), F.substring("customer_id", 1, 8))).otherwise(F.col("customer_name")),
@@ -75,14 +75,14 @@ def cleanup(uploads: DataFrame, transactions: DataFrame, customers: DataFrame, a
     status = F.when((F.col("status") == "active") & (F.col("expires_at") < _clock(now)), "expired").otherwise(F.col("status"))
     return {
         "alerts": marked.withColumns(state).drop("_gone"),
-        "transactions": skew_join(transactions, gone, ["upload_id"], "left_anti"),
-        "customers": skew_join(customers, gone, ["upload_id"], "left_anti"),
+        "transactions": list_join(transactions, gone, ["upload_id"], "left_anti"),
+        "customers": list_join(customers, gone, ["upload_id"], "left_anti"),
         "uploads": uploads.withColumn("status", status),
     }
 
 
 def _affected(customers: DataFrame, gone: DataFrame) -> DataFrame:
-    return skew_join(customers, gone, ["upload_id"], "left_semi").select("customer_id").distinct()
+    return list_join(customers, gone, ["upload_id"]).select("customer_id").distinct()
 
 
 def cleanup_counts(uploads: DataFrame, transactions: DataFrame, customers: DataFrame, alerts: DataFrame, now: Any) -> DataFrame:

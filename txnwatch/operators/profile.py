@@ -91,11 +91,12 @@ def field_metadata(df: DataFrame, fields: Sequence[str] | None = None) -> DataFr
     kinds = field_types(counts)
     place = F.row_number().over(W.partitionBy("field_name").orderBy("field_value"))
     # Each task passes on ten values per field, so this stays small however many values a field has.
+    # Counts travel along so that both uses of ``counts`` read one and the same shuffle.
     samples = (
-        counts.select("field_name", "field_value", place.alias("_place"))
+        counts.withColumn("_place", place)
         .filter(F.col("_place") <= SAMPLES)
         .groupBy("field_name")
-        .agg(F.array_sort(F.collect_list("field_value")).alias("sample_values"))
+        .agg(F.array_sort(F.collect_list(F.struct("field_value", "value_count")))["field_value"].alias("sample_values"))
     )
     listed = F.explode(F.array(*[F.lit(name) for name in names])).alias("field_name")
     totals = df.agg(F.count(F.lit(1)).alias("total_records")).select(listed, "total_records")
@@ -121,8 +122,8 @@ def field_value_index(df: DataFrame, fields: Sequence[str] | None = None, below:
     totals = df.agg(F.count(F.lit(1)).alias("_total")).select(listed, "_total")
     small = (
         counts.groupBy("field_name")
-        .agg(F.count(F.lit(1)).alias("_distinct"))
-        .filter(F.col("_distinct") < below)
+        .agg(F.count(F.lit(1)).alias("_distinct"), F.sum("value_count").alias("_filled"))
+        .filter((F.col("_distinct") < below) & (F.col("_filled") > 0))
         .join(totals, "field_name")
     )
     # One row per column of the table: always small enough to broadcast.

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.functions.text import col
-from txnwatch.operators.skew import next_after, skew_join
-from txnwatch.operators.windows import AMOUNT, DAY, in_trailing_window, micros
+from txnwatch.operators.skew import hot_groups, next_after, skew_join, sliding
+from txnwatch.operators.windows import AMOUNT, DAY, micros
 from txnwatch.rules import Refinement
 
 # Words that mark a narrative; the first kind with a hit wins.
@@ -107,20 +107,48 @@ def alerts_with_keywords(
 ) -> DataFrame:
     """Alerts whose customer has any transaction that mentions the events."""
     customers = transactions.filter(keyword_hit(narrative, events)).select("customer_id").distinct()
-    return alerts.join(customers, "customer_id", "left_semi")
+    return skew_join(alerts, customers, ["customer_id"], "left_semi", salt_on=["alert_id"])
 
 
-def lookback_pairs(alerts: DataFrame, transactions: DataFrame, days: int = LOOKBACK_DAYS, ts: str = "transaction_date") -> DataFrame:
-    """Each alert with its customer's transactions of the ``days`` up to the alert, both ends included.
+def lookback(
+    alerts: DataFrame,
+    transactions: DataFrame,
+    days: int = LOOKBACK_DAYS,
+    amount: str = "transaction_amount",
+    ts: str = "transaction_date",
+) -> DataFrame:
+    """What each alert's customer did in the ``days`` up to the alert, both ends included.
 
-    This lists the pairs for inspection; suppression itself never forms them.
+    Gives count, total, and first and last date of those transactions. Alerts and transactions share
+    one time axis per customer and are evaluated as trailing windows, so no alert is paired with
+    every transaction of its lookback.
     """
-    spans = alerts.select(
-        "alert_id", "customer_id", "alert_date",
-        (F.col("alert_date").cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS")).alias("window_start"),
-        F.col("alert_date").cast("timestamp").alias("window_end"),
+    value = F.coalesce(F.col(amount).try_cast(AMOUNT), F.lit(0).cast(AMOUNT))
+    at = micros(ts)
+    rows = transactions.select("customer_id", at.alias("_at"), value.alias("_v"), at.alias("_seen"), F.lit(1).alias("_n"))
+    marks = alerts.select("customer_id", micros("alert_date").alias("_at")).withColumns(
+        {"_v": F.lit(0).cast(AMOUNT), "_seen": F.lit(None).cast("long"), "_n": F.lit(0)}
+    )
+    both = rows.unionByName(marks).dropna(subset=["customer_id", "_at"])
+    nodes = (
+        both.groupBy("customer_id", "_at")
+        .agg(F.sum("_v").alias("total"), F.sum("_n").alias("n"), F.min("_seen").alias("first"), F.max("_seen").alias("last"))
+        .withColumn("_back", -F.col("_at"))
+    )
+    aggs = {"w_total": ("sum", "total"), "w_n": ("sum", "n"), "w_first": ("min", "first"), "w_last": ("max", "last")}
+    source = both.select("customer_id", (-F.col("_at")).alias("_back"))
+    seen = sliding(nodes, ["customer_id"], "_back", days * DAY, aggs, source=source)
+    zero = F.lit(0).cast(AMOUNT)
+    values = seen.select(
+        "customer_id",
+        "_at",
+        (F.col("n") + F.coalesce("w_n", F.lit(0))).alias("lookback_transactions"),
+        (F.col("total") + F.coalesce("w_total", zero)).cast("double").alias("lookback_amount"),
+        F.timestamp_micros(F.least("first", "w_first")).alias("lookback_first"),
+        F.timestamp_micros(F.greatest("last", "w_last")).alias("lookback_last"),
     )
-    return in_trailing_window(transactions, spans, days * DAY, ["customer_id"], ts)
+    keyed = alerts.select("alert_id", "customer_id", micros("alert_date").alias("_at"))
+    return skew_join(keyed, values, ["customer_id", "_at"], "inner", salt_on=["alert_id"]).drop("_at")
 
 
 def refine(
@@ -181,7 +209,12 @@ def refine(
         micros("alert_date").alias("_end"),
         (micros("alert_date") - F.lit(lookback_days * DAY)).alias("_start"),
     )
-    found = next_after(probes, items, ["customer_id", "_rule"], "_start", "_at", "_first", "_item")
+    # Hot customers are counted on the narratives alone, before any join.
+    talkers = transactions.filter(event_type(narrative, crypto=crypto).isNotNull()).select("customer_id")
+    hot = hot_groups(talkers, ["customer_id"])
+    if hot is not None:
+        hot = hot.withColumn("_rule", F.explode(F.sequence(F.lit(0), F.lit(len(active) - 1))))
+    found = next_after(probes, items, ["customer_id", "_rule"], "_start", "_at", "_first", "_item", hot)
     first = (
         found.filter(F.col("_item.at") <= F.col("_end"))
         .groupBy("alert_id")

@@ -10,6 +10,7 @@ from txnwatch.functions.scoring import gap_level
 from txnwatch.functions.text import money, plain
 from txnwatch.operators.enrich import first_per_key
 from txnwatch.operators.refine import with_verification
+from txnwatch.operators.skew import skew_join
 from txnwatch.rules import Refinement
 
 # Points per finding.
@@ -57,7 +58,7 @@ def score_grouped(suppressed: DataFrame, profiles: DataFrame, whitelist: DataFra
     single = first_per_key(profiles, ["customer_id"]).select(
         "customer_id", "is_pep", "has_adverse_media", "high_risk_occupation", "previous_sar_count"
     )
-    rows = checked.join(single, "customer_id", "left")
+    rows = skew_join(checked, single, ["customer_id"], "left", salt_on=["alert_id"])
     expected = F.when(named, kind)
     sars = F.coalesce(F.col("previous_sar_count"), F.lit(0))
     findings = [
@@ -84,7 +85,8 @@ def _truthy(column: Column) -> Column:
 def score_peak(suppressed: DataFrame, customers: DataFrame) -> DataFrame:
     """Score and findings per suppressed alert from the customer's own fields."""
     flags = [c for c in ("is_pep", "pep_flag", "adverse_media", "risk_rating") if c in customers.columns]
-    rows = suppressed.join(first_per_key(customers.select("customer_id", *flags), ["customer_id"]), "customer_id", "left")
+    single = first_per_key(customers.select("customer_id", *flags), ["customer_id"])
+    rows = skew_join(suppressed, single, ["customer_id"], "left", salt_on=["alert_id"])
     pep = F.lit(False)
     for name in ("is_pep", "pep_flag"):
         if name in flags:

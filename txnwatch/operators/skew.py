@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from txnwatch.session import checkpoint_folder
 
-# At most this many keys are treated as hot, so the list may always be broadcast. A key beyond the
-# first 1000 by size holds less than a thousandth of the rows, which one task can sort and spill.
-HOT_GROUPS = 1000
-MAX_SALTS = 1024
+# At most this many keys are treated as hot, so the list is small enough to collect and broadcast. A key
+# beyond the first 20,000 by size holds less than 1/20,000 of the rows, which one task can sort and spill.
+HOT_GROUPS = 20_000
+MAX_SALTS = 8192
+# A list of at most this many rows is broadcast after its size has been counted.
+SHORT_LIST = 100_000
 CHUNKS_PER_WINDOW = 1 << 16
 # Chunk width for timelines without a natural window: 2^32 microseconds, about 71 minutes.
 TIMELINE_CHUNK = 1 << 32
@@ -104,6 +106,17 @@ def skew_join(
     return left.join(right, keys + ["_salt"], how).drop("_salt")
 
 
+def list_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left_semi") -> DataFrame:
+    """Join with what is usually a short list, such as uploads or runs.
+
+    The list is counted up to a bound: a short one is broadcast, so ``big`` is not shuffled at all; a
+    longer one goes through ``skew_join``.
+    """
+    if small.limit(SHORT_LIST + 1).count() <= SHORT_LIST:
+        return big.join(F.broadcast(small), list(keys), how)
+    return skew_join(big, small, keys, how)
+
+
 def running(
     df: DataFrame,
     group: Sequence[str],
@@ -217,11 +230,13 @@ def next_after(
     item_at: str,
     item: str,
     out: str,
+    hot: DataFrame | None,
 ) -> DataFrame:
     """Attach to each probe the first item of its group at or after ``probe_at``.
 
     ``item`` is a struct column whose first field orders items (it must begin with the position).
     Probes and items are read once in descending order with a running minimum, so no pairs are formed.
+    ``hot`` names the groups with many items or probes.
     """
     group = list(group)
     payload = [c for c in probes.columns if c not in group]
@@ -241,7 +256,7 @@ def next_after(
         [F.desc("_probe_at"), F.col("_kind")],
         {"_found": ("min", "_item")},
         chunk=-whole(F.col("_probe_at"), TIMELINE_CHUNK),
-        hot=hot_groups(both, group),
+        hot=hot,
     )
     return found.filter(F.col("_kind") == 1).select(*group, "_probe.*", F.col("_found").alias(out))
 

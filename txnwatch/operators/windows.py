@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnwatch.operators.skew import skew_join, sliding, whole
+from txnwatch.operators.skew import hot_groups, skew_join, sliding, whole
 
 AMOUNT = "decimal(24,6)"
 DAY = 86_400_000_000
@@ -77,12 +77,14 @@ def peak_windows(
     function: str = "sum",
     value: str = "transaction_amount",
     ts: str = "transaction_date",
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Per customer, the window of ``days`` starting at a transaction with the largest aggregate.
 
     The best must be above zero and the earliest start wins ties; a customer without such a window
     gets value 0, no transactions, and the last transaction's date (L20). The alert date is the last
-    transaction inside the window (L21). ``days`` of 0 means 30 (L23).
+    transaction inside the window (L21). ``days`` of 0 means 30 (L23). ``counted`` may give a wider but
+    cheaper table to find hot customers in, such as the transactions before customer filters.
     """
     width = (days or 30) * DAY
     rows = transactions.select(
@@ -103,7 +105,9 @@ def peak_windows(
         width,
         aggs,
         tie="v" if function in ("avg", "min") else None,
-        source=rows.select("customer_id", "at"),
+        source=(counted if counted is not None else transactions)
+        .select("customer_id", micros(ts).alias("at"))
+        .dropna(),
     )
     count = F.col("own_n") + F.coalesce(F.col("w_n"), F.lit(0))
     total = F.col("own") + F.coalesce(F.col("w_total"), F.lit(0).cast(AMOUNT)) if "w_total" in aggs else None
@@ -211,7 +215,13 @@ def trailing_rows(
     return skew_join(rows, values, [*group, "_at"], "inner", salt_on=["transaction_id"]).drop("_at")
 
 
-def in_peak_window(transactions: DataFrame, windows: DataFrame, value: str = "transaction_amount", ts: str = "transaction_date") -> DataFrame:
+def in_peak_window(
+    transactions: DataFrame,
+    windows: DataFrame,
+    value: str = "transaction_amount",
+    ts: str = "transaction_date",
+    counted: DataFrame | None = None,
+) -> DataFrame:
     """Transactions that belong to the peak window of their customer, one window per customer."""
     v = number(value)
     starts = windows.filter(F.col("transaction_count") > 0)
@@ -220,7 +230,8 @@ def in_peak_window(transactions: DataFrame, windows: DataFrame, value: str = "tr
     same = (at == F.col("window_start")) & (
         (v > F.col("start_value")) | ((v == F.col("start_value")) & (F.col("transaction_id") >= F.col("start_id")))
     )
-    joined = skew_join(transactions, starts, ["customer_id"], "inner", salt_on=["transaction_id"])
+    hot = hot_groups(counted if counted is not None else transactions, ["customer_id"])
+    joined = skew_join(transactions, starts, ["customer_id"], "inner", salt_on=["transaction_id"], hot=hot)
     return joined.filter((at <= F.col("window_end")) & (later | same))
 
 

@@ -33,7 +33,7 @@ def _customer_columns(rule: Rule, customers: DataFrame) -> list[str]:
 def scored_windows(transactions: DataFrame, customers: DataFrame, rule: Rule) -> DataFrame:
     """Peak windows that reach the threshold, with the customer columns alerts need."""
     kept = apply_filters(transactions, customers, rule.filters, "peak", rule.mapping)
-    windows = peak_windows(kept, rule.window_days, rule.function, _value_column(rule, transactions))
+    windows = peak_windows(kept, rule.window_days, rule.function, _value_column(rule, transactions), counted=transactions)
     if rule.min_transactions is not None:
         windows = windows.filter(F.col("transaction_count") >= rule.min_transactions)
     columns = _customer_columns(rule, customers)
@@ -84,4 +84,4 @@ def peak_links(transactions: DataFrame, customers: DataFrame, alerts: DataFrame,
     marks = alerts.select(
         "alert_id", "customer_id", "window_start", "window_end", "start_value", "start_id", "transaction_count"
     )
-    return in_peak_window(kept, marks, _value_column(rule, transactions))
+    return in_peak_window(kept, marks, _value_column(rule, transactions), counted=transactions)

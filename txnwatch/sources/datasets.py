@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from txnwatch.operators.skew import skew_join
+from txnwatch.operators.skew import list_join, skew_join
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], sequence: str | Column) -> DataFrame:
@@ -53,7 +53,7 @@ def referential_check(transactions: DataFrame, customers: DataFrame) -> DataFram
 def of_user(df: DataFrame, uploads: DataFrame, user_id: str) -> DataFrame:
     """Rows whose upload belongs to the user."""
     own = uploads.filter(F.col("user_id") == user_id).select("upload_id").distinct()
-    return skew_join(df, own, ["upload_id"], "left_semi")
+    return list_join(df, own, ["upload_id"])
 
 
 def latest_upload(
@@ -84,14 +84,14 @@ def without_upload(tables: Mapping[str, DataFrame], upload_id: str, keep: Sequen
     alerts = tables.get("alerts")
     gone_alerts = None
     if gone_runs is not None and alerts is not None:
-        gone_alerts = skew_join(alerts, gone_runs, ["run_id"], "left_semi").select("alert_id")
+        gone_alerts = list_join(alerts, gone_runs, ["run_id"]).select("alert_id")
     for name, df in tables.items():
         if name in keep:
             continue
         if "upload_id" in df.columns:
             df = df.filter(~F.col("upload_id").eqNullSafe(F.lit(upload_id)))
         elif name == "alerts" and gone_runs is not None:
-            df = skew_join(df, gone_runs, ["run_id"], "left_anti")
+            df = list_join(df, gone_runs, ["run_id"], "left_anti")
         if name in ("alert_transactions", "alert_exclusion_logs") and gone_alerts is not None:
             df = skew_join(df, gone_alerts, ["alert_id"], "left_anti")
         result[name] = df
