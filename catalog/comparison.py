@@ -64,7 +64,7 @@ REMOVED = """with gone as (select * from old where customer_id not in (select cu
 def removed(t: Tables, limit: int | None) -> DataFrame:
     rows = t.line.select("alert_id", "transaction_id", "transaction_amount")
     links = rows.select("alert_id", "transaction_id")
-    done = compare.diff_grouped(t.old, t.new, links.distinct(), rows.select("transaction_id", "transaction_amount"), limit)
+    done = compare.diff_grouped(t.old, t.new, links, rows.select("transaction_id", "transaction_amount"), limit)
     return done.withColumn("scenarios", F.array_join("scenarios", ","))
 
 

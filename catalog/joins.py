@@ -146,6 +146,6 @@ def names(t: Tables) -> DataFrame:
     """select l.transaction_id, a.alert_id, a.customer_id, l.transaction_amount from old a join line l on a.alert_id = l.alert_id""",
 )
 def traceability(t: Tables) -> DataFrame:
-    links = t.line.select("alert_id", "transaction_id").distinct()
+    links = t.line.select("alert_id", "transaction_id")
     rows = t.line.select("transaction_id", "transaction_amount")
     return linked_transactions(t.old.select("alert_id", "customer_id"), links, rows)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.operators.skew import numbered, skew_join, whole
-from txnwatch.operators.windows import AMOUNT, micros
+from txnwatch.operators.windows import AMOUNT, micros, number
 from txnwatch.rules import TimeWindow
 
 
@@ -81,19 +81,22 @@ def grouped_links(
 
 def contributions(links: DataFrame, amount: str = "transaction_amount", order: Sequence[str] = ("transaction_date", "transaction_id")) -> DataFrame:
     """Share of each transaction in its alert's total (0 when the total is not positive) and its place 1..n."""
-    value = F.coalesce(F.col(amount).try_cast(AMOUNT), F.lit(0).cast(AMOUNT))
-    totals = links.groupBy("alert_id").agg(F.sum(value).cast("double").alias("_total"))
-    shared = skew_join(links, totals, ["alert_id"], "inner", salt_on=["transaction_id"])
-    share = F.round(value.cast("double") * 100 / F.col("_total"), 2)
-    rows = shared.select(
+    rows = links.select(
         "alert_id",
         "transaction_id",
         *[c for c in ("upload_id",) if c in links.columns],
         *[c for c in order if c not in ("alert_id", "transaction_id")],
-        F.when(F.col("_total") > 0, share).otherwise(F.lit(0.0)).cast("decimal(5,2)").alias("contribution_percentage"),
+        number(amount).alias("_value"),
+    )
+    placed = numbered(rows, ["alert_id"], list(order), "sequence_order", {"_total": "_value"})
+    total = F.col("_total").cast("double")
+    share = F.round(F.col("_value").cast("double") * 100 / total, 2)
+    return placed.select(
+        *[c for c in rows.columns if c != "_value"],
+        F.when(total > 0, share).otherwise(F.lit(0.0)).cast("decimal(5,2)").alias("contribution_percentage"),
         F.lit(False).alias("is_primary_trigger"),
+        "sequence_order",
     )
-    return numbered(rows, ["alert_id"], list(order), "sequence_order")
 
 
 def beneficiary_history(

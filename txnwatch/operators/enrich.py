@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from txnwatch.operators.skew import UNKNOWN, skew_join
+from txnwatch.operators.skew import UNKNOWN, hot_groups, skew_join
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence = ()) -> DataFrame:
@@ -27,6 +27,7 @@ def enrich_with_customers(
     fields: Sequence[str],
     order: Sequence = (),
     how: str = "left",
+    hot: DataFrame | None | object = UNKNOWN,
 ) -> DataFrame:
     """Transactions with the named customer columns.
 
@@ -36,7 +37,7 @@ def enrich_with_customers(
         "customer_id",
         *[F.col(name).alias(f"{name}_cust" if name in transactions.columns else name) for name in fields],
     )
-    return skew_join(transactions, single, ["customer_id"], how, salt_on=["transaction_id"])
+    return skew_join(transactions, single, ["customer_id"], how, salt_on=["transaction_id"], hot=hot)
 
 
 def add_customer_fields(
@@ -75,6 +76,11 @@ def scenario_names(runs: DataFrame, scenarios: DataFrame) -> DataFrame:
 
 
 def linked_transactions(alerts: DataFrame, links: DataFrame, transactions: DataFrame) -> DataFrame:
-    """C14: alerts with the transactions linked to them."""
-    with_rows = skew_join(links, transactions, ["transaction_id"], "inner", salt_on=["alert_id"])
-    return skew_join(with_rows, alerts, ["alert_id"], "inner", salt_on=["transaction_id"])
+    """C14: alerts with the transactions linked to them.
+
+    One transaction is linked by few alerts (rules times overlapping windows); one alert may link very
+    many, so alerts are counted on the links and salted.
+    """
+    hot = hot_groups(links, ["alert_id"])
+    with_rows = links.join(transactions, "transaction_id", "inner")
+    return skew_join(with_rows, alerts, ["alert_id"], "inner", salt_on=["transaction_id"], hot=hot)

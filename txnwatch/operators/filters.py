@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnwatch.functions.rows import one_row
-from txnwatch.operators.skew import skew_join
+from txnwatch.operators.skew import UNKNOWN, skew_join
 
 # Every accepted operator spelling.
 OPERATORS = {
@@ -178,6 +178,7 @@ def apply_filters(
     filters: Any,
     profile: str,
     mapping: Mapping[str, str] | None = None,
+    hot: DataFrame | None | object = UNKNOWN,
 ) -> DataFrame:
     """Transactions passing all filters of a rule.
 
@@ -197,7 +198,7 @@ def apply_filters(
     kept = transactions.filter(all_of(tests))
     if customer_tests:
         keys = customers.filter(all_of(customer_tests)).select("customer_id").distinct()
-        kept = skew_join(kept, keys, ["customer_id"], "left_semi", salt_on=["transaction_id"])
+        kept = skew_join(kept, keys, ["customer_id"], "left_semi", salt_on=["transaction_id"], hot=hot)
     return kept
 
 

@@ -9,6 +9,7 @@ or window. Nothing is dropped or approximated either way.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +62,34 @@ def hot_groups(df: DataFrame, keys: Sequence[str], floor: int | None = None) ->
     return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
+def hot_blocks(
+    source: DataFrame, group: Sequence[str], block: Column, hot: DataFrame | None
+) -> DataFrame | None:
+    """Hot (group, ``_block``) pairs for windows that reach from one block into the next.
+
+    Only rows of hot groups are counted, so without hot groups nothing runs. A block shares its work
+    with the block after it, hence both are hot when one holds half the bound.
+    """
+    if hot is None:
+        return None
+    among = source.join(F.broadcast(hot.drop("_pieces")), list(group), "left_semi").withColumn("_block", block)
+    found = hot_groups(among, [*group, "_block"], max(1, hot_floor(source.sparkSession) // 2))
+    if found is None:
+        return None
+    both = found.select(*group, F.explode(F.array(F.col("_block"), F.col("_block") + 1)).alias("_block"), "_pieces")
+    return both.groupBy(*group, "_block").agg(F.max("_pieces").alias("_pieces"))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder and read back.
+
+    Later steps start from files every executor can reach, with fixed contents and known size.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def mark_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(F.broadcast(hot), list(keys), "left")
 
@@ -167,6 +196,7 @@ def sliding(
     aggs: Mapping[str, tuple[str, str]],
     tie: str | None = None,
     source: DataFrame | None = None,
+    hot: DataFrame | None | object = UNKNOWN,
 ) -> DataFrame:
     """For every node, aggregate the *other* nodes of its group in ``[at, at + width]``.
 
@@ -174,15 +204,15 @@ def sliding(
     must hold one node per position. The axis is cut into blocks of ``width``: a window is the end
     of one block plus the start of the next, so two running passes replace a frame scan per row,
     and the work is linear in the nodes however long the windows are. ``source`` may give the raw
-    rows (group and ``at``) from which hot blocks are counted cheaply.
+    rows (group and ``at``) from which hot groups and blocks are counted cheaply, ``hot`` the hot groups
+    if they are known.
     """
     group = list(group)
     block = whole(F.col(at), width)
     blocked = group + ["_block"]
     counted = source if source is not None else nodes
-    hot = hot_groups(
-        counted.select(*group, F.explode(F.array(block, block + 1)).alias("_block")), blocked
-    )
+    groups = hot_groups(counted, group) if hot is UNKNOWN else hot
+    blocks = hot_blocks(counted, group, block, groups)
     step = max(1, -(-width // CHUNKS_PER_WINDOW))
     order = [F.desc(at)] + ([F.desc(tie)] if tie else [])
     tail = running(
@@ -191,7 +221,7 @@ def sliding(
         order,
         {f"_s_{out}": spec for out, spec in aggs.items()},
         chunk=-whole(F.col(at), step),
-        hot=hot,
+        hot=blocks,
         inclusive=False,
     )
     kind = F.col("_kind")
@@ -213,7 +243,7 @@ def sliding(
         [F.col("_probe_at"), F.col("_kind")],
         {f"_p_{out}": (fn, f"_n_{column}") for out, (fn, column) in aggs.items()},
         chunk=whole(F.col("_probe_at"), step),
-        hot=hot,
+        hot=blocks,
     )
     return head.filter(F.col("_kind") == 1).select(
         *group,
@@ -261,29 +291,36 @@ def next_after(
     return found.filter(F.col("_kind") == 1).select(*group, "_probe.*", F.col("_found").alias(out))
 
 
-def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+def numbered(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], out: str, totals: Mapping[str, str] | None = None
+) -> DataFrame:
     """Number the rows of each group 1..n along ``order`` (a total order), whatever the group size.
 
-    A range sort spreads even a single group over all tasks. The sorted rows are checkpointed once so
-    that partition bounds stay fixed; then each (group, partition) piece gets the count of the
-    pieces before it.
+    A range sort spreads even a single group over all tasks. The sorted rows are stored once so that
+    partition bounds stay fixed; then each (group, partition) piece gets the count of the
+    pieces before it. ``totals`` maps output to a column summed over the whole group on the way.
     """
+    totals = totals or {}
     group = list(group)
-    checkpoint_folder(df.sparkSession)
-    position = F.monotonically_increasing_id()
-    placed = (
+    placed = stored(
         df.orderBy(*group, *order)
-        .withColumn("_position", position)
-        .withColumn("_piece", F.shiftright(F.col("_position"), 33))
-        .checkpoint()
+        .withColumn("_position", F.monotonically_increasing_id())
+        .withColumn("_piece", F.shiftright(F.col("_position"), 33)),
+        "numbered",
     )
     pieces = placed.groupBy(*group, "_piece").agg(
-        F.min("_position").alias("_first"), F.count(F.lit(1)).alias("_size")
+        F.min("_position").alias("_first"),
+        F.count(F.lit(1)).alias("_size"),
+        *[F.sum(column).alias(f"_t_{name}") for name, column in totals.items()],
     )
     before = W.partitionBy(*group).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    entire = W.partitionBy(*group)
     offsets = pieces.select(
-        *group, "_piece", (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift")
+        *group,
+        "_piece",
+        (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
+        *[F.sum(f"_t_{name}").over(entire).alias(name) for name in totals],
     )
     # One (group, piece) is at most one sort partition, so this join needs no salt.
     joined = placed.join(offsets, [*group, "_piece"], "inner")
-    return joined.select(*df.columns, (F.col("_position") + F.col("_shift")).alias(out))
+    return joined.select(*df.columns, (F.col("_position") + F.col("_shift")).alias(out), *totals)

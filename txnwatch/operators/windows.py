@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnwatch.operators.skew import hot_groups, skew_join, sliding, whole
+from txnwatch.operators.enrich import first_per_key
+from txnwatch.operators.skew import UNKNOWN, hot_blocks, hot_groups, skew_join, sliding, whole
 
 AMOUNT = "decimal(24,6)"
 DAY = 86_400_000_000
@@ -34,40 +35,40 @@ def _peak_nodes(rows: DataFrame, function: str) -> DataFrame:
     Items are ordered by (time, value, id). Among items of one instant only one start can win for sum,
     count and max, so an instant is one node; avg and min need one node per instant and value. Per node:
     ``own``/``own_n`` what the window gains from its starting node, ``total``/``n``/``low``/``high`` what
-    the node gives to windows that started earlier, ``v``/``id`` the starting item.
+    the node gives to windows that started earlier, ``v`` the value of the starting item. Items of that
+    value all belong to the window, except where an instant has only losses: there a sum starts at the
+    very last item (``single``). Only numbers are aggregated, so the merge runs in hash maps.
     """
-    value, ident = F.col("v"), F.col("id")
-    everything = [
+    value = F.col("v")
+    keys = ["customer_id", "at", "v"] if function in ("avg", "min") else ["customer_id", "at"]
+    gain = value >= 0
+    nodes = rows.groupBy(*keys).agg(
         F.sum(value).alias("total"),
         F.count(F.lit(1)).alias("n"),
         F.min(value).alias("low"),
         F.max(value).alias("high"),
-    ]
-    if function in ("avg", "min"):
-        nodes = rows.groupBy("customer_id", "at", "v").agg(*everything, F.min(ident).alias("id"))
-        return nodes.withColumns({"own": F.col("total"), "own_n": F.col("n")})
-    first = F.min(F.struct(value, ident))
+        *(
+            [
+                F.sum(F.when(gain, value)).alias("gain"),
+                F.count_if(gain).alias("gains"),
+                F.min(F.when(gain, value)).alias("first_gain"),
+            ]
+            if function == "sum"
+            else []
+        ),
+    )
+    plain = [F.col(c) for c in ("customer_id", "at", "total", "n", "low", "high")]
     if function == "sum":
-        gain = value >= 0
-        nodes = rows.groupBy("customer_id", "at").agg(
-            *everything,
-            F.sum(F.when(gain, value)).alias("_gain"),
-            F.count_if(gain).alias("_gains"),
-            F.min(F.when(gain, F.struct(value, ident))).alias("_first_gain"),
-            F.max(F.struct(value, ident)).alias("_last"),
-        )
-        start = F.coalesce("_first_gain", "_last")
         return nodes.select(
-            "customer_id", "at", "total", "n", "low", "high",
-            F.coalesce(F.col("_gain"), F.col("high")).alias("own"),
-            F.greatest(F.col("_gains"), F.lit(1)).alias("own_n"),
-            start["v"].alias("v"), start["id"].alias("id"),
+            *plain,
+            F.coalesce(F.col("gain"), F.col("high")).alias("own"),
+            F.greatest(F.col("gains"), F.lit(1)).alias("own_n"),
+            F.coalesce("first_gain", "high").alias("v"),
+            (F.col("gains") == 0).alias("single"),
         )
-    nodes = rows.groupBy("customer_id", "at").agg(*everything, first.alias("_first"))
+    start = F.col("v") if "v" in keys else F.col("low")
     return nodes.select(
-        "customer_id", "at", "total", "n", "low", "high",
-        F.col("total").alias("own"), F.col("n").alias("own_n"),
-        F.col("_first.v").alias("v"), F.col("_first.id").alias("id"),
+        *plain, F.col("total").alias("own"), F.col("n").alias("own_n"), start.alias("v"), F.lit(False).alias("single")
     )
 
 
@@ -77,18 +78,18 @@ def peak_windows(
     function: str = "sum",
     value: str = "transaction_amount",
     ts: str = "transaction_date",
-    counted: DataFrame | None = None,
+    hot: DataFrame | None | object = UNKNOWN,
 ) -> DataFrame:
     """Per customer, the window of ``days`` starting at a transaction with the largest aggregate.
 
     The best must be above zero and the earliest start wins ties; a customer without such a window
     gets value 0, no transactions, and the last transaction's date (L20). The alert date is the last
-    transaction inside the window (L21). ``days`` of 0 means 30 (L23). ``counted`` may give a wider but
-    cheaper table to find hot customers in, such as the transactions before customer filters.
+    transaction inside the window (L21). ``days`` of 0 means 30 (L23). ``hot`` may hand over the hot
+    customers, if the caller has counted them.
     """
     width = (days or 30) * DAY
     rows = transactions.select(
-        "customer_id", micros(ts).alias("at"), number(value).alias("v"), F.col("transaction_id").alias("id")
+        "customer_id", micros(ts).alias("at"), number(value).alias("v")
     ).filter(F.col("customer_id").isNotNull() & F.col("at").isNotNull())
     nodes = _peak_nodes(rows, function)
     aggs = {"w_n": ("sum", "n"), "w_last": ("max", "at_seen")}
@@ -105,9 +106,8 @@ def peak_windows(
         width,
         aggs,
         tie="v" if function in ("avg", "min") else None,
-        source=(counted if counted is not None else transactions)
-        .select("customer_id", micros(ts).alias("at"))
-        .dropna(),
+        source=rows.select("customer_id", "at"),
+        hot=hot,
     )
     count = F.col("own_n") + F.coalesce(F.col("w_n"), F.lit(0))
     total = F.col("own") + F.coalesce(F.col("w_total"), F.lit(0).cast(AMOUNT)) if "w_total" in aggs else None
@@ -120,7 +120,7 @@ def peak_windows(
     }[function]()
     candidate = F.struct(
         result.alias("agg"), (-F.col("at")).alias("neg_at"), (-F.col("v")).alias("neg_v"),
-        count.alias("n"), F.greatest("at", "w_last").alias("last"), F.col("id").alias("id"),
+        count.alias("n"), F.greatest("at", "w_last").alias("last"), F.col("single").alias("single"),
     )
     best = seen.groupBy("customer_id").agg(
         F.max(F.when(result > 0, candidate)).alias("best"),
@@ -136,7 +136,7 @@ def peak_windows(
         F.timestamp_micros(width - F.col("best.neg_at")).alias("window_end"),
         F.timestamp_micros(F.coalesce(F.col("best.last"), F.col("last_at"))).alias("alert_date"),
         (-F.col("best.neg_v")).cast(AMOUNT).alias("start_value"),
-        F.col("best.id").alias("start_id"),
+        F.coalesce("best.single", F.lit(False)).alias("starts_at_last"),
         "customer_transactions",
         F.timestamp_micros("first_at").alias("first_date"),
         F.timestamp_micros("last_at").alias("last_date"),
@@ -150,6 +150,7 @@ def trailing_windows(
     group_by: Sequence[str] = ("customer_id",),
     value: str = "transaction_amount",
     ts: str = "transaction_date",
+    hot: DataFrame | None | object = UNKNOWN,
 ) -> DataFrame:
     """D6 per instant: the aggregate over ``[ts - width, ts]``, all transactions of the same instant included.
 
@@ -174,7 +175,7 @@ def trailing_windows(
         aggs["w_high"] = ("max", "high")
     if function == "min":
         aggs["w_low"] = ("min", "low")
-    seen = sliding(back, group, "_back", width, aggs, source=rows.select(*group, (-F.col("_at")).alias("_back")))
+    seen = sliding(back, group, "_back", width, aggs, source=rows.select(*group, (-F.col("_at")).alias("_back")), hot=hot)
     zero = F.lit(0).cast(AMOUNT)
     count = F.col("peers") + F.coalesce(F.col("w_n"), F.lit(0))
     if function in ("sum", "avg"):
@@ -220,19 +221,22 @@ def in_peak_window(
     windows: DataFrame,
     value: str = "transaction_amount",
     ts: str = "transaction_date",
-    counted: DataFrame | None = None,
+    hot: DataFrame | None | object = UNKNOWN,
 ) -> DataFrame:
     """Transactions that belong to the peak window of their customer, one window per customer."""
-    v = number(value)
     starts = windows.filter(F.col("transaction_count") > 0)
-    at = F.col(ts).cast("timestamp")
-    later = at > F.col("window_start")
-    same = (at == F.col("window_start")) & (
-        (v > F.col("start_value")) | ((v == F.col("start_value")) & (F.col("transaction_id") >= F.col("start_id")))
-    )
-    hot = hot_groups(counted if counted is not None else transactions, ["customer_id"])
     joined = skew_join(transactions, starts, ["customer_id"], "inner", salt_on=["transaction_id"], hot=hot)
-    return joined.filter((at <= F.col("window_end")) & (later | same))
+    v, at = number(value), F.col(ts).cast("timestamp")
+    first = at == F.col("window_start")
+    later = (at > F.col("window_start")) & (at <= F.col("window_end"))
+    inside = joined.filter(later | (first & (v >= F.col("start_value")) & ~F.col("starts_at_last")))
+    # A window that starts at the last of several equal losses takes only the one with the greatest id.
+    last = first_per_key(
+        joined.filter(first & (v == F.col("start_value")) & F.col("starts_at_last")),
+        ["customer_id"],
+        [F.desc("transaction_id")],
+    )
+    return inside.unionByName(last)
 
 
 def in_trailing_window(
@@ -241,6 +245,7 @@ def in_trailing_window(
     width: int,
     group_by: Sequence[str] = ("customer_id",),
     ts: str = "transaction_date",
+    hot: DataFrame | None | object = UNKNOWN,
 ) -> DataFrame:
     """Transactions inside the trailing windows of their alerts; overlapping windows repeat a transaction.
 
@@ -253,6 +258,8 @@ def in_trailing_window(
         "_block", F.explode(F.array_distinct(F.array(block(F.col("window_start")), block(F.col("window_end")))))
     )
     rows = transactions.withColumn("_block", block(F.col(ts)))
-    joined = skew_join(rows, spans, [*group, "_block"], "inner", salt_on=["transaction_id"])
+    groups = hot_groups(transactions, group) if hot is UNKNOWN else hot
+    blocks = hot_blocks(transactions, group, block(F.col(ts)), groups)
+    joined = skew_join(rows, spans, [*group, "_block"], "inner", salt_on=["transaction_id"], hot=blocks)
     at = F.col(ts).cast("timestamp")
     return joined.filter(at.between(F.col("window_start"), F.col("window_end"))).drop("_block")

@@ -9,6 +9,7 @@ from txnwatch.functions.scoring import ratio_score
 from txnwatch.operators.alerts import alert_id, enrichment_block, metadata_block, peak_details, trigger_reason
 from txnwatch.operators.enrich import first_per_key
 from txnwatch.operators.filters import apply_filters
+from txnwatch.operators.skew import UNKNOWN, hot_groups
 from txnwatch.operators.threshold import threshold_column
 from txnwatch.operators.windows import in_peak_window, peak_windows
 from txnwatch.rules import Rule
@@ -30,10 +31,13 @@ def _customer_columns(rule: Rule, customers: DataFrame) -> list[str]:
     return [c for c in customers.columns if c in wanted and c != "customer_id"]
 
 
-def scored_windows(transactions: DataFrame, customers: DataFrame, rule: Rule) -> DataFrame:
+def scored_windows(
+    transactions: DataFrame, customers: DataFrame, rule: Rule, hot: DataFrame | None | object = UNKNOWN
+) -> DataFrame:
     """Peak windows that reach the threshold, with the customer columns alerts need."""
-    kept = apply_filters(transactions, customers, rule.filters, "peak", rule.mapping)
-    windows = peak_windows(kept, rule.window_days, rule.function, _value_column(rule, transactions), counted=transactions)
+    hot = hot_groups(transactions, ["customer_id"]) if hot is UNKNOWN else hot
+    kept = apply_filters(transactions, customers, rule.filters, "peak", rule.mapping, hot)
+    windows = peak_windows(kept, rule.window_days, rule.function, _value_column(rule, transactions), hot=hot)
     if rule.min_transactions is not None:
         windows = windows.filter(F.col("transaction_count") >= rule.min_transactions)
     columns = _customer_columns(rule, customers)
@@ -49,9 +53,11 @@ def _value_column(rule: Rule, transactions: DataFrame) -> str | Column:
     return name if name in transactions.columns else F.lit(0.0)
 
 
-def peak_alerts(transactions: DataFrame, customers: DataFrame, rule: Rule, run_id: str) -> DataFrame:
+def peak_alerts(
+    transactions: DataFrame, customers: DataFrame, rule: Rule, run_id: str, hot: DataFrame | None | object = UNKNOWN
+) -> DataFrame:
     """One alert per customer whose peak window reaches the threshold."""
-    rows = scored_windows(transactions, customers, rule)
+    rows = scored_windows(transactions, customers, rule, hot)
     columns = rows.columns
     name = F.coalesce(*[F.col(c) for c in ("customer_name", "name") if c in columns], F.lit("Unknown"))
     return rows.select(
@@ -74,14 +80,17 @@ def peak_alerts(transactions: DataFrame, customers: DataFrame, rule: Rule, run_i
         "window_start",
         "window_end",
         "start_value",
-        "start_id",
+        "starts_at_last",
     )
 
 
-def peak_links(transactions: DataFrame, customers: DataFrame, alerts: DataFrame, rule: Rule) -> DataFrame:
+def peak_links(
+    transactions: DataFrame, customers: DataFrame, alerts: DataFrame, rule: Rule, hot: DataFrame | None | object = UNKNOWN
+) -> DataFrame:
     """The filtered transactions inside each alert's window."""
-    kept = apply_filters(transactions, customers, rule.filters, "peak", rule.mapping)
+    hot = hot_groups(transactions, ["customer_id"]) if hot is UNKNOWN else hot
+    kept = apply_filters(transactions, customers, rule.filters, "peak", rule.mapping, hot)
     marks = alerts.select(
-        "alert_id", "customer_id", "window_start", "window_end", "start_value", "start_id", "transaction_count"
+        "alert_id", "customer_id", "window_start", "window_end", "start_value", "starts_at_last", "transaction_count"
     )
-    return in_peak_window(kept, marks, _value_column(rule, transactions), counted=transactions)
+    return in_peak_window(kept, marks, _value_column(rule, transactions), hot=hot)

@@ -14,10 +14,10 @@ from txnwatch.operators.alerts import union_alerts
 from txnwatch.operators.filters import in_date_range
 from txnwatch.operators.mapping import map_columns
 from txnwatch.operators.refine import exclusion_log, refine
+from txnwatch.operators.skew import UNKNOWN, hot_groups, stored
 from txnwatch.plans.grouped import grouped_alert_links, grouped_alerts
 from txnwatch.plans.peak import peak_alerts, peak_links
 from txnwatch.rules import PEAK, Rule, RuleError, make_rule
-from txnwatch.session import checkpoint_folder
 
 COMMON = [
     "alert_id", "run_id", "scenario_id", "scenario_name", "scenario_description", "customer_id", "customer_name",
@@ -45,25 +45,30 @@ class RunResult:
         return {name: df for name, df in named.items() if df is not None}
 
 
-def rule_alerts(transactions: DataFrame, customers: DataFrame, rule: Rule, run_id: str) -> DataFrame:
+Hot = DataFrame | None | object
+
+
+def rule_alerts(transactions: DataFrame, customers: DataFrame, rule: Rule, run_id: str, hot: Hot = UNKNOWN) -> DataFrame:
     """Alerts of one rule before suppression."""
     make = peak_alerts if rule.profile == PEAK else grouped_alerts
-    return make(transactions, customers, rule, run_id)
+    return make(transactions, customers, rule, run_id, hot)
 
 
 def refined_alerts(
-    transactions: DataFrame, customers: DataFrame, rule: Rule, run_id: str, whitelist: DataFrame | None
+    transactions: DataFrame, customers: DataFrame, rule: Rule, run_id: str, whitelist: DataFrame | None, hot: Hot = UNKNOWN
 ) -> DataFrame:
     """Alerts of one rule with suppression marks."""
-    alerts = rule_alerts(transactions, customers, rule, run_id)
+    alerts = rule_alerts(transactions, customers, rule, run_id, hot)
     refinements = rule.refinements if whitelist is not None else ()
     return refine(alerts, transactions, whitelist, refinements)
 
 
-def rule_links(transactions: DataFrame, customers: DataFrame, alerts: DataFrame, rule: Rule) -> DataFrame:
+def rule_links(
+    transactions: DataFrame, customers: DataFrame, alerts: DataFrame, rule: Rule, hot: Hot = UNKNOWN
+) -> DataFrame:
     """The transactions behind the alerts of one rule."""
     make = peak_links if rule.profile == PEAK else grouped_alert_links
-    return make(transactions, customers, alerts, rule)
+    return make(transactions, customers, alerts, rule, hot)
 
 
 def common_alerts(alerts: DataFrame) -> DataFrame:
@@ -96,10 +101,12 @@ def run_rules(
     """Alerts of all rules; a rule that cannot be read contributes nothing and is reported.
 
     The run's mapping and date range apply once (B4, B19), a rule's own mapping when it uses a field
-    (B3). Without links everything stays lazy; with links, alerts and link numbers are checkpointed.
+    (B3). Without links everything stays lazy; with links, alerts and numbered links are stored.
     """
     txns = in_date_range(map_columns(transactions, mapping), start, end)
     people = map_columns(customers, mapping)
+    # Hot customers are counted once for all rules.
+    hot = hot_groups(txns, ["customer_id"])
     alerts, links, rejected = [], [], {}
     for scenario_id, config in configs.items():
         try:
@@ -107,14 +114,13 @@ def run_rules(
         except (RuleError, TypeError, ValueError, KeyError) as error:
             rejected[scenario_id] = str(error)
             continue
-        marked = refined_alerts(txns, people, rule, run_id, whitelist)
+        marked = refined_alerts(txns, people, rule, run_id, whitelist, hot)
         if with_links:
-            # Alerts feed three tables; they are computed once and kept in the shared checkpoint folder.
-            checkpoint_folder(marked.sparkSession)
-            marked = marked.checkpoint()
+            # Alerts feed three tables, so they are computed once and stored.
+            marked = stored(marked, "alerts")
         alerts.append(common_alerts(marked))
         if with_links:
-            links.append(contributions(rule_links(txns, people, marked, rule)))
+            links.append(contributions(rule_links(txns, people, marked, rule, hot)))
     if not alerts:
         return RunResult(None, None, None, rejected)
     together = union_alerts(alerts)
