@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def map_columns(df: DataFrame, mapping: Mapping[str, str] | None) -> DataFrame:
@@ -13,7 +14,7 @@ def map_columns(df: DataFrame, mapping: Mapping[str, str] | None) -> DataFrame:
     if not renames:
         return df
     gone = [target for target in renames.values() if target in df.columns and target not in renames]
-    return df.drop(*gone).withColumnsRenamed(renames)
+    return df.select(*[F.col(c).alias(renames.get(c, c)) for c in df.columns if c not in gone])
 
 
 def map_run(df: DataFrame, run_mapping: Mapping[str, str] | None, scenario_mapping: Mapping[str, str] | None) -> DataFrame:
