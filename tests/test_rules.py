@@ -70,7 +70,7 @@ def test_formula_values(spark):
     names = {"x": F.col("x"), "y": F.col("y"), "s": F.col("s")}
     cases = {
         "x * 2 + 1": 9.0, "x ** 2 / 8": 2.0, "x / y": None, "-x % 3": -1.0, "max(x, 10) - min(x, 1)": 9.0, "abs(-x)": 4.0, "int(x / 3)": 1.0,
-        "x > 3 and not s == 'a'": True, "1 < x <= 4": True, "s in ['b', 'c']": True, "s not in ('b',)": False, "x < 1 or y == 0": True,
+        "x > 3 and not s == 'a'": True, "1 < x <= 4": True, "s in ['b', 'c']": True, "s > 3": None, "s == 3": None, "s + 1": None, "s >= 'a'": True, "s not in ('b',)": False, "x < 1 or y == 0": True,
     }
     df = spark.createDataFrame([(4.0, 0.0, "b")], "x double, y double, s string")
     row = df.select(*[formula(text, names).alias(f"c{i}") for i, text in enumerate(cases)]).first()

@@ -77,7 +77,8 @@ def test_not_equal_and_contains(txns):
     assert ids([{"field": "channel", "operator": "contains", "value": "W"}], "grouped") == ["b", "c"]
     assert ids([{"field": "channel", "operator": "contains", "value": "."}], "grouped") == []
     assert ids([{"field": "gone", "operator": "==", "value": 1}], "peak") == []
-    assert ids([{"field": "transaction_amount", "operator": "in", "value": "-5, x"}], "peak") == []
+    assert ids([{"field": "transaction_amount", "operator": "in", "value": "-5, x"}], "peak") == ["a"]
+    assert ids([{"field": "transaction_amount", "operator": "between", "value": [-2, 0]}], "peak") == ["b"]
 
 
 def test_words_inside_words_and_literal_percent(spark):

@@ -87,7 +87,7 @@ def _build(node: ast.expr, names: Mapping[str, Column]) -> Column:
         if isinstance(node.op, ast.Not):
             return ~inner
     if isinstance(node, ast.BinOp) and type(node.op) in _ARITHMETIC:
-        return _ARITHMETIC[type(node.op)](_build(node.left, names), _build(node.right, names))
+        return _ARITHMETIC[type(node.op)](_number(node.left, names), _number(node.right, names))
     if isinstance(node, ast.BoolOp):
         parts = [_build(value, names) for value in node.values]
         joined = parts[0]
@@ -101,6 +101,23 @@ def _build(node: ast.expr, names: Mapping[str, Column]) -> Column:
     raise FormulaError(f"{ast.unparse(node)!r} is not allowed")
 
 
+def _number(node: ast.expr, names: Mapping[str, Column]) -> Column:
+    """An operand as a number; text that is none gives null instead of failing the job."""
+    return _build(node, names).try_cast("double")
+
+
+def _is(node: ast.expr, kind: type | tuple[type, ...]) -> bool:
+    return isinstance(node, ast.Constant) and isinstance(node.value, kind) and not isinstance(node.value, bool)
+
+
+def _sides(op: ast.cmpop, left: ast.expr, right: ast.expr, names: Mapping[str, Column]) -> tuple[Column, Column]:
+    """Both sides of a comparison: numbers when ordered or compared with a number, else as they are."""
+    ordered = not isinstance(op, (ast.Eq, ast.NotEq)) and not (_is(left, str) or _is(right, str))
+    if ordered or _is(left, (int, float)) or _is(right, (int, float)):
+        return _number(left, names), _number(right, names)
+    return _build(left, names), _build(right, names)
+
+
 def _compare(node: ast.Compare, names: Mapping[str, Column]) -> Column:
     joined = None
     left = node.left
@@ -109,7 +126,7 @@ def _compare(node: ast.Compare, names: Mapping[str, Column]) -> Column:
             test = _build(left, names).isin(*[_build(item, names) for item in right.elts])
             test = ~test if isinstance(op, ast.NotIn) else test
         elif type(op) in _COMPARE:
-            test = _COMPARE[type(op)](_build(left, names), _build(right, names))
+            test = _COMPARE[type(op)](*_sides(op, left, right, names))
         else:
             raise FormulaError(f"{ast.unparse(node)!r} is not allowed")
         joined = test if joined is None else joined & test

@@ -7,16 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txnwatch.operators.skew import UNKNOWN, hot_groups, skew_join
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence = ()) -> DataFrame:
-    """Keep one row per key, the first along ``order`` (all columns when none is given).
+    """Keep one row per key, the first along ``order`` (all other columns when none is given).
 
-    Spark limits each task to one row per key before the shuffle, so repeated keys stay cheap.
+    Spark limits each task to one row per key before the shuffle, so repeated keys stay cheap. Select
+    the columns you need first: ordering by all columns reads all of them.
     """
-    chosen = list(order) or [F.col(c) for c in df.columns if c not in keys] or [F.lit(1)]
+    rest = [f.name for f in df.schema.fields if f.name not in keys and not isinstance(f.dataType, T.MapType)]
+    chosen = list(order) or [F.col(c) for c in rest] or [F.lit(1)]
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*chosen))
     return df.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
@@ -33,7 +36,8 @@ def enrich_with_customers(
 
     Customers are reduced to one row each; a column the transactions already have gets ``_cust``.
     """
-    single = first_per_key(customers, ["customer_id"], order).select(
+    source = customers if order else customers.select("customer_id", *fields)
+    single = first_per_key(source, ["customer_id"], order).select(
         "customer_id",
         *[F.col(name).alias(f"{name}_cust" if name in transactions.columns else name) for name in fields],
     )
@@ -54,7 +58,8 @@ def add_customer_fields(
     wanted = [name for name in fields if name not in results.columns and name in customers.columns]
     if not wanted:
         return results
-    single = first_per_key(customers, ["customer_id"], order).select("customer_id", *wanted)
+    source = customers if order else customers.select("customer_id", *wanted)
+    single = first_per_key(source, ["customer_id"], order).select("customer_id", *wanted)
     return skew_join(results, single, ["customer_id"], "left", salt_on=results.columns, hot=hot)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnwatch.functions.rows import one_row
-from txnwatch.operators.skew import UNKNOWN, skew_join
+from txnwatch.operators.skew import UNKNOWN, list_join
 
 # Every accepted operator spelling.
 OPERATORS = {
@@ -84,10 +84,13 @@ def predicate(column: Column, kind: T.DataType, operator: str, value: Any, keep_
         if op == "contains":
             return text.contains(needle)
         return text.startswith(needle) if op == "starts_with" else text.endswith(needle)
+    if op == "between":
+        operand, (low, *_, high) = _operand(column, kind, [value[0], value[-1]])
+        return operand.between(low, high)
     if op in LIST_OPERATORS:
-        operand, literals = _operand(column, kind, value)
-        if op == "between":
-            return operand.between(literals[0], literals[-1])
+        # A literal that does not fit the column's type can equal none of its values.
+        fitting = [item for item in value if _fits(coerce(item, kind), kind)]
+        operand, literals = _operand(column, kind, fitting or value)
         return ~operand.isin(literals) if op == "not_in" else operand.isin(literals)
     operand, (literal,) = _operand(column, kind, [value])
     if op == "ne":
@@ -197,8 +200,8 @@ def apply_filters(
     )
     kept = transactions.filter(all_of(tests))
     if customer_tests:
-        keys = customers.filter(all_of(customer_tests)).select("customer_id").distinct()
-        kept = skew_join(kept, keys, ["customer_id"], "left_semi", salt_on=["transaction_id"], hot=hot)
+        keys = customers.filter(all_of(customer_tests)).select("customer_id")
+        kept = list_join(kept, keys, ["customer_id"], "left_semi", salt_on=["transaction_id"], hot=hot)
     return kept
 
 

@@ -55,9 +55,8 @@ def score_grouped(suppressed: DataFrame, profiles: DataFrame, whitelist: DataFra
     kind = F.when(reason.contains("education"), "University").when(reason.contains("crypto"), "CryptoExchange")
     named = F.col("beneficiary_name").isNotNull() & (F.col("beneficiary_name") != "")
     checked = with_verification(suppressed, entities, F.when(named, kind))
-    single = first_per_key(profiles, ["customer_id"]).select(
-        "customer_id", "is_pep", "has_adverse_media", "high_risk_occupation", "previous_sar_count"
-    )
+    flags = ["customer_id", "is_pep", "has_adverse_media", "high_risk_occupation", "previous_sar_count"]
+    single = first_per_key(profiles.select(*flags), ["customer_id"])
     rows = skew_join(checked, single, ["customer_id"], "left", salt_on=["alert_id"])
     expected = F.when(named, kind)
     sars = F.coalesce(F.col("previous_sar_count"), F.lit(0))

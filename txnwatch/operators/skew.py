@@ -135,15 +135,22 @@ def skew_join(
     return left.join(right, keys + ["_salt"], how).drop("_salt")
 
 
-def list_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left_semi") -> DataFrame:
-    """Join with what is usually a short list, such as uploads or runs.
+def list_join(
+    big: DataFrame,
+    small: DataFrame,
+    keys: Sequence[str],
+    how: str = "left_semi",
+    salt_on: Sequence[str] = (),
+    hot: DataFrame | None | object = UNKNOWN,
+) -> DataFrame:
+    """Join with what is often a short list, such as uploads, runs or selected customers.
 
     The list is counted up to a bound: a short one is broadcast, so ``big`` is not shuffled at all; a
     longer one goes through ``skew_join``.
     """
     if small.limit(SHORT_LIST + 1).count() <= SHORT_LIST:
         return big.join(F.broadcast(small), list(keys), how)
-    return skew_join(big, small, keys, how)
+    return skew_join(big, small, keys, how, salt_on, hot)
 
 
 def running(

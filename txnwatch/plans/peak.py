@@ -42,7 +42,7 @@ def scored_windows(
         windows = windows.filter(F.col("transaction_count") >= rule.min_transactions)
     columns = _customer_columns(rule, customers)
     # Both sides have one row per customer, so no key can dominate this join.
-    single = first_per_key(customers, ["customer_id"]).select("customer_id", *columns)
+    single = first_per_key(customers.select("customer_id", *columns), ["customer_id"])
     joined = windows.join(single, "customer_id", "left")
     scored = joined.withColumn("threshold", threshold_column(rule.threshold, columns))
     return scored.filter(F.col("aggregated_value") >= F.col("threshold"))
