@@ -23,6 +23,18 @@ def plain(c: str | Column) -> Column:
     return F.when(value == F.floor(value), whole).otherwise(exact)
 
 
+WHOLE = r"^[+-]?\d+$"
+REAL = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$|^(?i)[+-]?(?:nan|inf|infinity)$"
+
+
+def to_number(text: Column, kind: str = "double") -> Column:
+    """Text as a number, null when it has not the shape of one.
+
+    The shape is tested first: a cast that fails is slow, and casts also accept suffixes such as ``5d``.
+    """
+    return F.when(text.rlike(WHOLE if kind == "bigint" else REAL), text.try_cast(kind))
+
+
 def display_id(c: str | Column) -> Column:
     """A10: the id without its dataset prefix, i.e. without everything up to the first underscore."""
     return F.regexp_replace(col(c), "^[^_]*_", "")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnwatch.functions.text import title
+from txnwatch.functions.text import title, to_number
 
 INDEX_LIMIT = 1000
 SAMPLES = 10
@@ -22,7 +22,14 @@ RECOMMENDED = {
     "text": ["equals", "not_equals", "in", "contains", "starts_with", "ends_with"],
 }
 BOOLEAN_TEXTS = ("true", "false", "1", "0", "yes", "no")
-DATE_PATTERNS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss")
+# Accepted date notations in the order they are tried, each with the shape it needs.
+DATE_PATTERNS = (
+    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("yyyy-M-d'T'H:m:s", r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$"),
+    ("yyyy-M-d H:m:s", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
+)
 
 
 def payload_fields(df: DataFrame, payload: str = "raw_data") -> DataFrame:
@@ -47,9 +54,12 @@ def sample_types(schema: T.StructType) -> list[dict[str, str]]:
     return kinds
 
 
-def parsed_date(text: Column, patterns: Sequence[str] = DATE_PATTERNS) -> Column:
-    """The first pattern that reads the text, else null."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(pattern)) for pattern in patterns])
+def parsed_date(text: Column, patterns: Sequence[tuple[str, str]] = DATE_PATTERNS) -> Column:
+    """The first pattern that reads the text, else null.
+
+    The shape is tested first, because a parse that fails costs far more than one that succeeds.
+    """
+    return F.coalesce(*[F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern))) for pattern, shape in patterns])
 
 
 def value_counts(df: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
@@ -73,7 +83,7 @@ def recommended_operators(kind: str | Column) -> Column:
 def field_types(counts: DataFrame) -> DataFrame:
     """H2: numeric if every value is a number, else date, else boolean, else text; one row per field."""
     value = F.col("field_value")
-    numeric = F.min(value.try_cast("double").isNotNull())
+    numeric = F.min(to_number(F.trim(value)).isNotNull())
     dated = F.min(F.coalesce(parsed_date(value), value.try_cast("timestamp")).isNotNull())
     boolean = F.min(F.lower(value).isin(*BOOLEAN_TEXTS))
     kind = F.when(numeric, "numeric").when(dated, "date").when(boolean, "boolean").otherwise("text")

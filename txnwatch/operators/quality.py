@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.functions.rows import one_row
+from txnwatch.functions.text import to_number
 from txnwatch.operators.profile import parsed_date
 
 LARGE_AMOUNT = 10_000_000
@@ -106,7 +107,7 @@ def upload_scores(
             summed = summed + F.count_if(test)
         return summed
 
-    typed = [(name, text[name].try_cast("double").isNotNull()) for name in numbers]
+    typed = [(name, to_number(F.trim(text[name])).isNotNull()) for name in numbers]
     typed += [
         (name, F.coalesce(parsed_date(text[name]), text[name].try_cast("timestamp")).isNotNull()) for name in dates
     ]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.functions.text import col
-from txnwatch.operators.skew import hot_groups, next_after, skew_join, sliding
+from txnwatch.operators.skew import hot_groups, list_join, next_after, skew_join, sliding, stored
 from txnwatch.operators.windows import AMOUNT, DAY, micros
 from txnwatch.rules import Refinement
 
@@ -75,10 +75,14 @@ def verified_names(names: DataFrame, whitelist: DataFrame, column: str = "benefi
 
 
 def with_verification(rows: DataFrame, whitelist: DataFrame, expected: Column, column: str = "beneficiary_name") -> DataFrame:
-    """Adds ``is_verified``: the beneficiary is a known entity of the ``expected`` type."""
+    """Adds ``is_verified``: the beneficiary is a known entity of the ``expected`` type.
+
+    The names that pass are stored once. They are usually few, and then rows are matched by broadcast.
+    """
     keyed = rows.withColumns({"_key": F.lower(col(column)), "entity_type": expected})
-    known = verified_names(keyed.filter(F.col("entity_type").isNotNull()), whitelist, column).withColumn("_known", F.lit(True))
-    joined = skew_join(keyed, known, ["_key", "entity_type"], "left", salt_on=rows.columns)
+    names = verified_names(keyed.filter(F.col("entity_type").isNotNull()), whitelist, column)
+    known = stored(names.withColumn("_known", F.lit(True)), "verified")
+    joined = list_join(keyed, known, ["_key", "entity_type"], "left", salt_on=rows.columns)
     return joined.withColumn("is_verified", F.coalesce(F.col("_known"), F.lit(False))).drop("_key", "entity_type", "_known")
 
 

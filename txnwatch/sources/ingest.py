@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from txnwatch.functions.text import to_number
 from txnwatch.operators.profile import DATE_PATTERNS, parsed_date
 
 TRANSACTIONS, CUSTOMERS = "transactions", "customers"
@@ -92,8 +93,8 @@ def column_types(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     for i, name in enumerate(columns):
         cell = present(name)
         tests += [
-            F.min(F.when(cell.isNotNull(), cell.try_cast("bigint").isNotNull() & ~cell.contains("."))).alias(f"i{i}"),
-            F.min(F.when(cell.isNotNull(), cell.try_cast("double").isNotNull())).alias(f"d{i}"),
+            F.min(F.when(cell.isNotNull(), to_number(cell, "bigint").isNotNull())).alias(f"i{i}"),
+            F.min(F.when(cell.isNotNull(), to_number(cell).isNotNull())).alias(f"d{i}"),
         ]
     if not tests:
         return {}
@@ -106,11 +107,11 @@ def column_types(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
 def cast_cells(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Trimmed cells in the type of their column, empty ones null."""
     return df.withColumns(
-        {name: present(name) if kind == "string" else present(name).try_cast(kind) for name, kind in types.items()}
+        {name: present(name) if kind == "string" else to_number(present(name), kind) for name, kind in types.items()}
     )
 
 
-def parse_dates(df: DataFrame, column: str, patterns: Sequence[str] = DATE_PATTERNS) -> DataFrame:
+def parse_dates(df: DataFrame, column: str, patterns: Sequence[tuple[str, str]] = DATE_PATTERNS) -> DataFrame:
     """Day-first before month-first; a date no pattern reads is null and shows up among the rejects."""
     return df.withColumn(column, parsed_date(present(column), patterns))
 
@@ -169,7 +170,7 @@ def accounts_of(customers: DataFrame, upload_id: str | Column, now: object) -> D
         opened.alias("account_open_date"),
         F.coalesce(cell("risk_rating"), F.lit("LOW")).alias("risk_rating"),
         F.lit(False).alias("is_pep"),
-        F.coalesce(cell("balance").try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)")).alias("current_balance"),
+        F.coalesce(to_number(cell("balance"), "decimal(18,2)"), F.lit(0).cast("decimal(18,2)")).alias("current_balance"),
         original.alias("original_account_id"),
     )
 
@@ -187,7 +188,7 @@ def flatten_payload(df: DataFrame, fields: Sequence[str], payload: str = "raw_da
         if name in PAYLOAD_DATES:
             cell = F.coalesce(parsed_date(cell), cell.try_cast("timestamp"))
         elif name in PAYLOAD_NUMBERS:
-            cell = cell.try_cast("double")
+            cell = to_number(F.trim(cell))
         columns.append(cell.alias(name))
     return rows.select(*system, *columns)
 
@@ -209,8 +210,10 @@ def ingest(df: DataFrame, profile: str, upload_id: str, date_column: str = "tran
     plain = [c for c in good.columns if c not in ids and c != date_column]
     good = cast_cells(good, column_types(good, plain))
     if kind == TRANSACTIONS and date_column in good.columns:
+        # Peak files accept the listed notations only; grouped files any timestamp text.
+        lenient = [present("_text").try_cast("timestamp")] if profile == "grouped" else []
         typed = good.withColumn("_text", F.col(date_column)).withColumn(
-            date_column, F.coalesce(parsed_date(present("_text")), present("_text").try_cast("timestamp"))
+            date_column, F.coalesce(parsed_date(present("_text")), *lenient)
         )
         unread = typed.filter(F.col(date_column).isNull())
         rejects = rejects.unionByName(
