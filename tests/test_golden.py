@@ -29,6 +29,7 @@ PEOPLE = [
     ("CUST016", "Karen Martinez", "Student", 7500),
     ("CUST099", "Nobody", "Retired", 100),
 ]
+# The verified universities.
 UNIVERSITIES = [
     "University of Oxford", "University of Cambridge", "Imperial College London", "UCL", "University of Edinburgh",
     "King's College London", "University of Manchester", "University of Bristol",
@@ -123,3 +124,31 @@ def test_rolling_rule_links(data):
     got = sorted((r.customer_id, r.alert_date.day, r.aggregated_value, r.customer_name) for r in result.alerts.collect())
     assert got == [("CUST016", 2, 19300.0, "Karen Martinez"), ("CUST016", 22, 12100.0, "Karen Martinez")]
     assert result.alert_transactions.count() == 5
+
+
+def test_rule_mapping_reaches_keys_and_thresholds(data):
+    transactions = data[0].withColumnsRenamed({"transaction_amount": "amt", "customer_id": "who"})
+    customers = data[1].withColumnRenamed("customer_id", "who")
+    config = {
+        "filters": [{"field": "transaction_amount", "operator": ">", "value": 5000}],
+        "aggregation": {"method": "sum", "field": "transaction_amount", "group_by": ["customer_id"]},
+        "threshold": {"type": "fixed", "fixed_value": 12000},
+        "field_mappings": {"transaction_amount": "amt"},
+    }
+    result = run_rules({"G": config}, transactions, customers, "R1", mapping={"customer_id": "who"})
+    assert [(r.customer_id, r.aggregated_value) for r in result.alerts.collect()] == [("CUST016", 19300.0)]
+    assert result.alert_transactions.count() == 3
+
+
+def test_gap_reads_details_of_stored_alerts(data):
+    from txnwatch.operators.risk import excluded_candidates, gap_candidates, gap_report, score_peak
+    from txnwatch.rules import Refinement
+
+    config = {**RULE, "scenario_name": "University wires", "refinements": [{"type": "event_based", "rule_id": "edu", "excluded_events": ["education"]}]}
+    alerts = run_rules({"S1": config}, *data[:2], "R1", data[2], with_links=False).alerts
+    people = data[1].selectExpr("customer_id", "'1' as is_pep", "'high' as risk_rating")
+    report = gap_report(score_peak(gap_candidates(alerts, [Refinement("e", ("education",))]), people)).first()
+    assert (report.risk_score, report.risk_level, report.excluded_count) == (35.0, "DANGEROUS", 1)
+    assert report.sample_exploits == ["Exploit: Customer is PEP"]
+    row = excluded_candidates(alerts).first()
+    assert (row.reason, row.amount) == ("Verified education transaction to Imperial College London", 19300.0)

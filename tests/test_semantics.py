@@ -108,6 +108,11 @@ def test_types_and_display(spark):
     assert [tuple(r) for r in shown] == [("c_d", "12345678.5"), ("plain", "7.0")]
 
 
+def test_sample_types_and_labels(txns):
+    got = {f["name"]: (f["type"], f["label"]) for f in profile.sample_types(txns.schema)}
+    assert got["transaction_amount"] == ("number", "Transaction Amount") and got["channel"] == ("string", "Channel")
+
+
 def test_extension_is_capped_and_passed_on(spark):
     uploads = spark.createDataFrame([("u", datetime(2024, 1, 1), "active"), ("v", datetime(2024, 1, 1), "active")], "upload_id string, expires_at timestamp, status string")
     later = lifecycle.extend_expiry(uploads, "u", 500, "2024-01-01")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnwatch.operators.skew import UNKNOWN, hot_groups, skew_join
+from txnwatch.operators.skew import UNKNOWN, Hot, hot_groups, skew_join
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence = ()) -> DataFrame:
@@ -30,7 +30,7 @@ def enrich_with_customers(
     fields: Sequence[str],
     order: Sequence = (),
     how: str = "left",
-    hot: DataFrame | None | object = UNKNOWN,
+    hot: Hot = UNKNOWN,
 ) -> DataFrame:
     """Transactions with the named customer columns.
 
@@ -49,7 +49,7 @@ def add_customer_fields(
     customers: DataFrame,
     fields: Sequence[str],
     order: Sequence = (),
-    hot: DataFrame | None | object = UNKNOWN,
+    hot: Hot = UNKNOWN,
 ) -> DataFrame:
     """Customer attributes on aggregates or alerts that lack them.
 

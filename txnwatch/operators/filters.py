@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnwatch.functions.rows import one_row
-from txnwatch.operators.skew import UNKNOWN, list_join
+from txnwatch.operators.skew import UNKNOWN, Hot, list_join
 
 # Every accepted operator spelling.
 OPERATORS = {
@@ -181,7 +181,7 @@ def apply_filters(
     filters: Any,
     profile: str,
     mapping: Mapping[str, str] | None = None,
-    hot: DataFrame | None | object = UNKNOWN,
+    hot: Hot = UNKNOWN,
 ) -> DataFrame:
     """Transactions passing all filters of a rule.
 

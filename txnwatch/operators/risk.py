@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txnwatch.functions.scoring import gap_level
 from txnwatch.functions.text import money, plain
@@ -102,6 +103,24 @@ def score_peak(suppressed: DataFrame, customers: DataFrame) -> DataFrame:
     return rows.select("alert_id", "reason", score.alias("score"), factors.alias("factors"))
 
 
+def _detail(alerts: DataFrame, name: str) -> Column:
+    """A field of an alert: its own column, else from its details (JSON text or map)."""
+    if name in alerts.columns:
+        return F.col(name).cast("string")
+    kind = alerts.schema["trigger_details"].dataType if "trigger_details" in alerts.columns else None
+    if isinstance(kind, T.StringType):
+        return F.get_json_object("trigger_details", f"$.{name}")
+    if isinstance(kind, T.MapType):
+        return F.try_element_at("trigger_details", F.lit(name)).cast("string")
+    return F.lit(None).cast("string")
+
+
+def _amount(alerts: DataFrame) -> Column:
+    """The aggregated value, or the transaction amount where that is missing or zero."""
+    values = [_detail(alerts, name).try_cast("double") for name in ("aggregated_value", "transaction_amount")]
+    return F.coalesce(F.nullif(values[0], F.lit(0.0)), values[1], F.lit(0.0))
+
+
 def gap_candidates(alerts: DataFrame, refinements: list[Refinement], once: bool = True) -> DataFrame:
     """Baseline alerts the refinements would drop, judged by the alert's description.
 
@@ -113,10 +132,9 @@ def gap_candidates(alerts: DataFrame, refinements: list[Refinement], once: bool
     text = F.lower(F.coalesce(F.col("scenario_description"), own) if "scenario_description" in alerts.columns else own)
     hit = text.contains("tuition") | text.contains("university")
     times = (1 if once else len(matching)) if matching else 0
-    beneficiary = F.col("beneficiary_name") if "beneficiary_name" in alerts.columns else F.lit(None).cast("string")
     rows = alerts.filter(hit).select(
         "alert_id", "customer_id", F.lit(EDUCATION_REASON).alias("reason"),
-        F.col("aggregated_value").alias("amount"), beneficiary.alias("beneficiary_name"),
+        _amount(alerts).alias("amount"), _detail(alerts, "beneficiary_name").alias("beneficiary_name"),
         F.explode(F.array_repeat(F.lit(1), times)).alias("_time"),
     )
     return rows.drop("_time")
@@ -124,10 +142,9 @@ def gap_candidates(alerts: DataFrame, refinements: list[Refinement], once: bool
 
 def excluded_candidates(alerts: DataFrame) -> DataFrame:
     """The alerts a run actually suppressed."""
-    beneficiary = F.col("beneficiary_name") if "beneficiary_name" in alerts.columns else F.lit(None).cast("string")
     return alerts.filter("excluded").select(
         "alert_id", "customer_id", F.coalesce("exclusion_reason", F.lit("Unknown")).alias("reason"),
-        F.col("aggregated_value").alias("amount"), beneficiary.alias("beneficiary_name"),
+        _amount(alerts).alias("amount"), _detail(alerts, "beneficiary_name").alias("beneficiary_name"),
     )
 
 

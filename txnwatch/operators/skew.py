@@ -29,6 +29,8 @@ CHUNKS_PER_WINDOW = 1 << 16
 TIMELINE_CHUNK = 1 << 32
 
 UNKNOWN = object()
+# Hot keys of a table: a short list, None for none, or UNKNOWN to have them counted.
+Hot = DataFrame | None | object
 
 COMBINE = {
     "sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b),
@@ -105,7 +107,7 @@ def skew_join(
     keys: Sequence[str],
     how: str = "inner",
     salt_on: Sequence[str] = (),
-    hot: DataFrame | None | object = UNKNOWN,
+    hot: Hot = UNKNOWN,
 ) -> DataFrame:
     """Equi-join where single keys of ``big`` may hold much of the data.
 
@@ -141,7 +143,7 @@ def list_join(
     keys: Sequence[str],
     how: str = "left_semi",
     salt_on: Sequence[str] = (),
-    hot: DataFrame | None | object = UNKNOWN,
+    hot: Hot = UNKNOWN,
 ) -> DataFrame:
     """Join with what is often a short list, such as uploads, runs or selected customers.
 
@@ -203,7 +205,7 @@ def sliding(
     aggs: Mapping[str, tuple[str, str]],
     tie: str | None = None,
     source: DataFrame | None = None,
-    hot: DataFrame | None | object = UNKNOWN,
+    hot: Hot = UNKNOWN,
 ) -> DataFrame:
     """For every node, aggregate the *other* nodes of its group in ``[at, at + width]``.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.operators.enrich import first_per_key
-from txnwatch.operators.skew import UNKNOWN, hot_blocks, hot_groups, skew_join, sliding, whole
+from txnwatch.operators.skew import UNKNOWN, Hot, hot_blocks, hot_groups, skew_join, sliding, whole
 
 AMOUNT = "decimal(24,6)"
 DAY = 86_400_000_000
@@ -78,7 +78,7 @@ def peak_windows(
     function: str = "sum",
     value: str = "transaction_amount",
     ts: str = "transaction_date",
-    hot: DataFrame | None | object = UNKNOWN,
+    hot: Hot = UNKNOWN,
 ) -> DataFrame:
     """Per customer, the window of ``days`` starting at a transaction with the largest aggregate.
 
@@ -150,7 +150,7 @@ def trailing_windows(
     group_by: Sequence[str] = ("customer_id",),
     value: str = "transaction_amount",
     ts: str = "transaction_date",
-    hot: DataFrame | None | object = UNKNOWN,
+    hot: Hot = UNKNOWN,
 ) -> DataFrame:
     """D6 per instant: the aggregate over ``[ts - width, ts]``, all transactions of the same instant included.
 
@@ -221,7 +221,7 @@ def in_peak_window(
     windows: DataFrame,
     value: str = "transaction_amount",
     ts: str = "transaction_date",
-    hot: DataFrame | None | object = UNKNOWN,
+    hot: Hot = UNKNOWN,
 ) -> DataFrame:
     """Transactions that belong to the peak window of their customer, one window per customer."""
     starts = windows.filter(F.col("transaction_count") > 0)
@@ -245,7 +245,7 @@ def in_trailing_window(
     width: int,
     group_by: Sequence[str] = ("customer_id",),
     ts: str = "transaction_date",
-    hot: DataFrame | None | object = UNKNOWN,
+    hot: Hot = UNKNOWN,
 ) -> DataFrame:
     """Transactions inside the trailing windows of their alerts; overlapping windows repeat a transaction.
 

@@ -10,15 +10,12 @@ from txnwatch.operators.aggregate import group_aggregate, grouped_links
 from txnwatch.operators.alerts import alert_condition, alert_id, dedup_alerts, details_map
 from txnwatch.operators.enrich import add_customer_fields, enrich_with_customers
 from txnwatch.operators.filters import apply_filters
-from txnwatch.operators.skew import UNKNOWN, hot_groups
+from txnwatch.operators.skew import UNKNOWN, Hot, hot_groups
 from txnwatch.operators.threshold import threshold_column
 from txnwatch.operators.windows import in_trailing_window, trailing_windows
 from txnwatch.rules import Rule, customer_fields_of
 
 
-Hot = DataFrame | None | object
-
-
 def prepared(transactions: DataFrame, customers: DataFrame, rule: Rule, hot: Hot = UNKNOWN) -> DataFrame:
     """Filtered transactions, with customer columns only where the rule groups by them."""
     kept = apply_filters(transactions, customers, rule.filters, "grouped", rule.mapping, hot)

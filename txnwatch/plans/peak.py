@@ -9,7 +9,7 @@ from txnwatch.functions.scoring import ratio_score
 from txnwatch.operators.alerts import alert_id, enrichment_block, metadata_block, peak_details, trigger_reason
 from txnwatch.operators.enrich import first_per_key
 from txnwatch.operators.filters import apply_filters
-from txnwatch.operators.skew import UNKNOWN, hot_groups
+from txnwatch.operators.skew import UNKNOWN, Hot, hot_groups
 from txnwatch.operators.threshold import threshold_column
 from txnwatch.operators.windows import in_peak_window, peak_windows
 from txnwatch.rules import Rule
@@ -32,7 +32,7 @@ def _customer_columns(rule: Rule, customers: DataFrame) -> list[str]:
 
 
 def scored_windows(
-    transactions: DataFrame, customers: DataFrame, rule: Rule, hot: DataFrame | None | object = UNKNOWN
+    transactions: DataFrame, customers: DataFrame, rule: Rule, hot: Hot = UNKNOWN
 ) -> DataFrame:
     """Peak windows that reach the threshold, with the customer columns alerts need."""
     hot = hot_groups(transactions, ["customer_id"]) if hot is UNKNOWN else hot
@@ -54,7 +54,7 @@ def _value_column(rule: Rule, transactions: DataFrame) -> str | Column:
 
 
 def peak_alerts(
-    transactions: DataFrame, customers: DataFrame, rule: Rule, run_id: str, hot: DataFrame | None | object = UNKNOWN
+    transactions: DataFrame, customers: DataFrame, rule: Rule, run_id: str, hot: Hot = UNKNOWN
 ) -> DataFrame:
     """One alert per customer whose peak window reaches the threshold."""
     rows = scored_windows(transactions, customers, rule, hot)
@@ -85,7 +85,7 @@ def peak_alerts(
 
 
 def peak_links(
-    transactions: DataFrame, customers: DataFrame, alerts: DataFrame, rule: Rule, hot: DataFrame | None | object = UNKNOWN
+    transactions: DataFrame, customers: DataFrame, alerts: DataFrame, rule: Rule, hot: Hot = UNKNOWN
 ) -> DataFrame:
     """The filtered transactions inside each alert's window."""
     hot = hot_groups(transactions, ["customer_id"]) if hot is UNKNOWN else hot

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -14,10 +14,10 @@ from txnwatch.operators.alerts import union_alerts
 from txnwatch.operators.filters import in_date_range
 from txnwatch.operators.mapping import map_columns
 from txnwatch.operators.refine import exclusion_log, refine
-from txnwatch.operators.skew import UNKNOWN, hot_groups, stored
+from txnwatch.operators.skew import UNKNOWN, Hot, hot_groups, stored
 from txnwatch.plans.grouped import grouped_alert_links, grouped_alerts
 from txnwatch.plans.peak import peak_alerts, peak_links
-from txnwatch.rules import PEAK, Rule, RuleError, make_rule
+from txnwatch.rules import GROUPED, PEAK, Rule, RuleError, make_rule
 
 COMMON = [
     "alert_id", "run_id", "scenario_id", "scenario_name", "scenario_description", "customer_id", "customer_name",
@@ -45,9 +45,6 @@ class RunResult:
         return {name: df for name, df in named.items() if df is not None}
 
 
-Hot = DataFrame | None | object
-
-
 def rule_alerts(transactions: DataFrame, customers: DataFrame, rule: Rule, run_id: str, hot: Hot = UNKNOWN) -> DataFrame:
     """Alerts of one rule before suppression."""
     make = peak_alerts if rule.profile == PEAK else grouped_alerts
@@ -100,13 +97,13 @@ def run_rules(
 ) -> RunResult:
     """Alerts of all rules; a rule that cannot be read contributes nothing and is reported.
 
-    The run's mapping and date range apply once (B4, B19), a rule's own mapping when it uses a field
-    (B3). Without links everything stays lazy; with links, alerts and numbered links are stored.
+    The run's mapping and date range apply once (B4, B19). A peak rule's own mapping applies when it
+    uses a field (B3), a grouped rule's to the data after the run's (B4). Without links everything stays lazy; with links, alerts and numbered links are stored.
     """
     txns = in_date_range(map_columns(transactions, mapping), start, end)
     people = map_columns(customers, mapping)
     # Hot customers are counted once for all rules.
-    hot = hot_groups(txns, ["customer_id"])
+    shared = hot_groups(txns, ["customer_id"])
     alerts, links, rejected = [], [], {}
     for scenario_id, config in configs.items():
         try:
@@ -114,13 +111,19 @@ def run_rules(
         except (RuleError, TypeError, ValueError, KeyError) as error:
             rejected[scenario_id] = str(error)
             continue
-        marked = refined_alerts(txns, people, rule, run_id, whitelist, hot)
+        rows, owners, hot = txns, people, shared
+        if rule.profile == GROUPED and rule.mapping:
+            # A grouped rule's own mapping renames the data, so that keys and thresholds follow it too.
+            rows, owners = map_columns(txns, rule.mapping), map_columns(people, rule.mapping)
+            hot = UNKNOWN if "customer_id" in rule.mapping else shared
+            rule = replace(rule, mapping={})
+        marked = refined_alerts(rows, owners, rule, run_id, whitelist, hot)
         if with_links:
             # Alerts feed three tables, so they are computed once and stored.
             marked = stored(marked, "alerts")
         alerts.append(common_alerts(marked))
         if with_links:
-            links.append(contributions(rule_links(txns, people, marked, rule, hot)))
+            links.append(contributions(rule_links(rows, owners, marked, rule, hot)))
     if not alerts:
         return RunResult(None, None, None, rejected)
     together = union_alerts(alerts)
