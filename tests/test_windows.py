@@ -112,3 +112,16 @@ def test_empty_input(spark):
     data = frame(spark, sample(1)).filter(F.lit(False))
     assert peak_windows(data, 30, "sum").count() == 0
     assert trailing_windows(data, DAY, "avg").count() == 0
+
+
+@pytest.mark.parametrize("bound", ["3", "1000000"])
+def test_window_may_start_at_a_loss(spark, bound):
+    """Only the last of equal losses starts a window, when a later start would reach a larger loss."""
+    spark.conf.set("spark.txnwatch.hotRows", bound)
+    days = [("T1", 0, -1), ("T2", 0, -1), ("T3", 1, 50), ("T4", 7, 100), ("T5", 8, -1000)]
+    data = frame(spark, [(t, "C", datetime(2024, 1, 1) + timedelta(days=d), v) for t, d, v in days])
+    windows = peak_windows(data, 7, "sum")
+    row = windows.first()
+    assert (row.aggregated_value, row.transaction_count, row.starts_at_last) == (149.0, 3, True)
+    assert {r.transaction_id for r in in_peak_window(data, windows).collect()} == {"T2", "T3", "T4"}
+    spark.conf.unset("spark.txnwatch.hotRows")

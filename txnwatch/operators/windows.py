@@ -223,13 +223,19 @@ def in_peak_window(
     ts: str = "transaction_date",
     hot: Hot = UNKNOWN,
 ) -> DataFrame:
-    """Transactions that belong to the peak window of their customer, one window per customer."""
+    """Transactions that belong to the peak window of their customer, one window per customer.
+
+    Pass stored windows where possible: whether any window starts at the last of several equal losses
+    is looked up first, as only then a second branch is needed.
+    """
     starts = windows.filter(F.col("transaction_count") > 0)
     joined = skew_join(transactions, starts, ["customer_id"], "inner", salt_on=["transaction_id"], hot=hot)
     v, at = number(value), F.col(ts).cast("timestamp")
     first = at == F.col("window_start")
     later = (at > F.col("window_start")) & (at <= F.col("window_end"))
     inside = joined.filter(later | (first & (v >= F.col("start_value")) & ~F.col("starts_at_last")))
+    if starts.filter("starts_at_last").isEmpty():
+        return inside
     # A window that starts at the last of several equal losses takes only the one with the greatest id.
     last = first_per_key(
         joined.filter(first & (v == F.col("start_value")) & F.col("starts_at_last")),
