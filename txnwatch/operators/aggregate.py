@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnwatch.operators.skew import numbered, skew_join, whole
+from txnwatch.operators.skew import UNKNOWN, Hot, hot_within, numbered, skew_join, whole
 from txnwatch.operators.windows import AMOUNT, micros, number
 from txnwatch.rules import TimeWindow
 
@@ -68,7 +68,12 @@ def group_aggregate(
 
 
 def grouped_links(
-    transactions: DataFrame, alerts: DataFrame, group_by: Sequence[str], window: TimeWindow | None, ts: str = "transaction_date"
+    transactions: DataFrame,
+    alerts: DataFrame,
+    group_by: Sequence[str],
+    window: TimeWindow | None,
+    ts: str = "transaction_date",
+    hot: Hot = UNKNOWN,
 ) -> DataFrame:
     """The transactions behind each grouped or calendar alert, one row per pair."""
     keys = list(group_by)
@@ -76,7 +81,8 @@ def grouped_links(
     if window is not None:
         rows = rows.withColumn("time_group", calendar_bucket(ts, window))
         keys.append("time_group")
-    return skew_join(rows, alerts.select("alert_id", *keys), keys, "inner", salt_on=["transaction_id"])
+    finer = hot_within(rows, keys, list(group_by), hot)
+    return skew_join(rows, alerts.select("alert_id", *keys), keys, "inner", salt_on=["transaction_id"], hot=finer)
 
 
 def contributions(links: DataFrame, amount: str = "transaction_amount", order: Sequence[str] = ("transaction_date", "transaction_id")) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.functions.text import col
-from txnwatch.operators.skew import hot_groups, list_join, next_after, skew_join, sliding, stored
+from txnwatch.operators.skew import hot_groups, hot_within, list_join, next_after, skew_join, sliding, stored
 from txnwatch.operators.windows import AMOUNT, DAY, micros
 from txnwatch.rules import Refinement
 
@@ -152,7 +152,8 @@ def lookback(
         F.timestamp_micros(F.greatest("last", "w_last")).alias("lookback_last"),
     )
     keyed = alerts.select("alert_id", "customer_id", micros("alert_date").alias("_at"))
-    return skew_join(keyed, values, ["customer_id", "_at"], "inner", salt_on=["alert_id"]).drop("_at")
+    hot = hot_within(keyed, ["customer_id", "_at"], ["customer_id"])
+    return skew_join(keyed, values, ["customer_id", "_at"], "inner", salt_on=["alert_id"], hot=hot).drop("_at")
 
 
 def refine(

@@ -64,18 +64,29 @@ def hot_groups(df: DataFrame, keys: Sequence[str], floor: int | None = None) ->
     return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
+def hot_within(
+    df: DataFrame, keys: Sequence[str], group: Sequence[str], hot: Hot = UNKNOWN, floor: int | None = None
+) -> DataFrame | None:
+    """Hot keys finer than ``group``, such as (customer, day): only rows of hot groups are counted.
+
+    A fine key can only be hot inside a hot group, so the many fine keys of other groups need no count.
+    """
+    groups = hot_groups(df, group) if hot is UNKNOWN else hot
+    if groups is None:
+        return None
+    among = df.join(F.broadcast(groups.drop("_pieces")), list(group), "left_semi")
+    return hot_groups(among, keys, floor)
+
+
 def hot_blocks(
     source: DataFrame, group: Sequence[str], block: Column, hot: DataFrame | None
 ) -> DataFrame | None:
     """Hot (group, ``_block``) pairs for windows that reach from one block into the next.
 
-    Only rows of hot groups are counted, so without hot groups nothing runs. A block shares its work
-    with the block after it, hence both are hot when one holds half the bound.
+    A block shares its work with the block after it, hence both are hot when one holds half the bound.
     """
-    if hot is None:
-        return None
-    among = source.join(F.broadcast(hot.drop("_pieces")), list(group), "left_semi").withColumn("_block", block)
-    found = hot_groups(among, [*group, "_block"], max(1, hot_floor(source.sparkSession) // 2))
+    half = max(1, hot_floor(source.sparkSession) // 2)
+    found = hot_within(source.withColumn("_block", block), [*group, "_block"], group, hot, half)
     if found is None:
         return None
     both = found.select(*group, F.explode(F.array(F.col("_block"), F.col("_block") + 1)).alias("_block"), "_pieces")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.operators.enrich import first_per_key
-from txnwatch.operators.skew import UNKNOWN, Hot, hot_blocks, hot_groups, skew_join, sliding, whole
+from txnwatch.operators.skew import UNKNOWN, Hot, hot_blocks, hot_groups, hot_within, skew_join, sliding, whole
 
 AMOUNT = "decimal(24,6)"
 DAY = 86_400_000_000
@@ -209,11 +209,13 @@ def trailing_rows(
 ) -> DataFrame:
     """The trailing aggregate on every transaction row."""
     group = list(group_by)
-    values = trailing_windows(transactions, width, function, group, value, ts).select(
+    groups = hot_groups(transactions, group)
+    values = trailing_windows(transactions, width, function, group, value, ts, groups).select(
         *group, F.unix_micros("alert_date").alias("_at"), "aggregated_value", "transaction_count"
     )
     rows = transactions.withColumn("_at", micros(ts))
-    return skew_join(rows, values, [*group, "_at"], "inner", salt_on=["transaction_id"]).drop("_at")
+    hot = hot_within(rows, [*group, "_at"], group, groups)
+    return skew_join(rows, values, [*group, "_at"], "inner", salt_on=["transaction_id"], hot=hot).drop("_at")
 
 
 def in_peak_window(

@@ -110,4 +110,4 @@ def grouped_alert_links(
     if window is not None and window.kind == "rolling":
         marks = alerts.select("alert_id", *rule.group_by, "window_start", "window_end")
         return in_trailing_window(rows, marks, window.micros, rule.group_by, hot=_own_keys(rule, hot))
-    return grouped_links(rows, alerts, rule.group_by, window)
+    return grouped_links(rows, alerts, rule.group_by, window, hot=_own_keys(rule, hot))
