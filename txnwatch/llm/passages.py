@@ -194,9 +194,12 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     return train(bags, y, np.array([share[int(c)] for c in y]), settings)
 
 
-def score(docs: DataFrame, model: Network | float, settings: Settings = Settings()) -> DataFrame:
-    """One row per document: doc_id, score and predicted."""
+def score(docs: DataFrame, model: Network | float, settings: Settings = Settings(), keep: list[str] | None = None) -> DataFrame:
+    """One row per document: the columns ``keep`` (doc_id unless given), score and predicted."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    keep = keep or ["doc_id"]
+    # Kept columns travel under positions, so no name can clash with the two that are added.
+    rows = docs.select(F.col("text").alias("t"), *[F.col(f"`{name}`").alias(f"c{k}") for k, name in enumerate(keep)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
@@ -205,13 +208,15 @@ def score(docs: DataFrame, model: Network | float, settings: Settings = Settings
                 if isinstance(sent.value, float):
                     found = np.full(part.num_rows, sent.value)
                 else:
-                    found = sent.value.scores([encode(t) for t in texts(part.column(1))])
+                    found = sent.value.scores([encode(t) for t in texts(part.column(0))])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(found, pa.float64()), pa.array((found >= settings.accept).astype(np.int32))],
-                    ["doc_id", "score", "predicted"],
+                    [*part.columns[1:], pa.array(found, pa.float64()), pa.array((found >= settings.accept).astype(np.int32))],
+                    [*part.schema.names[1:], "score", "predicted"],
                 )
 
-    return same_columns(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, score double, predicted int")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    found = rows.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return found.select(*[F.col(f"c{k}").alias(name) for k, name in enumerate(keep)], "score", "predicted")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, settings: Settings = Settings()) -> DataFrame:

@@ -12,7 +12,7 @@ judged as (
     100 * (length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g'))) > 20 * n
     or 100 * ((length(l) - length(replace(l, '!!', ''))) // 2 + (length(l) - length(replace(l, '??', ''))) // 2) > 25 * n
     or (n < 8 and not regexp_matches(l, '[.!?:;…]'))
-    or 100 * len(list_filter(t, x -> x in ('|', '/', '-', '>', '»', '›', '·', '•'))) > 20 * n
+    or 100 * len(list_filter(t, lambda x: x in ('|', '/', '-', '>', '»', '›', '·', '•'))) > 20 * n
     or (n >= 5 and 100 * (length(l) - length(regexp_replace(l, '[A-Z]', '', 'g'))) > 50 * (length(l) - length(regexp_replace(l, '[A-Za-z]', '', 'g'))))
     or (n <= 20 and regexp_matches(lower(l), 'all rights reserved|privacy policy|terms of use|terms of service|cookie|enable javascript|click here|sign up|log in|subscribe to|share this'))
     as bad
