@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from txnwatch.llm.html_text import extract
 from txnwatch.llm.language import language_id
+from txnwatch.llm.line_dedup import line_report
 from txnwatch.llm.mixing import mix_sources
 from txnwatch.llm.passages import quality_scores
 from txnwatch.llm.quality_rules import quality_rules
@@ -25,5 +26,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_text": lambda s, d: extract(_table(s, d, "pages")),
     "op6_language_id": lambda s, d: language_id(_table(s, d, "documents")),
     "op8_quality_classifier": lambda s, d: quality_scores(_table(s, d, "documents"), _table(s, d, "labels")),
+    "op10_line_dedup": lambda s, d: line_report(_table(s, d, "documents")),
     "op9_url_filter": lambda s, d: filter_urls(_table(s, d, "pages")),
 }
