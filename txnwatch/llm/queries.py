@@ -10,6 +10,7 @@ from txnwatch.llm.html_text import extract
 from txnwatch.llm.language import language_id
 from txnwatch.llm.line_dedup import line_report
 from txnwatch.llm.mixing import mix_sources
+from txnwatch.llm.near_dedup import component_report
 from txnwatch.llm.passages import quality_scores
 from txnwatch.llm.quality_rules import quality_rules
 from txnwatch.llm.sql import SQL as SQL
@@ -23,6 +24,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": lambda s, d: quality_rules(_table(s, d, "documents")).drop("text"),
     "op2_mixing": lambda s, d: mix_sources(_table(s, d, "documents")),
+    "op3_minhash": lambda s, d: component_report(_table(s, d, "documents")),
     "op4_html_text": lambda s, d: extract(_table(s, d, "pages")),
     "op6_language_id": lambda s, d: language_id(_table(s, d, "documents")),
     "op8_quality_classifier": lambda s, d: quality_scores(_table(s, d, "documents"), _table(s, d, "labels")),

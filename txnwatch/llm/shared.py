@@ -102,4 +102,5 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-    return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    found = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return found.union(found.select("root", "root").distinct())
