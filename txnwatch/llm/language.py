@@ -5,7 +5,7 @@ become one space, in dictionaries and predictions alike. A text belongs to the l
 compresses it to the fewest bytes. Where the runner-up is nearly as small the answer is marked ``rejected``.
 
 The dictionaries come from a bounded sample: per language at most ``Settings.docs`` documents, those with the
-smallest MD5 of their id among the learnable ones, and ``Settings.dictionary`` bytes. There is one dictionary per
+smallest MD5 (first 32 bits) of their id among the learnable ones, and ``Settings.dictionary`` bytes. There is one dictionary per
 learned value of ``lang``, at most ``Settings.languages`` of them (the commonest).
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected; without anything to learn
@@ -46,6 +46,17 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def id_hash(doc_id: Column) -> Column:
+    """The first 32 bits of the MD5 of the id's text."""
+    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
+def hash_bound(wanted: int, there: int) -> int:
+    """Below this hash lie about ``wanted`` of ``there`` rows, all of them if there are few."""
+    return min(1 << 32, (wanted << 32) // max(1, there) + 1)
+
+
 def plain(text: str) -> bytes:
     """Lower-case letters and single spaces."""
     return OTHER.sub(" ", text.lower()).encode()
@@ -55,10 +66,14 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> list[tuple[str, b
     """Dictionaries from the columns doc_id, text and lang, commonest language first."""
     usable = docs.filter("lang is not null and text is not null")
     counted = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).collect()
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    order = id_hash(F.col("doc_id"))
     best = W.partitionBy("lang").orderBy("order", "doc_id")
+    # A hash bound per language leaves about four times the sample, so the window ranks few rows.
+    bound = F.lit(0).cast("long")
+    for row in counted:
+        bound = F.when(F.col("lang") == row["lang"], F.lit(hash_bound(4 * settings.docs, row["count"]))).otherwise(bound)
     sample = (
-        usable.filter(F.length("text").between(1, settings.longest))
+        usable.filter(F.length("text").between(1, settings.longest) & (order < bound))
         .select("lang", order.alias("order"), "doc_id", "text")
         .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= settings.docs)

@@ -109,17 +109,40 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return found
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target and the words ``taken`` from it."""
+def prepared(base: DataFrame, weights: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """Sizes and hashes of the documents (doc_id, source, text), and per source what to take of it."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    base = same_columns(docs, ["doc_id", "source", "text"])
     rows = stored(base.select("doc_id", "source", size.alias("size"), hash60(F.col("doc_id")).alias("hash")), "sizes")
     goals = stored(targets(rows, weights), "targets")
     below = stored(thresholds(rows, goals), "thresholds")
     plan = goals.join(below, F.col("source").eqNullSafe(F.col("s")), "left").select(
         F.col("source").alias("s"), "source_size", "target", "whole", "below"
     )
-    once = F.when(F.col("below").isNotNull() & (F.col("hash") < F.col("below")), 1).otherwise(0)
+    return rows, stored(plan, "plan")
+
+
+def taken(size: Column, hash_: Column) -> Column:
+    once = F.when(F.col("below").isNotNull() & (hash_ < F.col("below")), 1).otherwise(0)
+    return size * (F.col("whole") + once)
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target and the words ``taken`` from it."""
+    rows, plan = prepared(same_columns(docs, ["doc_id", "source", "text"]), weights)
     return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + once)).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", taken(F.col("size"), F.col("hash")).alias("taken")
     )
+
+
+def mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
+    """The documents that the mix takes: their columns, then size, source_size, target and ``taken``.
+
+    Columns of those four names give way. Only the short plan by source is joined; the documents stay put.
+    """
+    _, plan = prepared(same_columns(docs, ["doc_id", "source", "text"]), weights)
+    new = ["size", "source_size", "target", "taken"]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
+    size = F.coalesce(F.regexp_count(F.col("row.text"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(row.alias("row")).withColumn("size", size).join(plan, F.col("row.source").eqNullSafe(F.col("s")))
+    rows = rows.withColumn("taken", taken(F.col("size"), hash60(F.col("row.doc_id")))).filter("taken > 0")
+    return rows.select("row.*", *new)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from txnwatch.llm.language import fold
+from txnwatch.llm.language import fold, hash_bound, id_hash
 from txnwatch.llm.shared import same_columns
 from txnwatch.llm.words import array, mix, texts, words
 
@@ -164,9 +164,12 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     if len(counts) < 2:
         return prior
-    order = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    order = id_hash(F.col("doc_id"))
     best = W.partitionBy("quality").orderBy(order, "doc_id")
-    sample = known.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= settings.docs).drop("rank")
+    # A hash bound per class leaves about four times the sample, so the window ranks few rows.
+    bounds = [hash_bound(4 * settings.docs, counts[c]) for c in (0, 1)]
+    near = known.filter(order < F.when(F.col("quality") == 0, F.lit(bounds[0])).otherwise(F.lit(bounds[1])))
+    sample = near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= settings.docs).drop("rank")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
