@@ -40,12 +40,12 @@ PLACE_BITS = 20
 KEYS = "doc_id long, t long, u long"
 
 
-def anchors_of(buf: np.ndarray) -> Iterable[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def anchors_of(buf: np.ndarray, piece: int = PIECE) -> Iterable[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Pieces of a text: offset, anchors, first and last string start of each, hashes of piece and surroundings."""
     window = SPAN - GRAM + 1
     low = np.uint64((1 << PLACE_BITS) - 1)
-    for at in range(0, len(buf) - SPAN + 1, PIECE):
-        part = buf[at : at + PIECE + SPAN - 1]
+    for at in range(0, len(buf) - SPAN + 1, piece):
+        part = buf[at : at + piece + SPAN - 1]
         run = sums(part)
         place = np.arange(len(part) - GRAM + 1)
         grams = span_hash(run, place, place + GRAM)
@@ -186,12 +186,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def all_anchors(docs: DataFrame) -> DataFrame:
+    piece = PIECE
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             for row, text in enumerate(texts(batch.column(3))):
                 if text is None or len(text) < SPAN:
                     continue
-                for at, own, first, last, gram, around in anchors_of(array(text)):
+                for at, own, first, last, gram, around in anchors_of(array(text), piece):
                     one = pa.array(np.full(len(own), row))
                     yield pa.RecordBatch.from_arrays(
                         [
