@@ -7,7 +7,7 @@ from catalog.base import Tables, query
 from txnwatch.operators.aggregate import beneficiary_history, contributions, group_aggregate
 from txnwatch.operators.profile import field_metadata, field_value_index
 from txnwatch.operators.reports import dashboard_grouped, dashboard_peak, recent_runs, report_summary, run_totals
-from txnwatch.operators.windows import DAY, in_peak_window, peak_windows, trailing_rows
+from txnwatch.operators.windows import DAY, in_peak_window, number, peak_windows, trailing_rows
 from txnwatch.rules import TimeWindow
 
 MONEY = "cast(transaction_amount as decimal(18,2))"
@@ -296,3 +296,40 @@ def totals_g(t: Tables) -> DataFrame:
 @query("d20_run_totals_p", "select run_id, count(*) as total_alerts from alert group by run_id")
 def totals_p(t: Tables) -> DataFrame:
     return run_totals(t.alert, grouped=False)
+
+
+EXTREME = """with e as (select customer_id, transaction_id, transaction_date,
+    transaction_amount * case cast(transaction_id as bigint) % 40 when 0 then 1e18 when 1 then 1e-9 else 1 end as a from evt)
+  """
+
+
+def extreme(t: Tables) -> DataFrame:
+    key = F.col("transaction_id").cast("long") % 40
+    factor = F.when(key == 0, 1e18).when(key == 1, 1e-9).otherwise(1.0)
+    return t.evt.withColumn("transaction_amount", F.col("transaction_amount") * factor)
+
+
+@query("d10_extreme_amounts", EXTREME + "select transaction_id, case when a < 1 then round(a, 12) else a end as a from e")
+def extreme_amounts(t: Tables) -> DataFrame:
+    return extreme(t).select("transaction_id", number("transaction_amount").cast("double").alias("a"))
+
+
+@query(
+    "d9_extreme_peaks",
+    EXTREME + "select customer_id, max(a) as aggregated_value, count(*) as customer_transactions from e group by customer_id",
+)
+def extreme_peaks(t: Tables) -> DataFrame:
+    return peak_windows(extreme(t), 30, "max").select("customer_id", "aggregated_value", "customer_transactions")
+
+
+@query(
+    "d12_refunds",
+    """with p as (select *, cast(transaction_amount as decimal(18,2)) * case when right(transaction_id, 1) in ('3', '7') then -0.99 else 1 end as v from line)
+       select alert_id, transaction_id,
+              case when sum(v) over w > 0 then round(cast(v as double) * 100 / cast(sum(v) over w as double), 2) else 0 end as contribution_percentage,
+              row_number() over (partition by alert_id order by transaction_date, transaction_id) as sequence_order from p window w as (partition by alert_id)""",
+)
+def refunds(t: Tables) -> DataFrame:
+    sign = F.when(F.substring("transaction_id", -1, 1).isin("3", "7"), F.lit(-0.99)).otherwise(F.lit(1.0)).cast("decimal(4,2)")
+    rows = t.line.withColumn("transaction_amount", F.col("transaction_amount").cast("decimal(18,2)") * sign)
+    return contributions(rows).select("alert_id", "transaction_id", F.col("contribution_percentage").cast("double").alias("contribution_percentage"), "sequence_order")

@@ -382,3 +382,14 @@ def ingest_grouped(t: Tables) -> DataFrame:
         F.col("o_totalprice").cast("string").alias("Amount"),
     )
     return ingest.ingest(rows, "grouped", "UPLOAD-77")[1]
+
+
+@query(
+    "a8_twins_keep_their_rows",
+    """select cast(o_custkey as varchar) as customer_id, o_orderpriority as channel, count(*) as rows from orders group by all""",
+)
+def twins(t: Tables) -> DataFrame:
+    """Rows without id that are equal in every cell all survive the upsert by key that follows."""
+    bare = t.txn.select(F.lit(" ").alias("transaction_id"), "customer_id", "channel")
+    kept = datasets.last_wins(ingest.fill_missing_ids(bare), ["transaction_id"], "customer_id")
+    return kept.groupBy("customer_id", "channel").agg(F.countDistinct("transaction_id").alias("rows"))

@@ -87,7 +87,7 @@ def lookback_summary(t: Tables) -> DataFrame:
 @query(
     "c8_keyword_semi_join",
     """select alert_id, customer_id from old where customer_id in
-       (select customer_id from evt where regexp_matches(lower(transaction_narrative), 'university|tuition|loan|emi'))""",
+       (select customer_id from evt where regexp_matches(lower(transaction_narrative), 'tuition|university|college|school|loan|mortgage|credit'))""",
 )
 def keyword_semi(t: Tables) -> DataFrame:
     return alerts_with_keywords(t.old, t.evt, ["education", "loan"]).select("alert_id", "customer_id")

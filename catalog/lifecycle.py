@@ -4,9 +4,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.base import Tables, query
+from catalog.rules import FLAGSHIP, peak_alert_sql
 from txnwatch.operators import lifecycle
 from txnwatch.operators.aggregate import contributions
 from txnwatch.operators.reports import alert_trace, search
+from txnwatch.plans.run import run_rules
 
 NOW = "1998-06-01 00:00:00"
 DUE = "select upload_id from upload where status = 'active' and expires_at < timestamp '1998-06-01'"
@@ -108,3 +110,20 @@ def trace(t: Tables) -> DataFrame:
 )
 def found(t: Tables) -> DataFrame:
     return search(t.alert, "77", ["alert_id", "customer_name", "scenario_name"]).select("alert_id", "customer_name", "scenario_name")
+
+
+@query(
+    "i3_run_to_cleanup",
+    peak_alert_sql(
+        f"""customer_id, case when hits.{HIT.replace(" and not is_anonymized", "")} then 'ANONYMIZED-' || substr(customer_id, 1, 8) else customer_name end as customer_name,
+            case when hits.{HIT.replace(" and not is_anonymized", "")} then 'true' end as pii_removed, transaction_count"""
+    ),
+)
+def run_to_cleanup(t: Tables) -> DataFrame:
+    """The JSON details that a run writes keep their fields and gain the mark."""
+    alerts = run_rules({"S1": FLAGSHIP}, t.txn, t.cust, "R1", with_links=False).alerts.withColumn("is_anonymized", F.lit(False))
+    done = lifecycle.cleanup(t.upload, t.txn, t.cust, alerts, NOW)["alerts"]
+    return done.select(
+        "customer_id", "customer_name", F.get_json_object("trigger_details", "$.pii_removed").alias("pii_removed"),
+        F.get_json_object("trigger_details", "$.transaction_count").cast("long").alias("transaction_count"),
+    )

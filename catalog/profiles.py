@@ -162,3 +162,23 @@ def scores(t: Tables) -> DataFrame:
         F.when(key % 7 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"),
     )
     return quality.upload_scores(rows, ["id", "amount", "day"], "id", numbers=["amount"], dates=["day"])
+
+
+TEXTS = """with d as (select cast(o_orderkey as varchar) as transaction_id, cast(o_custkey as varchar) as customer_id,
+    case when o_orderkey % 13 = 0 then 'abc' when o_orderkey % 29 <> 0 then cast(o_totalprice as varchar) end as a,
+    case when o_orderkey % 17 = 0 then 'some day' else cast(o_orderdate as varchar) end as at, o_orderkey as k, o_orderdate as od from orders),
+  i(severity, field, count, m) as (
+    select 'error', 'transaction_amount', count(*) filter (k % 13 <> 0 and k % 29 = 0), 'transactions missing amount' from d
+    union all select 'error', 'transaction_amount', count(*) filter (k % 13 = 0), 'transactions with unreadable amount' from d
+    union all select 'error', 'transaction_date', count(*) filter (k % 17 = 0), 'transactions with unreadable date' from d
+    union all select 'warning', 'transaction_date', count(*) filter (k % 17 <> 0 and od > timestamp '2000-01-01'), 'transactions are future-dated' from d)
+  """
+
+
+@query("h8_unreadable_cells", TEXTS + "select severity, field, count, cast(count as varchar) || ' ' || m as message from i where count > 0")
+def unreadable(t: Tables) -> DataFrame:
+    key = F.col("transaction_id").cast("long")
+    price = F.when(key % 13 == 0, "abc").when(key % 29 != 0, F.col("transaction_amount").cast("string"))
+    date = F.when(key % 17 == 0, "some day").otherwise(F.col("transaction_date").cast("string"))
+    rows = t.txn.withColumns({"transaction_amount": price, "transaction_date": date})
+    return quality.transaction_issues(rows, "2000-01-01 00:00:00")

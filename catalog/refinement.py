@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import Tables, query
 from txnwatch.operators.refine import event_context, event_type, exclusion_log, keyword_hit, refine
-from txnwatch.rules import Refinement
+from txnwatch.rules import GROUPED, Refinement
 
 EDUCATION = "university|tuition|education|school|college|student fee|semester"
 LOAN = "loan|emi|mortgage|repayment|installment|financing"
@@ -43,13 +43,13 @@ def classified_documents(t: Tables) -> DataFrame:
 
 @query(
     "f1_whole_words",
-    r"""select doc_id, case when regexp_matches(lower(text), '\b(?:loan|emi|mortgage|repayment|installment|financing)\b') then 'loan' else 'none' end as event_type
-        from documents where not regexp_matches(lower(text), '\b(?:university|tuition|education|school|college|student fee|semester)\b')
-          and not regexp_matches(lower(text), '\b(?:fixed deposit|fd|term deposit|investment|fd maturity)\b')""",
+    r"""select doc_id, case when regexp_matches(lower(text), '\b(?:university|tuition|education|school|college|student fee|semester)\b') then 'education'
+                       when regexp_matches(lower(text), '\b(?:loan|emi|mortgage|repayment|installment|financing)\b') then 'loan'
+                       when regexp_matches(lower(text), '\b(?:fixed deposit|fd|term deposit|investment|fd maturity)\b') then 'fixed_deposit' end as event_type
+        from documents""",
 )
 def whole_words(t: Tables) -> DataFrame:
-    kinds = t.read("documents").select("doc_id", F.coalesce(event_type("text", whole_words=True), F.lit("none")).alias("event_type"))
-    return kinds.filter(F.col("event_type").isin("loan", "none"))
+    return t.read("documents").select("doc_id", event_type("text", whole_words=True).alias("event_type"))
 
 
 @query("f2_context", CONTEXT + "select transaction_id, event_type, is_verified, amount_reasonable from x")
@@ -59,21 +59,34 @@ def context(t: Tables) -> DataFrame:
 
 @query(
     "f2_amount_limit",
-    """select transaction_id, transaction_amount * 150 <= 50000 as amount_reasonable from evt where transaction_type = 'purchase'""",
+    """select transaction_id, transaction_type <> 'purchase' or transaction_amount * 150 <= 50000 as amount_reasonable from evt
+       where transaction_type in ('purchase', 'signup', 'click')""",
 )
 def amount_limit(t: Tables) -> DataFrame:
-    rows = t.evt.filter(F.col("transaction_type") == "purchase").withColumn("transaction_amount", F.col("transaction_amount") * 150)
+    rows = t.evt.withColumn("transaction_amount", F.col("transaction_amount") * 150)
     return event_context(rows, t.entities).select("transaction_id", "amount_reasonable")
 
 
 @query(
     "f3_keyword_prefilter",
-    f"select transaction_id, coalesce(regexp_matches(lower(transaction_narrative), '{EDUCATION}|{DEPOSIT}'), false) as hit from evt",
+    "select transaction_id, coalesce(regexp_matches(lower(transaction_narrative), 'tuition|university|college|school'), false) as hit from evt",
 )
 def prefilter(t: Tables) -> DataFrame:
     return t.evt.select("transaction_id", keyword_hit("transaction_narrative", ["education", "fixed_deposit"]).alias("hit"))
 
 
+@query(
+    "f3_credit_and_crypto",
+    """select transaction_id, regexp_matches(lower(n), 'loan|mortgage|credit|crypto|bitcoin|binance|coinbase') as hit
+       from (select transaction_id, case transaction_id::bigint % 4 when 0 then 'Credit card bill' when 1 then 'Loan EMI'
+                                       when 2 then 'Binance top-up' else 'emi of the semester' end as n from evt)""",
+)
+def other_prefilter(t: Tables) -> DataFrame:
+    k = F.col("transaction_id").cast("long") % 4
+    text = F.when(k == 0, "Credit card bill").when(k == 1, "Loan EMI").when(k == 2, "Binance top-up").otherwise("emi of the semester")
+    return t.evt.withColumn("n", text).select("transaction_id", keyword_hit("n", ["loan", "crypto"]).alias("hit"))
+
+
 RULES = [
     Refinement("edu", ("education",)),
     Refinement("off", ("fixed_deposit",), enabled=False),
@@ -104,15 +117,18 @@ DECIDED = (
 )
 
 
-def decided(t: Tables) -> DataFrame:
+def clicks(t: Tables) -> DataFrame:
     day = F.to_date("transaction_date")
-    clicks = (
+    return (
         t.evt.filter(F.col("transaction_type") == "click")
         .groupBy("customer_id", day.alias("_day"))
         .agg(F.max("transaction_date").alias("alert_date"))
         .select(F.concat(F.lit("K"), "customer_id", F.lit("-"), F.col("_day").cast("string")).alias("alert_id"), "customer_id", "alert_date")
     )
-    return refine(clicks, t.evt, t.entities, RULES, lookback_days=2)
+
+
+def decided(t: Tables) -> DataFrame:
+    return refine(clicks(t), t.evt, t.entities, RULES, lookback_days=2)
 
 
 @query("f4_f6_decision", DECIDED + "select alert_id, customer_id, excluded, rule_id as exclusion_rule_id from d")
@@ -132,3 +148,16 @@ def reason(t: Tables) -> DataFrame:
 )
 def log(t: Tables) -> DataFrame:
     return exclusion_log(decided(t)).select("log_id", "alert_id", "rule_id", "exclusion_reason", "risk_flags.*")
+
+
+GATED = DECIDED.replace("clicks k join u on", "clicks k join u on u.r = 1 and k.customer_id in (select customer_id from evt where regexp_matches(lower(transaction_narrative), 'loan|mortgage|credit')) and")
+
+
+@query("f4_grouped_gate", GATED.replace("('loan', 'education')", "('loan', 'x')") + "select alert_id, excluded, rule_id as exclusion_rule_id from d")
+def gated(t: Tables) -> DataFrame:
+    """Of two grouped rules the one on deposits has no gate words, so it excludes nothing."""
+    rules = (
+        Refinement(rule_id="deposits", kind="event_based", enabled=True, events=("fixed_deposit",)),
+        Refinement(rule_id="loans", kind="event_based", enabled=True, events=("loan",)),
+    )
+    return refine(clicks(t), t.evt, t.entities, rules, lookback_days=2, profile=GROUPED).select("alert_id", "excluded", "exclusion_rule_id")

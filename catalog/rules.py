@@ -363,3 +363,43 @@ def dry_run_p(t: Tables) -> DataFrame:
 @query("e20_dry_run_samples_p", peak_alert_sql("customer_id, aggregated_value") + " order by customer_id limit 10")
 def dry_run_samples(t: Tables) -> DataFrame:
     return dry_run_peak(t.txn, t.cust, make_rule("S1", FLAGSHIP))[1].select("customer_id", "aggregated_value")
+
+
+@query(
+    "e19_whole_run",
+    ORDERS_PEAK
+    + f""", h as (select p.* from peak p join cust c on p.customer_id = c.customer_id where p.aggregated_value >= {BOUND}),
+      s1 as (select 'S1' as scenario_id, h.customer_id, h.aggregated_value, h.transaction_count, count(i.id) as links
+             from h join items i on h.customer_id = i.customer_id and i.rn >= h.rn and i.d <= h.window_end group by all),
+      g as (select customer_id, {WEEK} as w, cast(sum(cast(transaction_amount as decimal(18,2))) as double) as v, count(*) as n from txn group by 1, 2)
+      select *, 'completed' as status, 4 as scenarios, (select count(*) from s1) + (select count(*) from g where v > 400000) as total_alerts
+      from (select * from s1 union all select 'G1', customer_id, v, n, n from g where v > 400000)""",
+)
+def whole_run(t: Tables) -> DataFrame:
+    """Alerts with their stored links and the run record; two bad rules cost the others nothing."""
+    broken = {"aggregation": {"method": "median", "group_by": ["customer_id"]}}
+    unknown = {**CALENDAR, "aggregation": {**CALENDAR["aggregation"], "group_by": ["no_such_column"]}}
+    result = run_rules({"S1": FLAGSHIP, "bad": broken, "lost": unknown, "G1": CALENDAR}, t.txn, t.cust, "R1")
+    assert sorted(result.rejected) == ["bad", "lost"]
+    links = result.alert_transactions.groupBy("alert_id").agg(F.count(F.lit(1)).alias("links"))
+    record = result.record("2001-01-01 00:00:00").select("run_id", "status", F.size("scenarios_run").alias("scenarios"), "total_alerts")
+    return (
+        result.alerts.join(links, "alert_id").join(record, "run_id")
+        .select("scenario_id", "customer_id", "aggregated_value", "transaction_count", "links", "status", "scenarios", "total_alerts")
+    )
+
+
+@query(
+    "e19_refined_without_whitelist",
+    f"""with g as (select customer_id, {WEEK} as w, cast(sum(cast(transaction_amount as decimal(18,2))) as double) as v, max(transaction_date) as at from evt group by 1, 2)
+        select customer_id, w, exists (select 1 from evt e where e.customer_id = g.customer_id and e.transaction_narrative = 'Loan EMI payment'
+                                       and e.transaction_date between g.at - interval 30 day and g.at) as excluded from g where v > 100""",
+)
+def without_whitelist(t: Tables) -> DataFrame:
+    rule = {
+        **CALENDAR, "threshold": {"type": "fixed", "fixed_value": 100},
+        "refinements": [{"type": "event_based", "rule_id": "loans", "excluded_events": ["loan"]}],
+    }
+    alerts = run_rules({"G2": rule}, t.evt, t.cust, "R2", with_links=False).alerts
+    week = F.timestamp_micros(F.floor(F.unix_micros("alert_date") / F.lit(7 * 86_400_000_000)).cast("long") * F.lit(7 * 86_400_000_000))
+    return alerts.select("customer_id", week.alias("w"), "excluded")

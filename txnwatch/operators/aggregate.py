@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from txnwatch.operators.skew import UNKNOWN, Hot, hot_within, numbered, skew_join, whole
-from txnwatch.operators.windows import AMOUNT, micros, number
+from txnwatch.operators.skew import UNKNOWN, Hot, hot_groups, hot_within, numbered, skew_join, whole
+from txnwatch.operators.windows import AMOUNT, amount_of, instant, micros, number
 from txnwatch.rules import TimeWindow
 
 
@@ -16,13 +17,13 @@ def calendar_bucket(ts: str | Column, window: TimeWindow) -> Column:
     """Start of the bucket: multiples of N days or hours since 1970, or the calendar month."""
     column = F.col(ts) if isinstance(ts, str) else ts
     if window.unit == "months":
-        return F.date_trunc("month", column.cast("timestamp"))
+        return F.date_trunc("month", instant(column))
     return F.timestamp_micros(whole(micros(column), window.micros) * F.lit(window.micros))
 
 
 def aggregate_value(function: str, field: str | Column) -> Column:
     """D2-D5 as one aggregate; sums of nothing are 0, ``count`` counts filled values."""
-    value = (F.col(field) if isinstance(field, str) else field).try_cast(AMOUNT)
+    value = amount_of(field)
     if function == "sum":
         return F.coalesce(F.sum(value), F.lit(0).cast(AMOUNT)).cast("double")
     if function == "count":
@@ -61,7 +62,7 @@ def group_aggregate(
         .agg(
             aggregate_value(function, field).alias("aggregated_value"),
             F.count(F.lit(1)).alias("transaction_count"),
-            F.max(F.col(ts).cast("timestamp")).alias("alert_date"),
+            F.max(instant(ts)).alias("alert_date"),
             *extra,
         )
     )
@@ -86,7 +87,10 @@ def grouped_links(
 
 
 def contributions(links: DataFrame, amount: str = "transaction_amount", order: Sequence[str] = ("transaction_date", "transaction_id")) -> DataFrame:
-    """Share of each transaction in its alert's total (0 when the total is not positive) and its place 1..n."""
+    """Share of each transaction in its alert's total (0 when the total is not positive) and its place 1..n.
+
+    Refunds can leave a small total, so shares may be far above 100 or below 0.
+    """
     rows = links.select(
         "alert_id",
         "transaction_id",
@@ -94,12 +98,23 @@ def contributions(links: DataFrame, amount: str = "transaction_amount", order: S
         *[c for c in order if c not in ("alert_id", "transaction_id")],
         number(amount).alias("_value"),
     )
-    placed = numbered(rows, ["alert_id"], list(order), "sequence_order", {"_total": "_value"})
+    hot = hot_groups(rows, ["alert_id"])
+    by = W.partitionBy("alert_id")
+    place = F.row_number().over(by.orderBy(*order)).cast("long").alias("sequence_order")
+    whole_alert = F.sum("_value").over(by).alias("_total")
+    if hot is None:
+        placed = rows.select("*", place, whole_alert)
+    else:
+        # Only alerts with very many transactions need the range sort.
+        few = hot.drop("_pieces")
+        cold = rows.join(few, "alert_id", "left_anti").select("*", place, whole_alert)
+        large = numbered(rows.join(few, "alert_id", "left_semi"), ["alert_id"], list(order), "sequence_order", {"_total": "_value"})
+        placed = cold.unionByName(large)
     total = F.col("_total").cast("double")
     share = F.round(F.col("_value").cast("double") * 100 / total, 2)
     return placed.select(
         *[c for c in rows.columns if c != "_value"],
-        F.when(total > 0, share).otherwise(F.lit(0.0)).cast("decimal(5,2)").alias("contribution_percentage"),
+        F.when(total > 0, share).otherwise(F.lit(0.0)).try_cast("decimal(38,2)").alias("contribution_percentage"),
         F.lit(False).alias("is_primary_trigger"),
         "sequence_order",
     )
@@ -110,8 +125,8 @@ def beneficiary_history(
 ) -> DataFrame:
     """Totals per beneficiary; the mean gap in days follows from first, last and count."""
     names = [F.when(F.trim(c) != "", F.col(c)) for c in ("beneficiary_name", "beneficiary") if c in transactions.columns]
-    value = F.col(amount).try_cast(AMOUNT)
-    at = F.col(ts).cast("timestamp")
+    value = amount_of(amount)
+    at = instant(ts)
     gap = (F.unix_micros("last_transaction_date") - F.unix_micros("first_transaction_date")) / F.lit(86_400_000_000.0)
     return (
         transactions.withColumn("beneficiary_name", F.coalesce(*names))

@@ -12,7 +12,6 @@ from txnwatch.functions.expressions import FormulaError, formula
 from txnwatch.functions.text import money
 from txnwatch.operators.enrich import first_per_key
 from txnwatch.operators.filters import all_of, complete, predicate
-from txnwatch.operators.windows import AMOUNT
 from txnwatch.rules import Rule
 
 
@@ -24,8 +23,8 @@ def alert_id(run_id: str, scenario_id: str, owner: Sequence[str], end: str, valu
             F.lit(run_id),
             F.lit(scenario_id),
             *[F.coalesce(F.col(name).cast("string"), F.lit("")) for name in owner],
-            F.coalesce(F.unix_micros(F.col(end).cast("timestamp")).cast("string"), F.lit("")),
-            F.col(value).try_cast(AMOUNT).cast("string"),
+            F.coalesce(F.unix_micros(F.col(end).try_cast("timestamp")).cast("string"), F.lit("")),
+            F.coalesce(F.col(value).try_cast("decimal(24,6)").cast("string"), F.col(value).cast("string"), F.lit("")),
         ),
         256,
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from txnwatch.functions.rows import one_row
 from txnwatch.operators.skew import skew_join
-from txnwatch.operators.windows import AMOUNT
+from txnwatch.operators.windows import amount_of
 
 # Score of an alert without one, by classification.
 CLASS_SCORE = {"CRITICAL": 90, "HIGH": 75, "MEDIUM": 50, "LOW": 25}
@@ -108,7 +108,7 @@ def diff_grouped(
         F.max(score).alias("max_risk_score"),
         F.array_sort(F.collect_set("scenario_id")).alias("scenarios"),
     )
-    amounts = transactions.select("transaction_id", F.col("transaction_amount").try_cast(AMOUNT).alias("_amount"))
+    amounts = transactions.select("transaction_id", amount_of("transaction_amount").alias("_amount"))
     owners = gone.select("alert_id", "customer_id")
     # One transaction is linked by few alerts (rules times overlapping windows), so only alerts can be hot.
     kept = skew_join(links.select("alert_id", "transaction_id"), owners, ["alert_id"], "inner", salt_on=["transaction_id"])

@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txnwatch.functions.rows import one_row
 from txnwatch.operators.skew import list_join, skew_join
@@ -67,11 +68,7 @@ def cleanup(uploads: DataFrame, transactions: DataFrame, customers: DataFrame, a
         ),
     }
     if "trigger_details" in alerts.columns:
-        details = F.coalesce(F.col("trigger_details"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-        kept = F.map_filter(details, lambda key, _: key != "pii_removed")
-        state["trigger_details"] = F.when(
-            hit, F.map_concat(kept, F.create_map(F.lit("pii_removed"), F.lit("true")))
-        ).otherwise(F.col("trigger_details"))
+        state["trigger_details"] = _without_pii(alerts, hit)
     status = F.when((F.col("status") == "active") & (F.col("expires_at") < _clock(now)), "expired").otherwise(F.col("status"))
     return {
         "alerts": marked.withColumns(state).drop("_gone"),
@@ -81,6 +78,25 @@ def cleanup(uploads: DataFrame, transactions: DataFrame, customers: DataFrame, a
     }
 
 
+def _without_pii(alerts: DataFrame, hit: Column) -> Column:
+    """Details marked ``pii_removed``: a map gets the key, JSON text (and a struct, as JSON text) the field.
+
+    JSON text also loses the customer's name wherever it occurs, as a run writes customer fields into it.
+    """
+    column, kind = F.col("trigger_details"), alerts.schema["trigger_details"].dataType
+    if isinstance(kind, T.MapType):
+        details = F.coalesce(column, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+        kept = F.map_filter(details, lambda key, _: key != "pii_removed")
+        return F.when(hit, F.map_concat(kept, F.create_map(F.lit("pii_removed"), F.lit("true")))).otherwise(column)
+    text = F.to_json(column) if isinstance(kind, T.StructType) else column
+    plain = F.regexp_replace(F.coalesce(F.trim(text), F.lit("{}")), r',?\s*"pii_removed"\s*:\s*"?true"?', "")
+    name = F.nullif(F.trim("customer_name"), F.lit(""))
+    plain = F.coalesce(F.replace(plain, name, F.lit("ANONYMIZED")), plain)
+    body = F.regexp_replace(plain, r"\}$", "")
+    added = F.concat(body, F.when(F.trim(body) == "{", F.lit("")).otherwise(F.lit(",")), F.lit('"pii_removed":"true"}'))
+    return F.when(hit, added).otherwise(text)
+
+
 def _affected(customers: DataFrame, gone: DataFrame) -> DataFrame:
     return list_join(customers, gone, ["upload_id"]).select("customer_id").distinct()
 

@@ -54,13 +54,16 @@ def _counts(df: DataFrame, checks: Sequence[tuple[str, str, Column, str]], key:
 
 
 def transaction_issues(df: DataFrame, now: Any) -> DataFrame:
-    """H8: the findings on transactions, those with a count only."""
-    amount = F.col("transaction_amount").cast("double")
+    """H8: the findings on transactions, those with a count only. Cells that cannot be read are counted, never an end."""
+    raw, date = F.col("transaction_amount"), F.col("transaction_date")
+    amount, at = raw.try_cast("double"), date.try_cast("timestamp")
     checks = [
         ("error", "transaction_amount", amount < 0, "transactions have negative amounts"),
-        ("warning", "transaction_date", F.col("transaction_date").cast("timestamp") > F.lit(now).cast("timestamp"), "transactions are future-dated"),
+        ("warning", "transaction_date", at > F.lit(now).cast("timestamp"), "transactions are future-dated"),
         ("error", "customer_id", F.col("customer_id").isNull(), "transactions missing customer_id"),
-        ("error", "transaction_amount", amount.isNull(), "transactions missing amount"),
+        ("error", "transaction_amount", raw.isNull(), "transactions missing amount"),
+        ("error", "transaction_amount", raw.isNotNull() & amount.isNull(), "transactions with unreadable amount"),
+        ("error", "transaction_date", date.isNotNull() & at.isNull(), "transactions with unreadable date"),
         ("warning", "transaction_amount", amount > LARGE_AMOUNT, "transactions exceed 10M (potential data entry errors)"),
         ("warning", "transaction_amount", amount == 0, "transactions have zero amount"),
     ]

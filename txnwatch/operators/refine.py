@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.functions.text import col
-from txnwatch.operators.skew import hot_groups, hot_within, list_join, next_after, skew_join, sliding, stored
-from txnwatch.operators.windows import AMOUNT, DAY, micros
-from txnwatch.rules import Refinement
+from txnwatch.operators.skew import UNKNOWN, Hot, hot_groups, hot_within, list_join, next_after, skew_join, sliding, stored
+from txnwatch.operators.windows import AMOUNT, DAY, micros, number
+from txnwatch.rules import GROUPED, PEAK, Refinement
 
 # Words that mark a narrative; the first kind with a hit wins.
 KEYWORDS = {
@@ -19,6 +19,12 @@ KEYWORDS = {
     "loan": ["loan", "emi", "mortgage", "repayment", "installment", "financing"],
     "fixed_deposit": ["fixed deposit", "fd", "term deposit", "investment", "fd maturity"],
 }
+# Words by which a grouped rule picks the customers it looks at; other kinds have none.
+GATE_KEYWORDS = {
+    "education": ["tuition", "university", "college", "school"],
+    "crypto": ["crypto", "bitcoin", "binance", "coinbase"],
+    "loan": ["loan", "mortgage", "credit"],
+}
 CRYPTO_KEYWORDS = ["crypto", "bitcoin", "binance", "coinbase"]
 EDUCATION_LIMIT = 50000
 ENTITY_TYPE = {"education": "University", "loan": "FinancialInstitution"}
@@ -45,33 +51,36 @@ def event_type(narrative: str | Column, whole_words: bool = False, crypto: bool
     return chain
 
 
-def keyword_hit(narrative: str | Column, events: Iterable[str], crypto: bool = False) -> Column:
-    """whether the narrative holds any word of the wanted events."""
-    kinds = {**KEYWORDS, "crypto": CRYPTO_KEYWORDS} if crypto else KEYWORDS
-    words = [word for event in events for word in kinds.get(event, ())]
+def gate_words(events: Iterable[str]) -> list[str]:
+    """the words of a grouped rule's events; without any, the rule excludes nothing."""
+    return [word for event in events for word in GATE_KEYWORDS.get(event, ())]
+
+
+def keyword_hit(narrative: str | Column, events: Iterable[str]) -> Column:
+    """whether the narrative holds any gate word of the wanted events."""
+    words = gate_words(events)
     return F.coalesce(_mentions(F.lower(col(narrative)), words, False), F.lit(False)) if words else F.lit(False)
 
 
-def name_parts(whitelist: DataFrame) -> DataFrame:
-    """Every substring of the active entity names, per entity type.
+def name_parts(whitelist: DataFrame, keys: DataFrame) -> DataFrame:
+    """The substrings of the active entity names that have the length of some key, per entity type.
 
-    "The entity's name contains the beneficiary" becomes an equi-join on these parts; a name of n
-    characters has n(n+1)/2 of them, and names are short, so no pairwise comparison is needed.
+    "The entity's name contains the beneficiary" becomes an equi-join on these parts. ``keys`` holds the distinct
+    beneficiaries; a name of n characters gives at most n parts per length that occurs among them.
     """
     names = whitelist.filter("is_active").select("entity_type", F.lower("entity_name").alias("_name")).distinct()
-    tails = names.select(
-        "entity_type", "_name", F.explode(F.sequence(F.lit(1), F.length("_name"))).alias("_start")
-    ).select("entity_type", F.expr("substring(_name, _start)").alias("_tail")).distinct()
-    return tails.select(
-        "entity_type",
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("_tail")), lambda n: F.substring("_tail", F.lit(1), n))).alias("_key"),
+    lengths = keys.select(F.length("_key").alias("_n")).distinct()
+    sized = names.select("entity_type", "_name", F.explode(F.sequence(F.lit(1), F.length("_name"))).alias("_n")).join(lengths, "_n")
+    starts = F.sequence(F.lit(1), F.length("_name") - F.col("_n") + 1)
+    return sized.filter("length(_name) >= _n").select(
+        "entity_type", F.explode(F.transform(starts, lambda at: F.substring("_name", at, F.col("_n")))).alias("_key")
     ).distinct()
 
 
 def verified_names(names: DataFrame, whitelist: DataFrame, column: str = "beneficiary_name") -> DataFrame:
     """Distinct beneficiaries (lower case, ``_key``) with the entity types that verify them."""
     wanted = names.select(F.lower(col(column)).alias("_key")).filter(F.col("_key") != "").distinct()
-    return wanted.join(name_parts(whitelist), "_key", "inner")
+    return wanted.join(name_parts(whitelist, wanted), "_key", "inner")
 
 
 def with_verification(rows: DataFrame, whitelist: DataFrame, expected: Column, column: str = "beneficiary_name") -> DataFrame:
@@ -97,7 +106,7 @@ def event_context(
     """transactions that speak of an event, with ``is_verified`` and ``amount_reasonable``."""
     kind = event_type(narrative, whole_words, crypto)
     rows = transactions.withColumn("event_type", kind).filter(F.col("event_type").isNotNull())
-    value = F.coalesce(F.col(amount).try_cast(AMOUNT), F.lit(0).cast(AMOUNT))
+    value = number(amount)
     reasonable = ~((F.col("event_type") == "education") & (value > EDUCATION_LIMIT))
     expected = None
     for event, entity in ENTITY_TYPE.items():
@@ -109,7 +118,7 @@ def event_context(
 def alerts_with_keywords(
     alerts: DataFrame, transactions: DataFrame, events: Sequence[str], narrative: str = "transaction_narrative"
 ) -> DataFrame:
-    """Alerts whose customer has any transaction that mentions the events."""
+    """Alerts whose customer has any transaction with a gate word of the events."""
     customers = transactions.filter(keyword_hit(narrative, events)).select("customer_id").distinct()
     return skew_join(alerts, customers, ["customer_id"], "left_semi", salt_on=["alert_id"])
 
@@ -127,13 +136,17 @@ def lookback(
     one time axis per customer and are evaluated as trailing windows, so no alert is paired with
     every transaction of its lookback.
     """
-    value = F.coalesce(F.col(amount).try_cast(AMOUNT), F.lit(0).cast(AMOUNT))
+    value = number(amount)
     at = micros(ts)
     rows = transactions.select("customer_id", at.alias("_at"), value.alias("_v"), at.alias("_seen"), F.lit(1).alias("_n"))
     marks = alerts.select("customer_id", micros("alert_date").alias("_at")).withColumns(
         {"_v": F.lit(0).cast(AMOUNT), "_seen": F.lit(None).cast("long"), "_n": F.lit(0)}
     )
     both = rows.unionByName(marks).dropna(subset=["customer_id", "_at"])
+    hot = hot_groups(both, ["customer_id"])
+    if hot is None:
+        # Without hot customers all steps share one exchange.
+        both = both.repartition("customer_id")
     nodes = (
         both.groupBy("customer_id", "_at")
         .agg(F.sum("_v").alias("total"), F.sum("_n").alias("n"), F.min("_seen").alias("first"), F.max("_seen").alias("last"))
@@ -141,7 +154,7 @@ def lookback(
     )
     aggs = {"w_total": ("sum", "total"), "w_n": ("sum", "n"), "w_first": ("min", "first"), "w_last": ("max", "last")}
     source = both.select("customer_id", (-F.col("_at")).alias("_back"))
-    seen = sliding(nodes, ["customer_id"], "_back", days * DAY, aggs, source=source)
+    seen = sliding(nodes, ["customer_id"], "_back", days * DAY, aggs, source=source, hot=hot)
     zero = F.lit(0).cast(AMOUNT)
     values = seen.select(
         "customer_id",
@@ -152,7 +165,7 @@ def lookback(
         F.timestamp_micros(F.greatest("last", "w_last")).alias("lookback_last"),
     )
     keyed = alerts.select("alert_id", "customer_id", micros("alert_date").alias("_at"))
-    hot = hot_within(keyed, ["customer_id", "_at"], ["customer_id"])
+    hot = hot_within(keyed, ["customer_id", "_at"], ["customer_id"], hot)
     return skew_join(keyed, values, ["customer_id", "_at"], "inner", salt_on=["alert_id"], hot=hot).drop("_at")
 
 
@@ -166,6 +179,8 @@ def refine(
     amount: str = "transaction_amount",
     ts: str = "transaction_date",
     crypto: bool = False,
+    profile: str = PEAK,
+    hot: Hot = UNKNOWN,
 ) -> DataFrame:
     """Mark alerts that a refinement excludes.
 
@@ -174,8 +189,14 @@ def refine(
     transaction by (date, id) is the reason, and the first rule that applies wins. Qualifying
     transactions are reduced to one per customer, rule and instant; alerts and these are then read
     once in time order, so the work does not depend on how many transactions a lookback holds.
+
+    With the grouped ``profile`` a rule only looks at customers with a transaction, of any date, that holds one of
+    its own gate words (F3), and a rule whose events have no gate words excludes nothing. ``hot`` may hand over the
+    hot customers among transactions and alerts, if the caller has counted them.
     """
     active = [r for r in refinements if r.enabled and r.kind == "event_based" and r.events]
+    if profile == GROUPED:
+        active = [r for r in active if gate_words(r.events)]
     plain = alerts.withColumns(
         {
             "excluded": F.lit(False),
@@ -214,11 +235,15 @@ def refine(
         micros("alert_date").alias("_end"),
         (micros("alert_date") - F.lit(lookback_days * DAY)).alias("_start"),
     )
-    # Hot customers are counted on the narratives alone, before any join.
-    talkers = transactions.filter(event_type(narrative, crypto=crypto).isNotNull()).select("customer_id")
-    hot = hot_groups(talkers, ["customer_id"])
+    if hot is UNKNOWN:
+        # Counted on the key alone, alerts included, before any join.
+        hot = hot_groups(transactions.select("customer_id").union(alerts.select("customer_id")), ["customer_id"])
+    if profile == GROUPED:
+        tests = [F.when(keyword_hit(narrative, r.events), F.lit(i)) for i, r in enumerate(active)]
+        gate = transactions.select("customer_id", F.explode(F.array_compact(F.array(*tests))).alias("_rule")).distinct()
+        items = skew_join(items, gate, ["customer_id", "_rule"], "left_semi", salt_on=["_at"], hot=_per_rule(hot, len(active)))
     if hot is not None:
-        hot = hot.withColumn("_rule", F.explode(F.sequence(F.lit(0), F.lit(len(active) - 1))))
+        hot = _per_rule(hot, len(active))
     found = next_after(probes, items, ["customer_id", "_rule"], "_start", "_at", "_first", "_item", hot)
     first = (
         found.filter(F.col("_item.at") <= F.col("_end"))
@@ -247,6 +272,10 @@ def refine(
     )
 
 
+def _per_rule(hot: DataFrame | None, rules: int) -> DataFrame | None:
+    return None if hot is None else hot.withColumn("_rule", F.explode(F.sequence(F.lit(0), F.lit(rules - 1))))
+
+
 FLAGS = "struct<event_type:string,is_verified:boolean,amount_reasonable:boolean,beneficiary:string,amount:double>"
 
 

@@ -98,7 +98,7 @@ def alert_trace(links: DataFrame, transactions: DataFrame, alert_id: str) -> Dat
             "transaction_id",
             F.coalesce(F.col("contribution_percentage").cast("double"), F.lit(0.0)).alias("contribution_percentage"),
             F.coalesce(F.col("transaction_amount").try_cast("double"), F.lit(0.0)).alias("amount"),
-            F.col("transaction_date").cast("timestamp").alias("date"),
+            F.col("transaction_date").try_cast("timestamp").alias("date"),
             F.coalesce(F.col("beneficiary_name"), F.lit("Unknown")).alias("beneficiary"),
             F.coalesce(F.col("transaction_narrative"), F.lit("N/A")).alias("description"),
         )

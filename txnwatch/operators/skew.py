@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from txnwatch.session import checkpoint_folder
 
-# At most this many keys are treated as hot, so the list is small enough to collect and broadcast. A key
-# beyond the first 20,000 by size holds less than 1/20,000 of the rows, which one task can sort and spill.
-HOT_GROUPS = 20_000
+# Up to this many hot keys are fixed on the driver; a longer list is written to the shared folder. Joins with
+# it carry no hint, so Spark broadcasts it only if its size allows.
+LISTED_KEYS = 20_000
 MAX_SALTS = 8192
 # A list of at most this many rows is broadcast after its size has been counted.
 SHORT_LIST = 100_000
@@ -46,21 +46,21 @@ def hot_floor(spark: SparkSession) -> int:
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], floor: int | None = None) -> DataFrame | None:
-    """The largest groups of ``df``, or None when no group is large.
+    """The large groups of ``df``, or None when no group is large.
 
-    Runs one counting job over the key columns alone. At most ``HOT_GROUPS`` rows reach the driver, and
-    the fixed list gives every later use, retries included, the same answer.
+    Runs one counting job over the key columns alone. The list is fixed, on the driver if it is short and in
+    the shared folder otherwise, so every later use, retries included, gets the same answer.
     """
     floor = floor or hot_floor(df.sparkSession)
     found = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") >= floor)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(HOT_GROUPS)
         .select(*keys, F.least(F.lit(MAX_SALTS), F.ceil(F.col("_rows") / floor) + 1).cast("int").alias("_pieces"))
     )
-    rows = found.collect()
+    rows = found.limit(LISTED_KEYS + 1).collect()
+    if len(rows) > LISTED_KEYS:
+        return stored(found, "hot")
     return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
@@ -74,7 +74,7 @@ def hot_within(
     groups = hot_groups(df, group) if hot is UNKNOWN else hot
     if groups is None:
         return None
-    among = df.join(F.broadcast(groups.drop("_pieces")), list(group), "left_semi")
+    among = df.join(groups.drop("_pieces"), list(group), "left_semi")
     return hot_groups(among, keys, floor)
 
 
@@ -96,15 +96,23 @@ def hot_blocks(
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read back.
 
-    Later steps start from files every executor can reach, with fixed contents and known size.
+    Later steps start from files every executor can reach, with fixed contents and known size. They go when
+    the application ends.
     """
     path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the driver delete a folder when the application ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def mark_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(F.broadcast(hot), list(keys), "left")
+    return df.join(hot, list(keys), "left")
 
 
 def whole(column: Column, width: int) -> Column:
@@ -193,7 +201,7 @@ def running(
     frame = W.partitionBy(*group, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, upto)
     local = rows.select("*", *[REDUCE[fn](column).over(frame).alias(f"_l_{out}") for out, (fn, column) in aggs.items()])
     totals = (
-        df.join(F.broadcast(hot.drop("_pieces")), group, "left_semi")
+        df.join(hot.drop("_pieces"), group, "left_semi")
         .withColumn("_chunk", chunk)
         .groupBy(*group, "_chunk")
         .agg(*[REDUCE[fn](column).alias(f"_t_{out}") for out, (fn, column) in aggs.items()])

@@ -11,22 +11,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnwatch.operators.enrich import first_per_key
 from txnwatch.operators.skew import UNKNOWN, Hot, hot_blocks, hot_groups, hot_within, skew_join, sliding, whole
 
-AMOUNT = "decimal(24,6)"
+# Twelve digits after the point, 22 before it. Readable numbers beyond LARGEST count as LARGEST.
+AMOUNT = "decimal(34,12)"
+LARGEST = 1e21
 DAY = 86_400_000_000
 
 
 def micros(ts: str | Column) -> Column:
+    return F.unix_micros(instant(ts))
+
+
+def instant(ts: str | Column) -> Column:
+    """The time as a timestamp; null where the text cannot be read."""
     column = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(column.cast("timestamp"))
+    return column.try_cast("timestamp")
+
+
+def amount_of(column: str | Column) -> Column:
+    """The value as an exact number, null if it is missing or not a number.
+
+    Digits beyond the twelfth after the point are rounded. Numbers beyond ``LARGEST`` either way, infinity
+    included, count as that bound: still the largest of all, and sums of many of them stay in range.
+    """
+    column = F.col(column) if isinstance(column, str) else column
+    rough = column.try_cast("double")
+    bound = F.when(F.isnan(rough), None).when(rough >= LARGEST, LARGEST).when(rough <= -LARGEST, -LARGEST)
+    return F.coalesce(bound.cast(AMOUNT), column.try_cast(AMOUNT))
 
 
 def number(column: str | Column) -> Column:
     """The value as a number; missing or non-numeric text counts as zero."""
-    column = F.col(column) if isinstance(column, str) else column
-    return F.coalesce(column.try_cast(AMOUNT), F.lit(0).cast(AMOUNT))
+    return F.coalesce(amount_of(column), F.lit(0).cast(AMOUNT))
 
 
 def _peak_nodes(rows: DataFrame, function: str) -> DataFrame:
@@ -87,10 +104,28 @@ def peak_windows(
     transaction inside the window (L21). ``days`` of 0 means 30 (L23). ``hot`` may hand over the hot
     customers, if the caller has counted them.
     """
+    if hot is UNKNOWN:
+        hot = hot_groups(transactions, ["customer_id"])
+    if hot is not None:
+        # Customers without many rows need no chunks: all their steps share one exchange.
+        few = hot.drop("_pieces")
+        parts = [
+            _peak_windows(transactions.join(few, "customer_id", how), days, function, value, ts, found)
+            for how, found in (("left_anti", None), ("left_semi", hot))
+        ]
+        return parts[0].unionByName(parts[1])
+    return _peak_windows(transactions, days, function, value, ts, None)
+
+
+def _peak_windows(
+    transactions: DataFrame, days: int, function: str, value: str, ts: str, hot: DataFrame | None
+) -> DataFrame:
     width = (days or 30) * DAY
     rows = transactions.select(
         "customer_id", micros(ts).alias("at"), number(value).alias("v")
     ).filter(F.col("customer_id").isNotNull() & F.col("at").isNotNull())
+    if hot is None:
+        rows = rows.repartition("customer_id")
     nodes = _peak_nodes(rows, function)
     aggs = {"w_n": ("sum", "n"), "w_last": ("max", "at_seen")}
     if function in ("sum", "avg"):
@@ -158,9 +193,24 @@ def trailing_windows(
     all; ``peers`` says how many transactions share it. Rows with a missing group key are left out.
     """
     group = list(group_by)
-    rows = transactions.select(*group, micros(ts).alias("_at"), F.col(value).try_cast(AMOUNT).alias("_v")).dropna(
-        subset=[*group, "_at"]
-    )
+    if hot is UNKNOWN:
+        hot = hot_groups(transactions, group)
+    if hot is not None:
+        few = hot.drop("_pieces")
+        parts = [
+            _trailing_windows(transactions.join(few, group, how), width, function, group, value, ts, found)
+            for how, found in (("left_anti", None), ("left_semi", hot))
+        ]
+        return parts[0].unionByName(parts[1])
+    return _trailing_windows(transactions, width, function, group, value, ts, None)
+
+
+def _trailing_windows(
+    transactions: DataFrame, width: int, function: str, group: list[str], value: str, ts: str, hot: DataFrame | None
+) -> DataFrame:
+    rows = transactions.select(*group, micros(ts).alias("_at"), amount_of(value).alias("_v")).dropna(subset=[*group, "_at"])
+    if hot is None:
+        rows = rows.repartition(*group)
     nodes = rows.groupBy(*group, "_at").agg(
         F.sum("_v").alias("total"), F.count("_v").alias("filled"), F.count(F.lit(1)).alias("peers"),
         F.min("_v").alias("low"), F.max("_v").alias("high"),
@@ -227,24 +277,21 @@ def in_peak_window(
 ) -> DataFrame:
     """Transactions that belong to the peak window of their customer, one window per customer.
 
-    Pass stored windows where possible: whether any window starts at the last of several equal losses
-    is looked up first, as only then a second branch is needed.
+    A window that starts at the last of several equal losses takes only the one with the greatest id. That one is
+    found among the few rows at the start of such windows, so the pairs of window and transaction are formed once.
     """
     starts = windows.filter(F.col("transaction_count") > 0)
     joined = skew_join(transactions, starts, ["customer_id"], "inner", salt_on=["transaction_id"], hot=hot)
-    v, at = number(value), F.col(ts).cast("timestamp")
+    v, at = number(value), instant(ts)
     first = at == F.col("window_start")
     later = (at > F.col("window_start")) & (at <= F.col("window_end"))
-    inside = joined.filter(later | (first & (v >= F.col("start_value")) & ~F.col("starts_at_last")))
-    if starts.filter("starts_at_last").isEmpty():
-        return inside
-    # A window that starts at the last of several equal losses takes only the one with the greatest id.
-    last = first_per_key(
-        joined.filter(first & (v == F.col("start_value")) & F.col("starts_at_last")),
-        ["customer_id"],
-        [F.desc("transaction_id")],
-    )
-    return inside.unionByName(last)
+    # The greatest id at the start of windows that hold losses only; one row per such customer.
+    alone = starts.filter("starts_at_last").select("customer_id", F.col("window_start").alias("_s"), F.col("start_value").alias("_v"))
+    ends = transactions.select("customer_id", instant(ts).alias("_s"), v.alias("_v"), "transaction_id")
+    last = ends.join(alone, ["customer_id", "_s", "_v"], "left_semi").groupBy("customer_id").agg(F.max("transaction_id").alias("_last"))
+    marked = joined.join(last, "customer_id", "left")
+    begin = F.when(F.col("starts_at_last"), F.col("transaction_id") == F.col("_last")).otherwise(v >= F.col("start_value"))
+    return marked.filter(later | (first & F.coalesce(begin, F.lit(False)))).drop("_last")
 
 
 def in_trailing_window(
@@ -269,5 +316,5 @@ def in_trailing_window(
     groups = hot_groups(transactions, group) if hot is UNKNOWN else hot
     blocks = hot_blocks(transactions, group, block(F.col(ts)), groups)
     joined = skew_join(rows, spans, [*group, "_block"], "inner", salt_on=["transaction_id"], hot=blocks)
-    at = F.col(ts).cast("timestamp")
+    at = instant(ts)
     return joined.filter(at.between(F.col("window_start"), F.col("window_end"))).drop("_block")

@@ -6,7 +6,8 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnwatch.operators.aggregate import contributions
@@ -14,7 +15,7 @@ from txnwatch.operators.alerts import union_alerts
 from txnwatch.operators.filters import in_date_range
 from txnwatch.operators.mapping import map_columns
 from txnwatch.operators.refine import exclusion_log, refine
-from txnwatch.operators.skew import UNKNOWN, Hot, hot_groups, stored
+from txnwatch.operators.skew import UNKNOWN, Hot, hot_groups, list_join, stored
 from txnwatch.plans.grouped import grouped_alert_links, grouped_alerts
 from txnwatch.plans.peak import peak_alerts, peak_links
 from txnwatch.rules import GROUPED, PEAK, Rule, RuleError, make_rule
@@ -35,6 +36,29 @@ class RunResult:
     alert_transactions: DataFrame | None
     exclusion_logs: DataFrame | None
     rejected: dict[str, str] = field(default_factory=dict)
+    run_id: str = ""
+    scenarios: tuple[str, ...] = ()
+
+    def record(self, now: Any, upload_id: str | None = None) -> DataFrame:
+        """One row about the run: its rules, status, and how many alerts are there and excluded.
+
+        A run without a single rule that works has status failed.
+        """
+        spark = SparkSession.active()
+        if self.alerts is None:
+            counts = spark.range(1).select(F.lit(0).cast("long").alias("total_alerts"), F.lit(0).cast("long").alias("excluded_alerts"))
+        else:
+            counts = self.alerts.agg(F.count(F.lit(1)).alias("total_alerts"), F.count_if("excluded").alias("excluded_alerts"))
+        return counts.select(
+            F.lit(self.run_id).alias("run_id"),
+            F.lit(upload_id).cast("string").alias("upload_id"),
+            F.lit(now).cast("timestamp").alias("created_at"),
+            F.lit("failed" if self.alerts is None else "completed").alias("status"),
+            F.array(*[F.lit(s) for s in self.scenarios]).cast("array<string>").alias("scenarios_run"),
+            F.array(*[F.lit(s) for s in sorted(self.rejected)]).cast("array<string>").alias("scenarios_rejected"),
+            "total_alerts",
+            "excluded_alerts",
+        )
 
     def tables(self) -> dict[str, DataFrame]:
         named = {
@@ -56,8 +80,10 @@ def refined_alerts(
 ) -> DataFrame:
     """Alerts of one rule with suppression marks."""
     alerts = rule_alerts(transactions, customers, rule, run_id, hot)
-    refinements = rule.refinements if whitelist is not None else ()
-    return refine(alerts, transactions, whitelist, refinements)
+    if whitelist is None:
+        # Nothing is verified then; loans and deposits need no whitelist.
+        whitelist = transactions.sparkSession.createDataFrame([], "entity_name string, entity_type string, is_active boolean")
+    return refine(alerts, transactions, whitelist, rule.refinements, profile=rule.profile)
 
 
 def rule_links(
@@ -94,12 +120,18 @@ def run_rules(
     start: Any = None,
     end: Any = None,
     with_links: bool = True,
+    uploads: DataFrame | None = None,
 ) -> RunResult:
-    """Alerts of all rules; a rule that cannot be read contributes nothing and is reported.
+    """Alerts of all rules, over the datasets of ``uploads`` (column upload_id) if given; a rule that cannot be read, planned or stored contributes nothing and is reported.
 
     The run's mapping and date range apply once (B4, B19). A peak rule's own mapping applies when it
-    uses a field (B3), a grouped rule's to the data after the run's (B4). Without links everything stays lazy; with links, alerts and numbered links are stored.
+    uses a field (B3), a grouped rule's to the data after the run's (B4). Without links everything stays lazy; with links, alerts and
+    links are stored, so failures while running also stay with their rule. Without a whitelist nothing is verified.
     """
+    if uploads is not None:
+        # A run over chosen datasets: one upload, those of a user, or the active ones.
+        chosen = uploads.select("upload_id").distinct()
+        transactions, customers = (list_join(df, chosen, ["upload_id"]) for df in (transactions, customers))
     txns = in_date_range(map_columns(transactions, mapping), start, end)
     people = map_columns(customers, mapping)
     # Hot customers are counted once for all rules.
@@ -108,26 +140,30 @@ def run_rules(
     for scenario_id, config in configs.items():
         try:
             rule = make_rule(scenario_id, config)
-        except (RuleError, TypeError, ValueError, KeyError) as error:
-            rejected[scenario_id] = str(error)
+            rows, owners, hot = txns, people, shared
+            if rule.profile == GROUPED and rule.mapping:
+                # A grouped rule's own mapping renames the data, so that keys and thresholds follow it too.
+                rows, owners = map_columns(txns, rule.mapping), map_columns(people, rule.mapping)
+                hot = UNKNOWN if "customer_id" in rule.mapping else shared
+                rule = replace(rule, mapping={})
+            marked = refined_alerts(rows, owners, rule, run_id, whitelist, hot)
+            behind = None
+            if with_links:
+                # Alerts and their links feed several tables, so they are computed once and stored.
+                marked = stored(marked, "alerts")
+                behind = stored(contributions(rule_links(rows, owners, marked, rule, hot)), "links")
+            shaped = common_alerts(marked)
+        except (RuleError, TypeError, ValueError, KeyError, PySparkException) as error:
+            # One bad rule must not cost the others their alerts.
+            rejected[scenario_id] = str(error).split("\n")[0]
             continue
-        rows, owners, hot = txns, people, shared
-        if rule.profile == GROUPED and rule.mapping:
-            # A grouped rule's own mapping renames the data, so that keys and thresholds follow it too.
-            rows, owners = map_columns(txns, rule.mapping), map_columns(people, rule.mapping)
-            hot = UNKNOWN if "customer_id" in rule.mapping else shared
-            rule = replace(rule, mapping={})
-        marked = refined_alerts(rows, owners, rule, run_id, whitelist, hot)
-        if with_links:
-            # Alerts feed three tables, so they are computed once and stored.
-            marked = stored(marked, "alerts")
-        alerts.append(common_alerts(marked))
-        if with_links:
-            links.append(contributions(rule_links(rows, owners, marked, rule, hot)))
+        alerts.append(shaped)
+        if behind is not None:
+            links.append(behind)
     if not alerts:
-        return RunResult(None, None, None, rejected)
+        return RunResult(None, None, None, rejected, run_id, tuple(configs))
     together = union_alerts(alerts)
-    return RunResult(together, union_alerts(links) if links else None, exclusion_log(together), rejected)
+    return RunResult(together, union_alerts(links) if links else None, exclusion_log(together), rejected, run_id, tuple(configs))
 
 
 def sample_customers(customers: DataFrame, size: int = 20) -> DataFrame:

@@ -133,10 +133,19 @@ def key_check(df: DataFrame, required: Sequence[str], row_number: str | None = N
 
 
 def fill_missing_ids(df: DataFrame, column: str = "transaction_id") -> DataFrame:
-    """A8 (peak): a row without transaction id gets one derived from its content."""
+    """A8 (peak): a row without transaction id gets one derived from its content.
+
+    Equal rows are told apart by their number among their likes, so each keeps an id of its own. They are counted
+    first and written out again, so many equal rows meet no single task.
+    """
     others = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns if c != column]
-    generated = F.sha2(F.concat_ws("\u0001", *others), 256)
-    return df.withColumn(column, F.coalesce(present(column), generated))
+    filled = df.withColumn(column, present(column))
+    given = filled.filter(F.col(column).isNotNull())
+    alike = filled.filter(F.col(column).isNull()).groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_likes"))
+    each = alike.withColumn("_like", F.explode(F.sequence(F.lit(1), F.col("_likes").cast("int"))))
+    again = F.when(F.col("_like") > 1, F.col("_like").cast("string"))
+    generated = F.sha2(F.concat_ws("\u0001", *others, again), 256)
+    return given.unionByName(each.withColumn(column, generated).drop("_likes", "_like"))
 
 
 def tenant_ids(df: DataFrame, upload_id: str | Column, columns: Sequence[str] = ("customer_id",)) -> DataFrame:
