@@ -14,8 +14,7 @@ def grams(words, width):
 def brute(docs, items, width=5, least=0.8):
     """doc -> item ids found, by comparing every window of every item's size that shares a shingle."""
     sets = {i: (len(t.lower().encode().split()), t.lower().encode().split()) for i, t in items if (t or "").split()}
-    held = Counter(g for n, w in sets.values() for g in grams(w, min(width, n)))
-    weight = lambda g: 1 / held[g] if g in held else 1.0
+    weight = lambda g: sum(map(len, g))
     out = {}
     for doc, text in docs:
         words, found = (text or "").lower().encode().split(), []
@@ -57,12 +56,10 @@ def tables():
 def test_same_as_all_windows(spark, tables, monkeypatch, group):
     monkeypatch.setattr(decontaminate, "ITEMS", group)
     docs, items = tables
-    # Groups weigh shingles by their own items, so grouped runs are compared with unweighted text only where no shingle repeats.
     out = leak_report(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")).collect()
     got, want = {r.doc_id: list(r.item_ids) for r in out}, brute(docs, items)
     assert len(out) == len(docs)
-    differ = [k for k in want if want[k] != got[k]]
-    assert differ == [] if group > 100 else len(differ) <= 5
+    assert got == want
 
 
 def test_whole_table(spark):

@@ -4,7 +4,7 @@ For every benchmark item of n words the windows of n words of a text get a 64-bi
 word shingles. Fingerprints are cut into ``BLOCKS`` blocks; two fingerprints that differ in at most ``RADIUS``
 bits differ in at most ``RADIUS // BLOCKS`` bits in some block, so tables of the items by block value find
 every item within the radius. The candidates are then compared exactly: weighted Jaccard of the shingle
-multisets, a shingle weighing one over the number of items that hold it (one if none does).
+multisets, a shingle weighing as many points as its words have bytes, so long words count more than short ones.
 
 Both sides are lower-cased. Windows that hold no shingle of any item have similarity 0 and are skipped before hashing. The benchmark is a
 stated query set: it is read in groups of about ``ITEMS`` items, each group is sent to all tasks and meets all
@@ -46,20 +46,28 @@ def pack(votes: np.ndarray) -> np.ndarray:
     return np.packbits(votes > 0, axis=1)
 
 
+def sizes_of(lengths: np.ndarray, width: int) -> np.ndarray:
+    """Bytes of the words of each shingle."""
+    run = np.concatenate([[0], np.cumsum(lengths)])
+    k = min(width, len(lengths))
+    return (run[k:] - run[: len(run) - k]).astype(np.float64)
+
+
 class Index:
     """The items of one group: their shingles, and block tables by item length."""
 
     def __init__(self, items: list[tuple[int, bytes]], width: int) -> None:
         self.width = width
         self.ids, self.n, self.sets = [], [], []
+        self.weight: dict[int, float] = {}
         for item, text in items:
-            h = words(array(text), lower=True)[2]
+            starts, ends, h = words(array(text), lower=True)
             if len(h):
                 self.ids.append(item)
                 self.n.append(len(h))
-                self.sets.append(Counter(shingles(h, width).tolist()))
-        held = Counter(s for c in self.sets for s in c)
-        self.weight = {s: 1.0 / k for s, k in held.items()}
+                found = shingles(h, width).tolist()
+                self.sets.append(Counter(found))
+                self.weight.update(zip(found, sizes_of(ends - starts, width).tolist(), strict=True))
         self.lengths: dict[int, np.ndarray] = {}
         for k, n in enumerate(self.n):
             self.lengths.setdefault(n, []).append(k)
@@ -86,7 +94,7 @@ class Index:
 
     def vote(self, counts: Counter) -> np.ndarray:
         keys = np.array(list(counts), np.uint64)
-        size = np.array([counts[s] * self.weight.get(s, 1.0) for s in counts])
+        size = np.array([counts[s] * self.weight[s] for s in counts])
         return (bits_of(keys) * size[:, None]).sum(0)
 
     def hits(self, s: np.ndarray, w: int) -> np.ndarray:
@@ -96,17 +104,18 @@ class Index:
         found = np.searchsorted(keys, s[at])
         return at[(found < len(keys)) & (keys[np.minimum(found, len(keys) - 1)] == s[at])]
 
-    def similarity(self, window: np.ndarray, item: int) -> float:
+    def similarity(self, window: np.ndarray, sizes: np.ndarray, item: int) -> float:
         have, want = Counter(window.tolist()), self.sets[item]
+        weight = dict(zip(window.tolist(), sizes.tolist(), strict=True))
         both = either = 0.0
         for s in have.keys() | want.keys():
-            w = self.weight.get(s, 1.0)
+            w = weight[s] if s in weight else self.weight[s]
             a, b = have.get(s, 0), want.get(s, 0)
             both, either = both + w * min(a, b), either + w * max(a, b)
         return both / either
 
-    def search(self, hashes: np.ndarray, least: float) -> dict[int, tuple[float, int]]:
-        """For each item found in a text: best similarity and first word of that window."""
+    def search(self, hashes: np.ndarray, lengths: np.ndarray, least: float) -> dict[int, tuple[float, int]]:
+        """For each item found in a text (its word hashes and lengths): best similarity and first word of that window."""
         out: dict[int, tuple[float, int]] = {}
         total = len(hashes)
         for w in self.known:
@@ -114,6 +123,7 @@ class Index:
             at = self.hits(s, w)
             if not len(at):
                 continue
+            sizes = sizes_of(lengths, w)
             for n in sorted(set().union(*(self.holders[x] for x in set(s[at].tolist())))):
                 if min(self.width, n) != w:
                     continue
@@ -125,13 +135,12 @@ class Index:
                 np.add.at(step, np.minimum(at, last) + 1, -1)
                 starts = np.flatnonzero(np.cumsum(step)[:-1] > 0)
                 for k in range(0, len(starts), 4096):
-                    self._compare(s, starts[k : k + 4096], inside, n, least, out)
+                    self._compare(s, sizes, starts[k : k + 4096], inside, n, least, out)
         return out
 
-    def _compare(self, s: np.ndarray, starts: np.ndarray, inside: int, n: int, least: float, out: dict) -> None:
+    def _compare(self, s: np.ndarray, sizes: np.ndarray, starts: np.ndarray, inside: int, n: int, least: float, out: dict) -> None:
         low, high = int(starts[0]), min(len(s), int(starts[-1]) + inside)
-        part = s[low:high]
-        size = np.array([self.weight.get(x, 1.0) for x in part.tolist()])
+        part, size = s[low:high], sizes[low:high]
         run = np.zeros((len(part) + 1, BITS))
         np.cumsum(bits_of(part) * size[:, None], axis=0, out=run[1:])
         ends = np.minimum(starts + inside, len(s))
@@ -148,7 +157,7 @@ class Index:
             best = out.get(item)
             if best and best[0] >= 1.0:
                 continue
-            found = self.similarity(s[start : start + inside], item)
+            found = self.similarity(s[start : start + inside], sizes[start : start + inside], item)
             if found >= least and (best is None or (-found, start) < (-best[0], best[1])):
                 out[item] = (found, start)
 
@@ -181,7 +190,7 @@ def _finder(sent, width: int, least: float):
             rows = texts(batch.column(2))
             found: list[dict[int, tuple[float, int]]] = [{} for _ in rows]
             for first, buf, begin in blocks(rows):
-                starts, _, hashes = words(buf, lower=True)
+                starts, ends, hashes = words(buf, lower=True)
                 if not len(hashes):
                     continue
                 doc = np.searchsorted(begin, starts, "right") - 1
@@ -191,7 +200,7 @@ def _finder(sent, width: int, least: float):
                     at = index.hits(shingles(hashes, w), w) if len(hashes) >= w else np.zeros(0, np.int64)
                     chosen.update(doc[at[doc[at] == doc[np.minimum(at + w - 1, len(doc) - 1)]]].tolist())
                 for k in chosen:
-                    found[first + k] = index.search(hashes[edge[k] : edge[k + 1]], least)
+                    found[first + k] = index.search(hashes[edge[k] : edge[k + 1]], (ends - starts)[edge[k] : edge[k + 1]], least)
             flat = [sorted((index.ids[i], score, start) for i, (score, start) in f.items()) for f in found]
             size = np.array([len(f) for f in flat], np.int64)
             column = lambda k, kind: np.array([x[k] for f in flat for x in f], kind)  # noqa: B023, E731
