@@ -8,6 +8,7 @@ from catalog.ingest import DIFF
 from txnwatch.functions.scoring import gap_level
 from txnwatch.operators import compare, risk
 from txnwatch.operators.reports import recent_runs, run_alerts, run_detail, run_list
+from txnwatch.plans.compare import compare_runs
 from txnwatch.rules import Refinement
 
 
@@ -299,3 +300,25 @@ def alert_diff_counts(t: Tables) -> DataFrame:
 )
 def counts(t: Tables) -> DataFrame:
     return compare.customer_counts(t.old, t.new)
+
+
+@query(
+    "g6_compare_runs",
+    f"""with r as (select run_id from run where status = 'completed' and list_contains(scenarios_run, 'S1') order by created_at desc, run_id desc limit 1),
+        b as (select * from alert where run_id = 'RUN1997'), n as (select * from alert where run_id in (select run_id from r)),
+        lb as (select customer_id, arg_max(risk_score, (alert_date, alert_id)) as s from b group by 1),
+        ln as (select customer_id, arg_max(risk_score, (alert_date, alert_id)) as s from n group by 1)
+        select coalesce(lb.customer_id, ln.customer_id) as customer_id, coalesce(ln.s, lb.s) as risk_score,
+               case when ln.customer_id is null then 'removed' when lb.customer_id is null then 'added' else 'maintained' end as status,
+               (select count(*) from b) - (select count(*) from n) as net_change, (select count(*) from n) as overlap_count,
+               {half_up("((select count(*) from b) - (select count(*) from n)) * 100.0 / (select count(*) from b)", 2)} as reduction_rate
+        from lb full join ln on lb.customer_id = ln.customer_id""",
+)
+def compared(t: Tables) -> DataFrame:
+    """A run named by its id against the latest run of a rule."""
+    done = compare_runs(t.alert, t.run, "RUN1997", "S1")
+    parts = done.summary.select("net_change", "reduction_rate").withColumn("k", F.lit(1)).join(
+        done.efficiency.select("overlap_count").withColumn("k", F.lit(1)), "k"
+    )
+    rows = done.diff.select("customer_id", "risk_score", "status").withColumn("k", F.lit(1))
+    return rows.join(F.broadcast(parts), "k").drop("k")

@@ -67,6 +67,7 @@ one("b18_only_in_customer", "region", "==", "ASIA", "region = 'ASIA'", "peak")
 one("b22_between", "transaction_amount", "between", [100000, 120000], "transaction_amount between 100000 and 120000")
 one("b22_starts_with", "channel", "starts_with", "4-n", "lower(channel) like '4-n%'")
 one("b22_ends_with", "channel", "ends_with", "HIGH", "lower(channel) like '%high'")
+one("b22_less_or_equal", "transaction_amount", "less_or_equal", 20000, "transaction_amount <= 20000")
 one("b22_greater_or_equal", "transaction_amount", "greater_or_equal", 400000, "transaction_amount >= 400000")
 
 

@@ -117,6 +117,7 @@ def search(df: DataFrame, text: str, columns: Sequence[str]) -> DataFrame:
 def export_alerts(alerts: DataFrame, customers: DataFrame) -> DataFrame:
     """The nine export columns of a run."""
     rows = add_customer_fields(alerts, customers, ["occupation", "annual_income"])
+    # The titles of the export.
     shown = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("N/A")) if name in rows.columns else F.lit("N/A")
     return rows.select(
         F.col("alert_id").alias("Alert ID"),
@@ -133,6 +134,7 @@ def export_alerts(alerts: DataFrame, customers: DataFrame) -> DataFrame:
 
 def export_comparison(diff: DataFrame) -> DataFrame:
     """The seven export columns of a comparison."""
+    # The titles of the export.
     names = {
         "customer_id": "Customer ID", "status": "Status", "risk_score": "Risk Score", "risk_change": "Risk Change",
         "scenario": "Scenario", "amount": "Amount", "reason": "Reason",

@@ -36,9 +36,13 @@ class UnknownFile(ValueError):
     """The header fits neither transactions nor customers."""
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """A1: a delimited file with header, every cell as text; a byte-order mark is removed."""
-    df = spark.read.csv(path, header=True, sep=delimiter, encoding="UTF-8", quote='"', escape='"', multiLine=False)
+def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", multi_line: bool = False) -> DataFrame:
+    """A1: a delimited file with header, every cell as text; a byte-order mark is removed.
+
+    ``multi_line`` keeps line breaks inside quoted cells. Spark then reads each file in one task, so use it only
+    for files that have such cells and are not huge, or that come in many parts.
+    """
+    df = spark.read.csv(path, header=True, sep=delimiter, encoding="UTF-8", quote='"', escape='"', multiLine=multi_line)
     return df.toDF(*[name.lstrip("﻿") for name in df.columns])
 
 
