@@ -14,6 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txnwatch.operators.skew import delete_at_end
 from txnwatch.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,8 +155,10 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def scratch(self, name: str) -> str:
-        """A fresh folder every executor can reach."""
-        return f"{checkpoint_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        """A fresh folder every executor can reach, deleted when the application ends."""
+        path = f"{checkpoint_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        delete_at_end(self.spark, path)
+        return path
 
     @cached_property
     def txn(self) -> DataFrame:
