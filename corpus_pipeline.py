@@ -14,6 +14,7 @@ from txnwatch.llm.line_dedup import without_lines
 from txnwatch.llm.mixing import mixture
 from txnwatch.llm.near_dedup import one_of_each
 from txnwatch.llm.passages import learn, score
+from txnwatch.operators.skew import delete_at_end
 from txnwatch.session import checkpoint_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -62,6 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    delete_at_end(spark, folder)
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.llm.words import mix
+from txnwatch.operators.skew import delete_at_end
 from txnwatch.session import checkpoint_folder
 
 
@@ -17,14 +18,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet under the shared checkpoint folder and read back.
 
     It cuts the lineage, fixes the rows for every later reader and survives lost executors. The folder
-    goes when the driver's JVM ends.
+    goes when the application ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
