@@ -190,18 +190,23 @@ def all_anchors(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            for row, text in enumerate(texts(batch.column(3))):
-                if text is None or len(text) < SPAN:
-                    continue
-                for at, own, first, last, gram, around in anchors_of(array(text), piece):
-                    one = pa.array(np.full(len(own), row))
+            # Texts are gathered to some megabytes of anchors before they are handed on.
+            held: list[list[np.ndarray]] = []
+            total = 0
+            rows = texts(batch.column(3))
+            for row, text in enumerate(rows):
+                if text is not None and len(text) >= SPAN:
+                    for at, own, first, last, gram, around in anchors_of(array(text), piece):
+                        held.append([np.full(len(own), row), own + at, first + at, last + at, signed(gram), signed(around)])
+                        total += len(own)
+                if held and (total > 1 << 16 or row == len(rows) - 1):
+                    one, *columns = (np.concatenate(x) for x in zip(*held, strict=True))
+                    place = pa.array(one)
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).cast(pa.int64()).take(one), batch.column(1).take(one), batch.column(2).take(one),
-                            pa.array(own + at), pa.array(first + at), pa.array(last + at), pa.array(signed(gram)), pa.array(signed(around)),
-                        ],
+                        [batch.column(0).cast(pa.int64()).take(place), batch.column(1).take(place), batch.column(2).take(place), *map(pa.array, columns)],
                         ["doc_id", "t", "u", "anchor", "first", "last", "gram", "around"],
-                    )
+                    )
+                    held, total = [], 0
 
     return docs.mapInArrow(run, f"{KEYS}, anchor long, first long, last long, gram long, around long")
 
