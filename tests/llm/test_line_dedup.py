@@ -47,16 +47,19 @@ def rows():
                     words[rng.randrange(len(words))] = rng.choice(vocabulary)
             else:
                 words = rng.choices(vocabulary, [1 / (i + 1) for i in range(120)], k=rng.randint(1, 25))
+                if rng.random() < 0.1:
+                    words = rng.sample([f"z{i}" for i in range(400)], k=rng.randint(90, 130))
             pool.append(words)
             lines.append(" ".join(words).title() if rng.random() < 0.2 else " ".join(words))
         out.append((doc, "\n".join(lines)))
     return out
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_same_as_comparing_all_lines(spark, rows, monkeypatch, hot):
-    if hot:
-        monkeypatch.setattr(line_dedup, "HOT_ROWS", 3)
+@pytest.mark.parametrize("hot", [20_000, 3])
+@pytest.mark.parametrize("keep", [4, 1])
+def test_same_as_comparing_all_lines(spark, rows, monkeypatch, hot, keep):
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", hot)
+    monkeypatch.setattr(line_dedup, "KEEP", keep)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert found(line_report(df)) == brute(rows)
 

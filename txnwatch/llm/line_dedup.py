@@ -2,15 +2,20 @@
 
 A line is the set of its words (A-Z folded). The words of a line are ordered by rarity; two sets with Jaccard
 similarity of at least the bound share a word among the first few of each (prefix filter), at places that leave
-room for enough common words (positional filter), and have similar sizes (length filter). A 64-bit parity map
-of the words bounds their difference, so few pairs are left for the exact comparison. A line goes when an
-earlier line, by (doc_id, text hash, line number), is equal or similar to it; it does not matter whether that
-one goes as well. Lines of four words or fewer can only be equal.
+room for enough common words (positional filter), and have similar sizes (length filter). A parity map of the
+words (64 bits, 256 for long lines) bounds their difference, so few pairs are left for the exact comparison. A
+line goes when an earlier line, by (doc_id, text hash, line number), is equal or similar to it; it does not matter
+whether that one goes as well. Lines of four words or fewer can only be equal.
+
+One earlier line is enough, so a line does not meet all lines like it: per prefix word it stops looking once it has
+``SURE`` earlier candidates whose maps differ in at most half of what is allowed, or ``KEEP`` of any kind. The
+best of all words is compared first, then the others of lines that are still undecided. Lines undecided after
+that which stopped early meet every candidate.
 
 Rarity comes from word counts of all texts in ``SLOTS`` counters, a table of fixed size (1 MB) that is sent to all
-tasks. Collisions only change the order, which has to be the same everywhere but need not be exact. Words in
-more than 1/``HOT_SHARE`` of the prefix rows are joined by (word, size class) in a plain join that Spark
-splits under skew; there are at most ``HOT_SHARE`` of them. All others are read in sorted order, a word at a time.
+tasks. Collisions only change the order, which has to be the same everywhere but need not be exact. A word
+whose counter holds more than 1/``HOT_SHARE`` of all words is split by size class; sets of one class and the
+next larger one meet there.
 
 Defined cases: a null or empty text has no lines and loses none; lines without a word stay and count for nothing;
 a null doc_id comes last in order; rows with the same id and text count as one document and share its result;
@@ -33,6 +38,10 @@ SLOTS = 1 << 20
 PIECE = 1 << 12  # counters per row of the count table
 HOT_SHARE = 10_000
 HOT_ROWS = 20_000
+KEEP = 32
+SURE = 2
+LONG = 100  # lines with more words have wide parity maps
+LAST = np.iinfo(np.int64).max  # place of a null doc_id
 SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -40,8 +49,8 @@ def text_key(column: Column) -> Column:
     return F.xxhash64(column)
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """For each counter eight times the binary logarithm of its words' count, as one byte."""
+def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """For each counter eight times the binary logarithm of its words' count, as one byte; the least hot rank."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
@@ -72,11 +81,17 @@ def rarity(docs: DataFrame) -> np.ndarray:
     counts = docs.select("text").mapInArrow(count, shape)
     # Two rounds, so that no task gets the rows of all partitions.
     part = counts.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(16))).groupBy("piece", "salt").applyInArrow(add, shape)
-    out = np.zeros(SLOTS, np.uint8)
+    out, all_words = np.zeros(SLOTS, np.uint8), 0
     for row in part.groupBy("piece").applyInArrow(add, shape).collect():
         at = np.frombuffer(bytes(row["at"]), "<u2").astype(np.int64) + row["piece"] * PIECE
-        out[at] = np.minimum(255, 8 * np.log2(np.frombuffer(bytes(row["n"]), "<i8") + 1.0)).astype(np.uint8)
-    return out
+        n = np.frombuffer(bytes(row["n"]), "<i8")
+        out[at] = log_rank(n)
+        all_words += int(n.sum())
+    return out, int(log_rank(np.array([max(HOT_ROWS, all_words // HOT_SHARE)]))[0]) + 1
+
+
+def log_rank(n: np.ndarray) -> np.ndarray:
+    return np.minimum(255, 8 * np.log2(n + 1.0)).astype(np.uint8)
 
 
 # The value of a counter that has seen one word.
@@ -104,96 +119,150 @@ def line_sets(buf: np.ndarray, rank: np.ndarray) -> dict[str, np.ndarray] | None
     return {
         "line": line[first], "first": first, "n": np.diff(np.append(first, len(key))), "key": key, "feeds": feeds,
         "id1": np.add.reduceat(mix(key), first), "id2": np.add.reduceat(mix(key ^ SALT), first),
-        "bits": np.bitwise_xor.reduceat(np.uint64(1) << ((key >> np.uint64(20)) & np.uint64(63)), first),
+        "owner": np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key)))),
     }
 
 
+def parities(s: dict[str, np.ndarray]) -> np.ndarray:
+    """Parity maps of the lines of a block, four words each; short lines use the first only."""
+    slot = (s["key"] >> np.uint64(20)) & np.uint64(255)
+    wide = (s["n"] > LONG)[s["owner"]]
+    slot = np.where(wide, slot, slot & np.uint64(63))
+    out = np.zeros((len(s["n"]), 4), np.uint64)
+    bit = np.uint64(1) << (slot & np.uint64(63))
+    for k in range(4):
+        out[:, k] = np.bitwise_xor.reduceat(np.where(slot >> np.uint64(6) == k, bit, np.uint64(0)), s["first"])
+    return out
+
+
 def occurrences(docs: DataFrame, sent, percent: int) -> DataFrame:
-    """A row per line with words, and one with line -1 per document: ids of its set, size, parity map, prefix."""
+    """A row per line with words, and one with line -1 per document: ids of its set, size, parity map, prefix.
+
+    Prefix entries hold the word (high 32 bits), its place in the line, and a last bit that is set where the
+    line stands in the size class below its own.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        rank, seen = sent.value, set()
-        names = ["doc_id", "t", "line", "n", "id1", "id2", "bits", "skipped", "prefix"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
+        (rank, hot), seen = sent.value, {}
+        names = ["doc_id", "t", "line", "n", "id1", "id2", "p0", "p1", "p2", "p3", "prefix"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 6, pa.list_(pa.int64())]
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
+            place = ids.fill_null(LAST).to_numpy(zero_copy_only=False)
             t = batch.column(1).to_numpy(zero_copy_only=False)
-            k = len(t)
-            zero = np.zeros(k, np.int64)
-            plain = [zero - 1, zero, zero, zero, zero, zero]
+            zero = np.zeros(len(t), np.int64)
+            plain = [zero - 1, *[zero] * 7]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(t), *[pa.array(x, kind) for x, kind in zip(plain, kinds[2:8], strict=True)], list_column(np.zeros(0, np.int32), zero, pa.int32())], names
+                [ids, pa.array(t), *[pa.array(x, kind) for x, kind in zip(plain, kinds[2:10], strict=True)], list_column(zero[:0], zero, pa.int64())], names
             )
             for at, buf, begin in blocks(texts(batch.column(2))):
                 s = line_sets(buf, rank)
                 if s is None:
                     continue
                 base = np.searchsorted(s["feeds"], begin)  # line feeds before each text
-                doc = np.searchsorted(base, s["line"], "right") - 1
+                doc = np.searchsorted(base, s["line"], "right") - 1 + at
                 n = s["n"]
                 size = np.where(n > 4, prefix_size(n, percent), 0)
-                # Prefix rows once per task and set; later copies of a line add nothing.
-                if len(seen) > 2_000_000:
+                # Prefix entries once per task and set, again only for an earlier document.
+                if len(seen) > 1_000_000:
                     seen.clear()
                 new = np.zeros(len(n), bool)
-                for i, x in enumerate(s["id1"].tolist()):
-                    if x not in seen:
-                        seen.add(x)
+                for i, (x, d) in enumerate(zip(s["id1"].tolist(), place[doc].tolist(), strict=True)):
+                    if size[i] and d < seen.get(x, LAST + 1):
+                        seen[x] = d
                         new[i] = True
                 size[~new] = 0
                 total = int(size.sum())
-                pick = np.repeat(s["first"] - (np.cumsum(size) - size), size) + np.arange(total)
-                key = s["key"][pick]
+                within = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
                 owner = np.repeat(np.arange(len(n)), size)
-                # Words that occur once in all texts lead to no other line; they come first in their line.
+                key = s["key"][s["first"][owner] + within]
+                # Words that occur once in all texts lead to no other line.
                 useful = (key >> np.uint64(56)) > ONCE
-                used = np.bincount(owner[useful], minlength=len(n))
+                key, owner, within = key[useful], owner[useful], within[useful]
+                common = (key >> np.uint64(56)) >= hot
+                twice = 1 + common.astype(np.int64)
+                key, owner, within, common = (np.repeat(x, twice) for x in (key, owner, within, common))
+                lower = np.zeros(len(key), bool)
+                lower[1:] = common[1:] & (np.arange(1, len(key)) == np.cumsum(twice).repeat(twice)[1:] - 1)
+                step = np.floor(np.log(n[owner]) / np.log(100 / percent)).astype(np.int64) - lower
+                key = np.where(common, mix(key + step.astype(np.uint64)), key)
+                entry = (key << np.uint64(32)) | (within.astype(np.uint64) << np.uint64(1)) | lower.astype(np.uint64)
+                parity = parities(s)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(pa.array(doc + at)), pa.array(t[doc + at]), pa.array((s["line"] - base[doc]).astype(np.int32)), pa.array(n.astype(np.int32)),
-                        pa.array(signed(s["id1"])), pa.array(signed(s["id2"])), pa.array(signed(s["bits"])), pa.array((size - used).astype(np.int32)),
-                        list_column(key[useful].astype(np.uint32).view(np.int32), used, pa.int32()),
+                        ids.take(pa.array(doc)), pa.array(t[doc]), pa.array((s["line"] - base[doc - at]).astype(np.int32)), pa.array(n.astype(np.int32)),
+                        pa.array(signed(s["id1"])), pa.array(signed(s["id2"])), *[pa.array(signed(parity[:, k].copy())) for k in range(4)],
+                        list_column(signed(entry), np.bincount(owner, minlength=len(n)), pa.int64()),
                     ],
                     names,
                 )
 
-    shape = "doc_id long, t long, line int, n int, id1 long, id2 long, bits long, skipped int, prefix array<int>"
+    shape = "doc_id long, t long, line int, n int, id1 long, id2 long, p0 long, p1 long, p2 long, p3 long, prefix array<long>"
     return docs.select("doc_id", text_key(F.col("text")), "text").mapInArrow(run, shape)
 
 
-def needed_overlap(n: Column, m: Column, percent: int) -> Column:
-    return F.ceil(percent * (n + m) / (100 + percent))
+def fit(n, m, pos_n, pos_m, parity_n, parity_m, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which pairs pass the positional and parity filters, the bound on their difference, which are promising."""
+    least = -(-percent * (n + m) // (100 + percent))
+    ok = np.minimum(n - pos_n, m - pos_m) >= least
+    apart = np.bitwise_count(parity_n ^ parity_m).sum(1).astype(np.int64)
+    # Maps of different width cannot be compared.
+    odd = (n > LONG) != (m > LONG)
+    apart[odd] = 0
+    room = n + m - 2 * least
+    return ok & (apart <= room), apart, ~odd & (2 * apart <= room)
+
 
+def promising(rows: Iterable[pa.RecordBatch], percent: int, keep: int, enough: int) -> Iterable[pa.RecordBatch]:
+    """Earlier candidates of each line, a word at a time; rows are sorted by (tok, n, id, doc).
 
-def pairs_in_order(rows: Iterable[pa.RecordBatch], percent: int) -> Iterable[pa.RecordBatch]:
-    """Candidates among rows sorted by (word, n, id): each row meets the next ones of its word while sizes allow."""
+    Columns: later and earlier set, ``apart`` (bound on their difference), ``more`` if the line stopped looking.
+    """
 
-    def scan(tok: np.ndarray, n: np.ndarray, ident: np.ndarray, pos: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    def scan(tok, n, ident, doc, spot, parity) -> pa.RecordBatch:
+        # The first row of an id has its earliest document.
         fresh = np.ones(len(tok), bool)
         fresh[1:] = (tok[1:] != tok[:-1]) | (ident[1:] != ident[:-1]) | (n[1:] != n[:-1])
-        tok, n, ident, pos, bits = (x[fresh] for x in (tok, n, ident, pos, bits))
-        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        tok, n, ident, doc, spot, parity = (x[fresh] for x in (tok, n, ident, doc, spot, parity))
+        n = n.astype(np.int64)
+        lower, pos = (spot & 1) == 1, spot.astype(np.int64) >> 1
+        size = len(tok)
+        got, sure, full = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, bool)
+        found = []
         # The smaller set of a pair may use a shorter prefix.
-        live = np.flatnonzero(pos < n - -(-2 * percent * n // (100 + percent)) + 1)
-        left, right, step = [], [], 0
+        live = np.flatnonzero((pos < n - -(-2 * percent * n // (100 + percent)) + 1) & ~lower)
+        group = np.cumsum(np.concatenate([[0], tok[1:] != tok[:-1]])) if size else np.zeros(0, np.int64)
+        step = 0
         while len(live):
             step += 1
-            live = live[live + step < len(tok)]
+            if step % 32 == 0:
+                # Nothing is left to find for a full row whose group has no open row behind.
+                last = np.full(int(group[-1]) + 1, -1, np.int64)
+                free = np.flatnonzero(~full)
+                last[group[free]] = free
+                live = live[~full[live] | (last[group[live]] >= live + step)]
+            live = live[live + step < size]
             other = live + step
             go = (tok[other] == tok[live]) & (100 * n[live] >= percent * n[other])
             live, other = live[go], other[go]
-            least = -(-percent * (n[live] + n[other]) // (100 + percent))
-            room = 1 + np.minimum(n[live] - pos[live], n[other] - pos[other]) - 1
-            near = (room >= least) & (np.bitwise_count((bits[live] ^ bits[other]).view(np.uint64)) <= n[live] + n[other] - 2 * least)
-            left.append(ident[live[near]])
-            right.append(ident[other[near]])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+            for later, earlier in ((other, live), (live, other)):
+                ask = np.flatnonzero((doc[earlier] <= doc[later]) & ~full[later])
+                x, y = later[ask], earlier[ask]
+                ok, apart, good = fit(n[x], n[y], pos[x], pos[y], parity[x], parity[y], percent)
+                x = x[ok]
+                found.append((x, y[ok], apart[ok]))
+                got[x] += 1
+                sure[x] += good[ok]
+                full[x] = (sure[x] >= enough) | (got[x] >= keep)
+        x, y, apart = (np.concatenate(c) for c in zip(*found, strict=True)) if found else np.zeros((3, 0), np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ident[x]), pa.array(ident[y]), pa.array(apart.astype(np.int32)), pa.array(full[x])], ["later", "earlier", "apart", "more"]
+        )
 
     held = None
     for batch in rows:
         now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+        now.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5, 9)], axis=1).view(np.uint64))
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now, strict=True)]
         cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
@@ -204,60 +273,124 @@ def pairs_in_order(rows: Iterable[pa.RecordBatch], percent: int) -> Iterable[pa.
         yield scan(*held)
 
 
+PARITY = ["p0", "p1", "p2", "p3"]
+
+
+def prefix_rows(lines: DataFrame) -> DataFrame:
+    """A row per prefix entry: word, size and id of the set, document, spot (place and class bit), parity map."""
+    rows = lines.filter("size(prefix) > 0").select(
+        "n", F.col("id1").alias("id"), F.coalesce("doc_id", F.lit(int(LAST))).alias("doc"), *PARITY, F.explode("prefix").alias("entry")
+    )
+    return rows.select(F.shiftright("entry", 32).cast("int").alias("tok"), "n", "id", "doc", F.expr("int(entry & 2147483647)").alias("spot"), *PARITY)
+
+
 def candidates(lines: DataFrame, percent: int) -> DataFrame:
-    """Pairs of set ids that pass the prefix, positional, length and parity filters."""
-    rows = lines.filter("size(prefix) > 0").select("n", F.col("id1").alias("id"), "bits", "skipped", F.posexplode("prefix").alias("k", "tok"))
-    rows = rows.select("tok", "n", "id", (F.col("k") + F.col("skipped")).alias("pos"), "bits")
-    counts = rows.groupBy("tok").count()
-    floor = max(HOT_ROWS, (lines.agg(F.sum(F.size("prefix"))).first()[0] or 0) // HOT_SHARE)
-    hot = stored(counts.filter(F.col("count") > floor).select("tok"), "hot_words")
-    few = F.broadcast(hot)  # at most HOT_SHARE words, as each holds more than 1/HOT_SHARE of the rows
-    sorted_rows = rows.join(few, "tok", "left_anti").repartition("tok").sortWithinPartitions("tok", "n", "id")
-    common = sorted_rows.select("tok", "n", "id", "pos", "bits").mapInArrow(lambda b: pairs_in_order(b, percent), "a long, b long")
-    if hot.isEmpty():
-        return common.distinct()
-    # Sets of one size class and the next larger one meet by (word, class).
-    step = F.floor(F.log(100 / percent, F.col("n"))).cast("int")
-    dense = rows.join(few, "tok").dropDuplicates(["tok", "id"])
-    small = dense.select("tok", step.alias("class"), *[F.col(c).alias(f"{c}_a") for c in ("n", "id", "pos", "bits")])
-    large = dense.select("tok", F.explode(F.array(step, step - 1)).alias("class"), *[F.col(c).alias(f"{c}_b") for c in ("n", "id", "pos", "bits")])
+    """Promising pairs (later, earlier, apart, more) of set ids; the order is by doc_id alone, both ways where it ties."""
+    rows = prefix_rows(lines).repartition("tok").sortWithinPartitions("tok", "n", "id", "doc")
+    found = rows.mapInArrow(lambda b, keep=KEEP, sure=SURE: promising(b, percent, keep, sure), "later long, earlier long, apart int, more boolean")
+    return found.groupBy("later", "earlier").agg(F.min("apart").alias("apart"), F.max("more").alias("more"))
+
+
+def all_candidates(lines: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+    """Every candidate (later, earlier) of the sets in ``open_`` (column id), whatever its promise."""
+    own = lines.join(open_.select(F.col("id").alias("id1")), "id1", "left_semi")
+    mine = stored(prefix_rows(own).dropDuplicates(["tok", "id"]), "open_rows")
+    table = key_filter(mine.select(F.col("tok").cast("long").alias("key")))
+
+    def some(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        # Only the entries of wanted words leave their line.
+        for batch in batches:
+            entries = batch.column(batch.num_columns - 1)
+            size = np.diff(entries.offsets.to_numpy())
+            flat = entries.flatten().to_numpy(zero_copy_only=False)
+            ok = np.flatnonzero(passes(table.value, flat >> 32))
+            owner = pa.array(np.repeat(np.arange(len(size)), size)[ok])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((flat[ok] >> 32).astype(np.int32)), *[c.take(owner) for c in batch.columns[:-1]], pa.array((flat[ok] & 0x7FFFFFFF).astype(np.int32))],
+                ["tok", "n", "id", "doc", *PARITY, "spot"],
+            )
+
+    listed = lines.filter("size(prefix) > 0").select(
+        "n", F.col("id1").alias("id"), F.coalesce("doc_id", F.lit(int(LAST))).alias("doc"), *PARITY, "prefix"
+    )
+    near_rows = listed.mapInArrow(some, "tok int, n int, id long, doc long, p0 long, p1 long, p2 long, p3 long, spot int")
+    pos = F.shiftright("spot", 1)
+    side = lambda df, x: df.withColumn("pos", pos).select("tok", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "id", "doc", "pos", *PARITY)])
+    near = side(near_rows.dropDuplicates(["tok", "id", "doc"]), "b")
     na, nb = F.col("n_a"), F.col("n_b")
-    least = needed_overlap(na, nb, percent)
-    met = small.join(large, ["tok", "class"]).filter(
-        ((na < nb) | ((na == nb) & (F.col("id_a") < F.col("id_b"))))
-        & (100 * na >= percent * nb)
+    least = F.ceil(percent * (na + nb) / (100 + percent))
+    apart = F.lit(0)
+    for p in PARITY:
+        apart = apart + F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b")))
+    met = side(mine, "a").join(near, "tok").filter(
+        (F.col("id_a") != F.col("id_b"))
+        & (F.col("doc_b") <= F.col("doc_a"))
+        & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
         & (F.least(na - F.col("pos_a"), nb - F.col("pos_b")) >= least)
-        & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= na + nb - 2 * least)
+        & (((na > LONG) != (nb > LONG)) | (apart <= na + nb - 2 * least))
     )
-    return common.union(met.select(F.least("id_a", "id_b"), F.greatest("id_a", "id_b"))).distinct()
+    return met.select(F.col("id_a").alias("later"), F.col("id_b").alias("earlier")).distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, sent, percent: int) -> DataFrame:
-    """The pairs whose word sets are similar, from the words of their lines."""
-    wanted = key_filter(pairs.select(F.explode(F.array("a", "b")).alias("key")))
+def words_of(docs: DataFrame, wanted: DataFrame, sent) -> DataFrame:
+    """The words of the sets in ``wanted`` (column key): id and the hashed words."""
+    table = key_filter(wanted)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        rank, table = sent.value, wanted.value
+        rank, seen = sent.value[0], set()
         for batch in batches:
             for _, buf, _ in blocks(texts(batch.column(0))):
                 s = line_sets(buf, rank)
                 if s is None:
                     continue
                 ids, place = np.unique(signed(s["id1"]), return_index=True)
-                place = place[passes(table, ids) & (s["n"][place] > 4)]
+                place = place[passes(table.value, ids) & (s["n"][place] > 4)]
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                place = np.array([k for k in place.tolist() if s["id1"][k] not in seen], np.int64)
+                seen.update(s["id1"][place].tolist())
                 size = s["n"][place]
                 pick = np.repeat(s["first"][place] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(s["id1"][place])), list_column(signed(s["key"][pick]), size, pa.int64())], ["id", "words"]
                 )
 
-    sets = docs.select("text").mapInArrow(run, "id long, words array<long>").dropDuplicates(["id"])
-    sets = stored(sets, "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b"
-    )
+    return docs.select("text").mapInArrow(run, "id long, words array<long>").dropDuplicates(["id"])
+
+
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (later, earlier) whose word sets are similar."""
+    both = pairs.join(sets.select(F.col("id").alias("later"), F.col("words").alias("wa")), "later")
+    both = both.join(sets.select(F.col("id").alias("earlier"), F.col("words").alias("wb")), "earlier")
     common = F.size(F.array_intersect("wa", "wb"))
-    return both.filter(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select("a", "b")
+    return both.filter(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select("later", "earlier")
+
+
+def late_sets(docs: DataFrame, lines: DataFrame, firsts: DataFrame, sent, percent: int) -> DataFrame:
+    """Ids of the sets that resemble one with an earlier first line (column id1). ``firsts`` has id1 and first."""
+    pairs = stored(candidates(lines, percent), "candidates")
+    sets = stored(words_of(docs, pairs.select(F.explode(F.array("later", "earlier")).alias("key")), sent), "sets")
+
+    def decided(some: DataFrame, words: DataFrame) -> DataFrame:
+        found = similar(some, words, percent)
+        own = firsts.select(F.col("id1").alias("later"), F.col("first").alias("own"))
+        their = firsts.select(F.col("id1").alias("earlier"), F.col("first").alias("their"))
+        return stored(found.join(own, "later").join(their, "earlier").filter("their < own").select(F.col("later").alias("id1")).distinct(), "late")
+
+    best = pairs.groupBy("later").agg(F.min(F.struct("apart", "earlier")).alias("x")).select("later", F.col("x.earlier").alias("earlier"))
+    late = decided(best, sets)
+    rest = pairs.join(late.select(F.col("id1").alias("later")), "later", "left_anti").join(best, ["later", "earlier"], "left_anti")
+    late = late.union(decided(rest.select("later", "earlier"), sets))
+    open_ = pairs.filter("more").select(F.col("later").alias("id")).distinct().join(late.select(F.col("id1").alias("id")), "id", "left_anti")
+    open_ = stored(open_, "open")
+    if open_.isEmpty():
+        return late
+    more = all_candidates(lines, open_, percent).join(pairs, ["later", "earlier"], "left_anti")
+    more = stored(more, "more")
+    if more.isEmpty():
+        return late
+    words = stored(words_of(docs, more.select(F.explode(F.array("later", "earlier")).alias("key")), sent), "sets")
+    return late.union(decided(more, words))
 
 
 def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -268,15 +401,10 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     base = same_columns(docs, ["doc_id", "text"])
     sent = docs.sparkSession.sparkContext.broadcast(rarity(base))
     lines = stored(occurrences(base, sent, percent), "lines")
-    found = stored(verified(base, stored(candidates(lines, percent), "candidates"), sent, percent), "links")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t", "line")
     real = lines.filter("line >= 0")
-    sets = real.groupBy("id1", "id2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    linked = sets.select(F.col("id1").alias("id"), "first")
-    ends = found.select("a", "b").union(found.select(F.col("b"), F.col("a")))
-    mine = ends.join(linked.select(F.col("id").alias("a"), F.col("first").alias("own")), "a")
-    other = mine.join(linked.select(F.col("id").alias("b"), F.col("first").alias("their")), "b")
-    late = other.filter("their < own").select(F.col("a").alias("id1"), F.lit(True).alias("late")).distinct()
+    sets = stored(real.groupBy("id1", "id2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    late = late_sets(base, lines, sets.select("id1", "first"), sent, percent).distinct().withColumn("late", F.lit(True))
     # Only sets that occur again or lose to another one can remove a line.
     marks = sets.join(late, "id1", "left").filter("n > 1 or late").select("id1", "id2", "first", F.coalesce("late", F.lit(False)).alias("late"))
     judged = real.join(marks, ["id1", "id2"], "left").select(
