@@ -57,9 +57,10 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("small", [24, 3])
-def test_same_components_as_all_pairs(spark, rows, monkeypatch, small):
+@pytest.mark.parametrize(("small", "depth"), [(24, 5), (3, 5), (3, 3)])
+def test_same_components_as_all_pairs(spark, rows, monkeypatch, small, depth):
     monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "DEPTH", depth)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert found(component_report(df)) == brute(rows)
 

@@ -6,7 +6,8 @@ branches: it picks positions of the signature (1.25 on average, the inverse of t
 class moves to the child of its minwise token there, so similar classes stay together and others part. Large nodes
 also compare every class with two pivots, which links big groups of near copies with work in proportion to
 their size. Candidates whose signatures agree in too few places are dropped; the others are confirmed on
-full sets, the most promising first, and only as long as they would join two components.
+full sets, the most promising first, and only as long as they would join two components. A large node that is one
+component is done.
 
 With 64 places and a cut of 38, a pair of similarity 0.8 passes the signature test with probability 0.99996;
 a tree that goes three levels deep keeps it with probability 0.56 or more, ten trees with 0.9997.
@@ -33,7 +34,8 @@ from txnwatch.llm.words import array, list_column, mix, shingles, signed, texts,
 
 PLACES = 64
 TREES = 10
-DEPTH = 8
+DEPTH = 5
+SETTLE = 2
 SMALL = 24
 AGREE = 38
 SALT = np.uint64(0xA24BAED4963EE407)
@@ -97,6 +99,27 @@ def _pairs(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree.astype(np.int32))], ["a", "b", "agree"])
 
 
+# Classes that travel together through a stuck node, about.
+ODD_LIST = 64
+
+
+def against_lists(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Compare cls, sig with every class of a list that is in another component."""
+    for batch in batches:
+        cls, root, sig = _longs(batch.column(0)), _longs(batch.column(2)), _signatures(batch.column(1))
+        size = np.diff(batch.column(3).offsets.to_numpy())
+        if not size.sum():
+            continue
+        row = np.repeat(np.arange(len(cls)), size)
+        other, their = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (3, 4))
+        sigs = _signatures(batch.column(5).flatten())
+        for at in range(0, len(row), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            agree = (sig[row[part]] == sigs[part]).sum(1)
+            near = (agree >= AGREE) & (root[row[part]] != their[part])
+            yield _pairs(cls[row[part]][near], other[part][near], agree[near])
+
+
 ROWS = "node long, cls long, sig binary"
 PAIRS = "a long, b long, agree int"
 
@@ -156,10 +179,97 @@ def against(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         yield _pairs(cls[near], other[near], agree[near])
 
 
-def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate pairs (a, b, agree), and the rows of nodes that are large at the last level, if any."""
+class Links:
+    """Confirmed links among classes, and the components they make so far."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> None:
+        self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
+        none = docs.sparkSession.createDataFrame([], "x long, y long")
+        self.sets: DataFrame | None = None
+        self.tried = none.select(F.col("x").alias("a"), F.col("y").alias("b"))
+        self.groups = none.select(F.col("x").alias("node"), F.col("y").alias("root"))
+
+    def load(self, pairs: DataFrame) -> None:
+        """Read the full sets of the classes in ``pairs`` that are not there yet."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("cls"), "cls", "left_anti")
+        where = stored(self.classes.join(wanted, "cls", "left_semi").select("cls", "at.*"), "where")
+        if not where.isEmpty():
+            more = sets_of(self.docs, where, self.width)
+            self.sets = more if self.sets is None else self.sets.union(more)
+
+    def rooted(self, pairs: DataFrame) -> DataFrame:
+        """Pairs with the components of their ends: columns ra and rb."""
+        side = lambda x: self.groups.select(F.col("node").alias(x), F.col("root").alias(f"_{x}"))
+        both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        return both.withColumns({"ra": F.coalesce("_a", "a"), "rb": F.coalesce("_b", "b")}).drop("_a", "_b")
+
+    def confirm(self, turn: DataFrame) -> None:
+        """Compare the pairs in full and merge the components that links join."""
+        self.tried = self.tried.union(turn.select("a", "b"))
+        found = stored(self.rooted(confirmed(turn, self.sets, self.percent)).filter("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
+        if found.isEmpty():
+            return
+        # Only components are joined, so the graph is small after the first turn.
+        merged = components(found).select(F.col("node").alias("old"), F.col("root").alias("new"))
+        grown = self.groups.join(merged, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+        fresh = merged.select(F.col("old").alias("node"), F.col("new").alias("root")).join(self.groups.select("node"), "node", "left_anti")
+        self.groups = stored(grown.union(fresh), "groups")
+
+    def advance(self, pairs: DataFrame) -> None:
+        """Confirm candidates (a, b, agree) until none joins two components.
+
+        First every class tries its most promising partner and the smallest one, which tends to be shared. Then
+        pairs across components are compared, per pair of components the best 16, then all.
+        """
+        self.load(pairs)
+        if self.sets is None:
+            return
+        for take in (0, 16, None):
+            open_ = self.rooted(pairs).filter("ra != rb").join(self.tried, ["a", "b"], "left_anti")
+            if take == 0:
+                ends = open_.select(F.col("a").alias("u"), F.col("b").alias("v"), "agree").union(open_.select("b", "a", "agree"))
+                best = ends.groupBy("u").agg(F.max(F.struct("agree", (-F.col("v")).alias("v")))["v"].alias("x"), F.max(-F.col("v")).alias("y"))
+                two = best.select("u", F.explode(F.array(-F.col("x"), -F.col("y"))).alias("v"))
+                open_ = two.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+            elif take:
+                by = W.partitionBy(F.least("ra", "rb"), F.greatest("ra", "rb")).orderBy(F.desc("agree"), "a", "b")
+                open_ = open_.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= take)
+            turn = stored(open_.select("a", "b"), "turn")
+            if turn.isEmpty():
+                return
+            self.confirm(turn)
+
+    def open_nodes(self, rows: DataFrame) -> DataFrame:
+        """The rows (node, cls, sig) of nodes that hold more than one component, with their ``root``."""
+        side = self.groups.select(F.col("node").alias("cls"), "root")
+        rooted = rows.join(side, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        mixed = rooted.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("node")
+        return rooted.join(mixed, "node", "left_semi").select("node", "cls", "sig", "root")
+
+    def finish(self, stuck: DataFrame, pairs: DataFrame) -> None:
+        """Classes of a last node that are not in the component of most of it meet the whole node; then ``pairs`` too.
+
+        They travel as short lists, so each row of the node is joined once per list and not once per pair.
+        """
+        counts = stuck.groupBy("node", "root").count().groupBy("node").agg(F.max(F.struct("count", "root"))["root"].alias("most"), F.sum("count").alias("all"))
+        odd = stuck.join(counts, "node").filter("root != most")
+        salts = odd.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / ODD_LIST).alias("salts"))
+        lists = odd.join(salts, "node").groupBy("node", F.pmod(F.xxhash64("cls"), F.col("salts")).alias("salt"))
+        lists = lists.agg(F.collect_list("cls").alias("others"), F.collect_list("root").alias("roots"), F.collect_list("sig").alias("sigs")).drop("salt")
+        met = stuck.join(lists, "node").select("cls", "sig", "root", "others", "roots", "sigs").mapInArrow(against_lists, PAIRS)
+        self.advance(stored(pairs.union(met).distinct(), "pairs"))
+
+
+def link_classes(classes: DataFrame, links: Links) -> None:
+    """Walk the trees level by level and confirm what the nodes propose.
+
+    After level ``SETTLE`` candidates are confirmed once, and from then on large nodes whose classes are one component
+    are left aside, so a big group of near copies does not go down the trees again and again.
+    """
     rows = stored(classes.select("cls", "sig", "roots").mapInArrow(plant, ROWS), "level")
-    found: list[DataFrame] = []
+    pairs = None
     for level in range(1, DEPTH + 1):
         mark = F.xxhash64("cls", "node")
         counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(mark).alias("low"), F.max(mark).alias("high"))
@@ -168,22 +278,28 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         large = crowd.filter(F.col("size") > SMALL)
         pivots = large.filter((mark == F.col("low")) | (mark == F.col("high"))).select("node", F.col("cls").alias("other"), F.col("sig").alias("other_sig"))
         met = large.select("node", "cls", "sig").join(pivots, "node").select("cls", "sig", "other", "other_sig")
-        found.append(stored(few.mapInArrow(small_nodes, PAIRS).union(met.mapInArrow(against, PAIRS)).distinct(), "pairs"))
+        found = few.mapInArrow(small_nodes, PAIRS).union(met.mapInArrow(against, PAIRS))
+        if pairs is not None:
+            found = found.union(pairs)
+        pairs = stored(found.distinct(), "pairs")
+        large = large.select("node", "cls", "sig")
+        if level == SETTLE:
+            links.advance(pairs)
+        if level >= SETTLE:
+            large = stored(links.open_nodes(large), "open")
         if large.isEmpty():
-            large = None
             break
         if level < DEPTH:
             rows = stored(large.select("node", "cls", "sig").mapInArrow(branch, ROWS), "level")
-    every = found[0]
-    for more in found[1:]:
-        every = every.union(more)
-    return stored(every.distinct(), "pairs"), large
+    else:
+        links.finish(large, pairs)
+        return
+    if level != SETTLE:
+        links.advance(pairs)
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The full sets of the classes in ``pairs``, from one document of each: cls and the sorted hashes."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    where = stored(classes.join(wanted, "cls", "left_semi").select("cls", "at.*"), "where")
+def sets_of(docs: DataFrame, where: DataFrame, width: int) -> DataFrame:
+    """The full sets of the classes in ``where`` (cls, doc_id, t), from one document of each: cls and sorted hashes."""
     table = key_filter(where.select(F.col("t").alias("key")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -212,45 +328,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select("a", "b")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, stuck: DataFrame | None, percent: int) -> DataFrame:
-    """Components (node, root) of the classes under confirmed links.
-
-    First every class tries its most promising partner. Then pairs across components are confirmed, per pair of
-    components the best 8, then 64, then all, until none is left.
-    """
-    ends = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "agree").union(pairs.select("b", "a", "agree"))
-    best = ends.groupBy("u").agg(F.max(F.struct("agree", (-F.col("v")).alias("v"))).alias("x"))
-    turn = stored(best.select(F.least("u", -F.col("x.v")).alias("a"), F.greatest("u", -F.col("x.v")).alias("b")).distinct(), "turn")
-    tried = turn
-    links = stored(confirmed(turn, sets, percent), "links")
-    groups = components(links)
-    for take in (8, 64, None):
-        side = lambda x: groups.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))  # noqa: B023, E731
-        open_ = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-        ra, rb = F.coalesce("ra", "a"), F.coalesce("rb", "b")
-        open_ = open_.filter(ra != rb).join(tried, ["a", "b"], "left_anti")
-        if take:
-            by = W.partitionBy(F.least(ra, rb), F.greatest(ra, rb)).orderBy(F.desc("agree"), "a", "b")
-            open_ = open_.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= take)
-        turn = stored(open_.select("a", "b"), "turn")
-        if turn.isEmpty():
-            break
-        tried = tried.union(turn)
-        links = links.union(stored(confirmed(turn, sets, percent), "links"))
-        groups = components(links)
-    if stuck is not None:
-        # Classes of a large last node that are not in the component of most of it meet the whole node.
-        side = groups.select(F.col("node").alias("cls"), "root")
-        rows = stored(stuck.select("node", "cls", "sig").join(side, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "stuck")
-        most = rows.groupBy("node", "root").count().groupBy("node").agg(F.max(F.struct("count", "root")).alias("x")).select("node", F.col("x.root").alias("most"))
-        odd = rows.join(most, "node").filter("root != most").select("node", F.col("cls").alias("other"), F.col("sig").alias("other_sig"), F.col("root").alias("r"))
-        met = rows.join(odd, "node").filter("root != r").select("cls", "sig", "other", "other_sig").mapInArrow(against, PAIRS)
-        turn = stored(met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "turn")
-        if not turn.isEmpty():
-            groups = components(links.union(confirmed(turn, sets, percent)))
-    return groups
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, t (hash of the text), n_shingles, component_id and kept."""
     base = same_columns(docs, ["doc_id", "text"])
@@ -260,12 +337,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         F.min("doc_id").alias("label"), F.min(at).alias("at"), F.first("sig").alias("sig"), F.first("roots").alias("roots")
     )
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    pairs, stuck = candidates(classes)
-    # Pairs within stuck nodes may need sets of classes that have no candidate yet.
-    wanted = pairs.select("a", "b")
-    if stuck is not None:
-        wanted = wanted.union(stuck.select(F.col("cls").alias("a"), F.col("cls").alias("b")))
-    groups = linked(pairs, sets_of(base, classes, wanted, width), stuck, percent)
+    links = Links(base, classes, width, percent)
+    link_classes(classes, links)
+    groups = links.groups
     named = classes.select("cls", "label", "d1", "d2").join(groups, F.col("cls") == F.col("node"))
     least = named.groupBy("root").agg(F.min("label").alias("least"))
     moved = named.join(least, "root").select("d1", "d2", "least")
