@@ -87,3 +87,18 @@ def test_edge_cases(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert line_report(df).collect() == [] and without_lines(df).collect() == []
+
+
+@pytest.mark.parametrize("percent", [80, 75, 60, 50])
+def test_short_lines(spark, percent):
+    """Lines of few words against the same with a word more, in both orders."""
+    rows = []
+    for n in range(1, 6):
+        for k in range(4):
+            words = [f"s{n}x{k}x{i}" for i in range(n + 1)]
+            pair = [" ".join(words), " ".join(words[: k % n] + words[k % n + 1 :])]
+            rows += [(len(rows), pair[k % 2]), (len(rows) + 1, pair[1 - k % 2])]
+    got = found(line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), percent))
+    assert got == brute(rows, percent)
+    least = next(n for n in range(1, 6) if 100 * n >= percent * (n + 1))
+    assert sum(len(gone) for _, gone in got.values()) == 4 * (6 - least)

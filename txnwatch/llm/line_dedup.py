@@ -5,7 +5,8 @@ similarity of at least the bound share a word among the first few of each (prefi
 room for enough common words (positional filter), and have similar sizes (length filter). A parity map of the
 words (64 bits, 256 for long lines) bounds their difference, so few pairs are left for the exact comparison. A
 line goes when an earlier line, by (doc_id, text hash, line number), is equal or similar to it; it does not matter
-whether that one goes as well. Lines of four words or fewer can only be equal.
+whether that one goes as well. A line of n words can resemble a different one only if n / (n + 1) reaches the bound (four
+words at 80 percent); shorter ones can only be equal.
 
 One earlier line is enough, so a line does not meet all lines like it: per prefix word it stops looking once it has
 ``SURE`` earlier candidates whose maps differ in at most half of what is allowed, or ``KEEP`` of any kind. The
@@ -102,6 +103,11 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
+def has_neighbours(n: np.ndarray, percent: int) -> np.ndarray:
+    """Can a set of n words resemble a different one? The closest one has a word more."""
+    return 100 * n >= percent * (n + 1)
+
+
 def line_sets(buf: np.ndarray, rank: np.ndarray) -> dict[str, np.ndarray] | None:
     """Distinct words of every line of a block, rare ones first: the lines and their words end to end."""
     starts, _, hashes = words(buf, lower=True)
@@ -162,7 +168,7 @@ def occurrences(docs: DataFrame, sent, percent: int) -> DataFrame:
                 base = np.searchsorted(s["feeds"], begin)  # line feeds before each text
                 doc = np.searchsorted(base, s["line"], "right") - 1 + at
                 n = s["n"]
-                size = np.where(n > 4, prefix_size(n, percent), 0)
+                size = np.where(has_neighbours(n, percent), prefix_size(n, percent), 0)
                 # Prefix entries once per task and set, again only for an earlier document.
                 if len(seen) > 1_000_000:
                     seen.clear()
@@ -332,7 +338,7 @@ def all_candidates(lines: DataFrame, open_: DataFrame, percent: int) -> DataFram
     return met.select(F.col("id_a").alias("later"), F.col("id_b").alias("earlier")).distinct()
 
 
-def words_of(docs: DataFrame, wanted: DataFrame, sent) -> DataFrame:
+def words_of(docs: DataFrame, wanted: DataFrame, sent, percent: int) -> DataFrame:
     """The words of the sets in ``wanted`` (column key): id and the hashed words."""
     table = key_filter(wanted)
 
@@ -344,7 +350,7 @@ def words_of(docs: DataFrame, wanted: DataFrame, sent) -> DataFrame:
                 if s is None:
                     continue
                 ids, place = np.unique(signed(s["id1"]), return_index=True)
-                place = place[passes(table.value, ids) & (s["n"][place] > 4)]
+                place = place[passes(table.value, ids) & has_neighbours(s["n"][place], percent)]
                 if len(seen) > 1_000_000:
                     seen.clear()
                 place = np.array([k for k in place.tolist() if s["id1"][k] not in seen], np.int64)
@@ -369,7 +375,7 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def late_sets(docs: DataFrame, lines: DataFrame, firsts: DataFrame, sent, percent: int) -> DataFrame:
     """Ids of the sets that resemble one with an earlier first line (column id1). ``firsts`` has id1 and first."""
     pairs = stored(candidates(lines, percent), "candidates")
-    sets = stored(words_of(docs, pairs.select(F.explode(F.array("later", "earlier")).alias("key")), sent), "sets")
+    sets = stored(words_of(docs, pairs.select(F.explode(F.array("later", "earlier")).alias("key")), sent, percent), "sets")
 
     def decided(some: DataFrame, words: DataFrame) -> DataFrame:
         found = similar(some, words, percent)
@@ -389,7 +395,7 @@ def late_sets(docs: DataFrame, lines: DataFrame, firsts: DataFrame, sent, percen
     more = stored(more, "more")
     if more.isEmpty():
         return late
-    words = stored(words_of(docs, more.select(F.explode(F.array("later", "earlier")).alias("key")), sent), "sets")
+    words = stored(words_of(docs, more.select(F.explode(F.array("later", "earlier")).alias("key")), sent, percent), "sets")
     return late.union(decided(more, words))
 
 
