@@ -79,3 +79,25 @@ def test_edge_cases(spark):
     assert sorted((str(r.doc_id), r.n_items) for r in leak_report(docs, items).collect()) == [("1", 2), ("1", 2), ("2", 2), ("None", 0), ("None", 2)]
     assert [(r.doc_id, r.text) for r in without_leaks(docs, items).collect()] == [(None, "z")]
     assert leak_report(docs.limit(0), items).collect() == [] and all(r.kept for r in leak_report(docs, items.limit(0)).collect())
+
+
+@pytest.mark.parametrize("group", [20_000, 3, 1])
+def test_repeated_rows_and_many_items(spark, monkeypatch, group):
+    """The size of the item groups changes nothing, also where rows share id and text."""
+    monkeypatch.setattr(decontaminate, "ITEMS", group)
+    texts = [" ".join(f"q{k}x{i}" for i in range(9)) for k in range(8)]
+    rows = [(1, f"{texts[0]} and {texts[5]}")] * 3 + [(None, texts[1])] * 2 + [(None, "z")] * 2 + [(None, None)] * 2 + [(2, f"{texts[0]} {texts[2]}"), (2, texts[3]), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    out = sorted(((str(r.doc_id), r.kept, r.n_items, list(r.item_ids), r.similarity) for r in leak_report(docs, items).collect()), key=str)
+    assert out == sorted(
+        [("1", False, 2, [0, 5], 1.0)] * 3 + [("None", False, 1, [1], 1.0)] * 2 + [("None", True, 0, [], None)] * 4
+        + [("2", False, 2, [0, 2], 1.0), ("2", False, 1, [3], 1.0), ("3", True, 0, [], None)], key=str
+    )
+    assert sorted(((str(r.doc_id), r.text) for r in without_leaks(docs, items).collect()), key=str) == sorted([("None", "z")] * 2 + [("None", None)] * 2 + [("3", "")], key=str)
+
+
+@pytest.mark.parametrize("group", [1])
+def test_edge_cases_in_small_groups(spark, monkeypatch, group):
+    monkeypatch.setattr(decontaminate, "ITEMS", group)
+    test_edge_cases(spark)

@@ -171,16 +171,21 @@ def found_items(docs: DataFrame, benchmark: DataFrame, width: int = 5, least: fl
         group = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == k).orderBy("item_id", "text").collect()
         sent = docs.sparkSession.sparkContext.broadcast([(int(r["item_id"]), r["text"].encode()) for r in group])
         parts.append(docs.mapInArrow(_finder(sent, width, least), "doc_id long, t long, items array<long>, scores array<double>, starts array<long>"))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.union(part)
     if groups == 1:
-        return every
-    return every.groupBy("doc_id", "t").agg(
+        return parts[0]
+    # Equal rows find the same items: what each distinct text finds is merged over the groups, then given to every row.
+    every = None
+    for part in parts:
+        hits = part.filter("size(items) > 0").dropDuplicates(["doc_id", "t"])
+        every = hits if every is None else every.union(hits)
+    merged = every.groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).agg(
         F.flatten(F.collect_list("items")).alias("items"),
         F.flatten(F.collect_list("scores")).alias("scores"),
         F.flatten(F.collect_list("starts")).alias("starts"),
     )
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))
+    lists = [F.coalesce(c, F.array().cast(merged.schema[c].dataType)).alias(c) for c in ("items", "scores", "starts")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "t").join(merged, same, "left").select("doc_id", "t", *lists)
 
 
 def _finder(sent, width: int, least: float):
