@@ -102,3 +102,26 @@ def test_short_lines(spark, percent):
     assert got == brute(rows, percent)
     least = next(n for n in range(1, 6) if 100 * n >= percent * (n + 1))
     assert sum(len(gone) for _, gone in got.values()) == 4 * (6 - least)
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_blocks_of_frequent_words(spark, rows, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", hot)
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert found(line_report(df)) == brute(rows)
+
+
+def test_no_group_grows_with_the_input(spark, monkeypatch):
+    """Lines of one length over a small vocabulary: one word and size class has many lines, few of them alike."""
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 100)
+    monkeypatch.setattr(line_dedup, "BLOCK", 40)
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.sample([f"w{i}" for i in range(20)], k=10))) for k in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sent = spark.sparkContext.broadcast(line_dedup.rarity(df))
+    lines = line_dedup.stored(line_dedup.occurrences(df, sent, 80), "lines")
+    large = line_dedup.large_groups(lines)
+    assert line_dedup.prefix_rows(lines).groupBy("tok").count().agg(F.max("count")).first()[0] > 400
+    assert line_dedup.cut_rows(lines, large).groupBy("tok", "part").count().agg(F.max("count")).first()[0] <= 80
+    assert found(line_report(df)) == brute(rows)

@@ -16,7 +16,9 @@ that which stopped early meet every candidate.
 Rarity comes from word counts of all texts in ``SLOTS`` counters, a table of fixed size (1 MB) that is sent to all
 tasks. Collisions only change the order, which has to be the same everywhere but need not be exact. A word
 whose counter holds more than 1/``HOT_SHARE`` of all words is split by size class; sets of one class and the
-next larger one meet there.
+next larger one meet there. The lines of a word, or of a word and size class, that are still more than ``BLOCK`` are
+dealt by id into blocks of about that many. Each block is searched on its own; lines that could go on looking then
+meet the other blocks in a join, one block of them with one block of the group at a time.
 
 Defined cases: a null or empty text has no lines and loses none; lines without a word stay and count for nothing;
 a null doc_id comes last in order; rows with the same id and text count as one document and share its result;
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 
 from txnwatch.llm.shared import key_filter, passes, same_columns, stored
 from txnwatch.llm.words import blocks, list_column, mix, signed, texts, words
+from txnwatch.operators.skew import list_join
 
 SLOTS = 1 << 20
 PIECE = 1 << 12  # counters per row of the count table
@@ -41,6 +44,8 @@ HOT_SHARE = 10_000
 HOT_ROWS = 20_000
 KEEP = 32
 SURE = 2
+BLOCK = 50_000  # prefix rows of one word that one task compares
+PARTS = (1 << 24) - 1  # low bits of a group's number: its block, from 1; 0 if the group is whole
 LONG = 100  # lines with more words have wide parity maps
 LAST = np.iinfo(np.int64).max  # place of a null doc_id
 SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -141,12 +146,16 @@ def parities(s: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
+MANY = 1 << 31
+
+
 def occurrences(docs: DataFrame, sent, percent: int) -> DataFrame:
     """A row per line with words, and one with line -1 per document: ids of its set, size, parity map, prefix.
 
     Prefix entries hold the word (high 32 bits), its place in the line, and a last bit that is set where the
-    line stands in the size class below its own.
+    line stands in the size class below its own. The bit ``MANY`` is set where the word may have more than ``BLOCK`` lines.
     """
+    many = int(log_rank(np.array([BLOCK]))[0])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         (rank, hot), seen = sent.value, {}
@@ -188,11 +197,13 @@ def occurrences(docs: DataFrame, sent, percent: int) -> DataFrame:
                 common = (key >> np.uint64(56)) >= hot
                 twice = 1 + common.astype(np.int64)
                 key, owner, within, common = (np.repeat(x, twice) for x in (key, owner, within, common))
+                large = (key >> np.uint64(56)) >= many
                 lower = np.zeros(len(key), bool)
                 lower[1:] = common[1:] & (np.arange(1, len(key)) == np.cumsum(twice).repeat(twice)[1:] - 1)
                 step = np.floor(np.log(n[owner]) / np.log(100 / percent)).astype(np.int64) - lower
                 key = np.where(common, mix(key + step.astype(np.uint64)), key)
                 entry = (key << np.uint64(32)) | (within.astype(np.uint64) << np.uint64(1)) | lower.astype(np.uint64)
+                entry[large] |= np.uint64(MANY)
                 parity = parities(s)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -220,11 +231,14 @@ def fit(n, m, pos_n, pos_m, parity_n, parity_m, percent: int) -> tuple[np.ndarra
 
 
 def promising(rows: Iterable[pa.RecordBatch], percent: int, keep: int, enough: int) -> Iterable[pa.RecordBatch]:
-    """Earlier candidates of each line, a word at a time; rows are sorted by (tok, n, id, doc).
+    """Earlier candidates of each line, a group at a time; rows are sorted by (grp, n, id, doc).
 
-    Columns: later and earlier set, ``apart`` (bound on their difference), ``more`` if the line stopped looking.
+    Columns: later and earlier set, ``apart`` (bound on their difference), ``more`` if the line stopped looking, and
+    the group. In blocks, the lines that did not stop are listed as well, with a null for the earlier set.
     """
 
+    names = ["later", "earlier", "apart", "more", "grp"]
+
     def scan(tok, n, ident, doc, spot, parity) -> pa.RecordBatch:
         # The first row of an id has its earliest document.
         fresh = np.ones(len(tok), bool)
@@ -261,8 +275,13 @@ def promising(rows: Iterable[pa.RecordBatch], percent: int, keep: int, enough: i
                 sure[x] += good[ok]
                 full[x] = (sure[x] >= enough) | (got[x] >= keep)
         x, y, apart = (np.concatenate(c) for c in zip(*found, strict=True)) if found else np.zeros((3, 0), np.int64)
+        if tok.dtype != np.int64:  # words, no blocks
+            return pa.RecordBatch.from_arrays([pa.array(ident[x]), pa.array(ident[y]), pa.array(apart.astype(np.int32)), pa.array(full[x])], names[:4])
+        rest = np.flatnonzero(~full & ((tok & PARTS) > 0))
+        x, y, apart = (np.concatenate(c) for c in ((x, rest), (y, rest), (apart, np.zeros(len(rest), np.int64))))
+        none = np.arange(len(x)) >= len(x) - len(rest)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ident[x]), pa.array(ident[y]), pa.array(apart.astype(np.int32)), pa.array(full[x])], ["later", "earlier", "apart", "more"]
+            [pa.array(ident[x]), pa.array(ident[y], mask=none), pa.array(apart.astype(np.int32)), pa.array(full[x]), pa.array(tok[x])], names
         )
 
     held = None
@@ -290,13 +309,82 @@ def prefix_rows(lines: DataFrame) -> DataFrame:
     return rows.select(F.shiftright("entry", 32).cast("int").alias("tok"), "n", "id", "doc", F.expr("int(entry & 2147483647)").alias("spot"), *PARITY)
 
 
+def large_groups(lines: DataFrame) -> DataFrame:
+    """The words with more than ``BLOCK`` prefix rows and the number of their blocks: tok, parts.
+
+    Only words with a large counter are counted; there are at most as many as the rows fill blocks.
+    """
+    many = lines.select(F.explode(F.filter("prefix", lambda e: e.bitwiseAND(F.lit(MANY)) != 0)).alias("entry"))
+    counts = many.groupBy(F.shiftright("entry", 32).cast("int").alias("tok")).count().filter(F.col("count") > BLOCK)
+    return counts.select("tok", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
+
+
+def cut_rows(lines: DataFrame, large: DataFrame) -> DataFrame:
+    """``prefix_rows`` with ``part``, their block from 1 on, 0 where the group is whole, and the number ``parts``."""
+    rows = list_join(prefix_rows(lines), large, ["tok"], "left", salt_on=["id"])
+    return rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), "parts") + 1, F.lit(0)))
+
+
 def candidates(lines: DataFrame, percent: int) -> DataFrame:
     """Promising pairs (later, earlier, apart, more) of set ids; the order is by doc_id alone, both ways where it ties."""
-    rows = prefix_rows(lines).repartition("tok").sortWithinPartitions("tok", "n", "id", "doc")
-    found = rows.mapInArrow(lambda b, keep=KEEP, sure=SURE: promising(b, percent, keep, sure), "later long, earlier long, apart int, more boolean")
+    large = stored(large_groups(lines), "large")
+    columns = ["n", "id", "doc", "spot", *PARITY]
+    if large.isEmpty():
+        # Without blocks the word is the group, in a shorter row.
+        shown = prefix_rows(lines).repartition("tok").sortWithinPartitions("tok", "n", "id", "doc")
+        found = shown.mapInArrow(lambda b, keep=KEEP, sure=SURE: promising(b, percent, keep, sure), PAIRS)
+    else:
+        cut = cut_rows(lines, large)
+        shown = cut.select((F.shiftleft(F.col("tok").cast("long"), 24) + F.col("part")).alias("grp"), *columns)
+        shown = shown.repartition("grp").sortWithinPartitions("grp", "n", "id", "doc")
+        found = stored(shown.mapInArrow(lambda b, keep=KEEP, sure=SURE: promising(b, percent, keep, sure), f"{PAIRS}, grp long"), "found")
+        tok = F.shiftright("grp", 24).cast("int").alias("tok")
+        going = found.filter("earlier is null").select(tok, F.col("later").alias("id"))
+        found = found.filter("earlier is not null").drop("grp").union(between_blocks(cut.filter("part > 0"), going, percent))
     return found.groupBy("later", "earlier").agg(F.min("apart").alias("apart"), F.max("more").alias("more"))
 
 
+PAIRS = "later long, earlier long, apart int, more boolean"
+
+
+def between_blocks(cut: DataFrame, going: DataFrame, percent: int) -> DataFrame:
+    """Candidates in other blocks for the lines in ``going`` (tok, id): later, earlier, apart, more.
+
+    Every join key holds about ``BLOCK`` rows of each side at most.
+    """
+    first = F.min(F.struct("doc", "spot", "n", *PARITY, "parts")).alias("x")
+    each = stored(cut.groupBy("tok", "part", "id").agg(first).select("tok", "part", "id", "x.*"), "blocks")
+    asks = stored(each.join(going.distinct(), ["tok", "id"], "left_semi"), "asks")
+    sizes = stored(asks.groupBy("tok").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("turns")), "turns")
+    side = lambda df, x, *keys: df.select("tok", *keys, *[F.col(c).alias(f"{c}_{x}") for c in ("part", "id", "doc", "spot", "n", *PARITY)])
+    asks = list_join(asks, sizes, ["tok"], "inner", salt_on=["id"]).withColumn("turn", F.pmod(F.xxhash64(F.lit(1), "id"), "turns"))
+    asks = asks.withColumn("block", F.explode(F.sequence(F.lit(1), "parts"))).filter("block != part")
+    rows = list_join(each, sizes, ["tok"], "inner", salt_on=["id"]).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    rows = rows.withColumn("block", F.col("part").cast("int"))
+    both = side(asks, "a", F.col("turn").cast("int").alias("turn"), "block").join(side(rows, "b", "turn", "block"), ["tok", "turn", "block"])
+    one_class = F.col("spot_a").bitwiseAND(F.col("spot_b")).bitwiseAND(F.lit(1)) == 0
+    ok, apart = fits(F.shiftright("spot_a", 1), F.shiftright("spot_b", 1), percent)
+    return both.filter(ok & one_class).select(F.col("id_a").alias("later"), F.col("id_b").alias("earlier"), apart.alias("apart"), F.lit(False).alias("more"))
+
+
+def fits(pos_a: Column, pos_b: Column, percent: int) -> tuple[Column, Column]:
+    """``fit`` for joined rows with columns n, id, doc and parity maps of sides a (later) and b, and the bound on the difference."""
+    na, nb = F.col("n_a"), F.col("n_b")
+    least = F.ceil(percent * (na + nb) / (100 + percent))
+    apart = F.lit(0)
+    for p in PARITY:
+        apart = apart + F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b")))
+    apart = F.when((na > LONG) != (nb > LONG), 0).otherwise(apart)
+    ok = (
+        (F.col("id_a") != F.col("id_b"))
+        & (F.col("doc_b") <= F.col("doc_a"))
+        & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+        & (F.least(na - pos_a, nb - pos_b) >= least)
+        & (apart <= na + nb - 2 * least)
+    )
+    return ok, apart
+
+
 def all_candidates(lines: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
     """Every candidate (later, earlier) of the sets in ``open_`` (column id), whatever its promise."""
     own = lines.join(open_.select(F.col("id").alias("id1")), "id1", "left_semi")
@@ -323,18 +411,8 @@ def all_candidates(lines: DataFrame, open_: DataFrame, percent: int) -> DataFram
     pos = F.shiftright("spot", 1)
     side = lambda df, x: df.withColumn("pos", pos).select("tok", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "id", "doc", "pos", *PARITY)])
     near = side(near_rows.dropDuplicates(["tok", "id", "doc"]), "b")
-    na, nb = F.col("n_a"), F.col("n_b")
-    least = F.ceil(percent * (na + nb) / (100 + percent))
-    apart = F.lit(0)
-    for p in PARITY:
-        apart = apart + F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b")))
-    met = side(mine, "a").join(near, "tok").filter(
-        (F.col("id_a") != F.col("id_b"))
-        & (F.col("doc_b") <= F.col("doc_a"))
-        & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
-        & (F.least(na - F.col("pos_a"), nb - F.col("pos_b")) >= least)
-        & (((na > LONG) != (nb > LONG)) | (apart <= na + nb - 2 * least))
-    )
+    ok, _ = fits(F.col("pos_a"), F.col("pos_b"), percent)
+    met = side(mine, "a").join(near, "tok").filter(ok)
     return met.select(F.col("id_a").alias("later"), F.col("id_b").alias("earlier")).distinct()
 
 
