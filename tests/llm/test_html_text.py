@@ -1,3 +1,5 @@
+import pytest
+
 from txnwatch.llm.html_text import extract, main_text
 
 P = "The story of the house is told in the book that was on the table and it was read by all of them at once in the end."
@@ -43,3 +45,25 @@ def test_articles_of_the_table(spark):
         parts = re.split(r"</?(?:p|h1)\b[^>]*>", body[1] if body else "")
         want = [" ".join(unescape(re.sub(r"<[^>]*>?", " ", x) if "<b" in x else x).split()) for x in parts]
         assert r.text == "\n".join(x for x in want if x)
+
+
+@pytest.mark.parametrize("name", ["home has-sidebar", "content no-sidebar", "no-ads", "share-price", "page with_sidebar", "content-sidebar", "menu-free"])
+def test_names_of_parts_are_not_names(name):
+    for page in (f"<body class='{name}'><article><p>{P}</article>", f"<body><section id='{name}'><article><p>{P}</article></section>", f"<body><article><div class='{name}'><p>{P}</div></article>"):
+        assert main_text(page) == P
+    assert main_text(f"<body class='{name}'><div class='{name}'><p>{P} {P}</div>") == f"{P} {P}"
+
+
+def test_body_and_containers_by_name():
+    assert main_text(f"<html class='modal'><body class='widget menu'><p>{P} {P}") == f"{P} {P}"
+    for tag in ("article", "main"):
+        html = f"<body><div class='widget'><p>{P} 1</p><div><{tag}><p>{P}</p><div class='share'>{P} 2</div></{tag}></div><p>{P} 3</p></div>"
+        assert main_text(html) == P
+    comments = f"<article><p>{P}</p><div class='comments'><article><p>{P} 1</p></article></div></article>"
+    assert main_text(f"<main>{comments}<div id='comments'><article class='comment-body'><p>{P} 2</article></div></main>") == P
+    assert main_text(f"<nav><div class='menu'><article><p>{P}</article></div></nav>") == main_text(f"<div class='menu'><nav><article><p>{P}</article></nav></div>") == ""
+
+
+@pytest.mark.parametrize("name", ["ad", "x sidebar", "cookie-notice", "ad-slot-2", "comment-list", "site-footer", "main_nav", "navigation", "share-buttons", "related-posts", "top-banner"])
+def test_names_outside(name):
+    assert main_text(f"<article><p>{P}</p><div class='{name}'><p>{P} 2</p></div></article><div id='{name}'><p>{P} {P}</div>") == P

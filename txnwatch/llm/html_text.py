@@ -2,7 +2,9 @@
 
 A page is cut into blocks at block-level tags. The first pass classifies each block on its own by the share
 of stop words, its length and the share of its text in links; text in menus, footers, adverts and the like is bad
-wherever it stands. The second pass lets undecided short blocks take the label of the nearest decided
+wherever it stands. Names count as a whole (class, id or role), not on the body, and an article or main element inside an element
+that is outside by its name alone starts the main text again, unless it is itself named so or within another article, as
+comments are. The second pass lets undecided short blocks take the label of the nearest decided
 neighbours of their container, and of the container itself where nothing in it is decided.
 
 Defined cases: null or empty html gives an empty text; unclosed, stray and cut-off tags are tolerated; repeated
@@ -40,11 +42,14 @@ BLOCK = frozenset(
 HOLD = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul head".split())
 OUTSIDE = frozenset("aside footer form menu nav dialog fieldset head".split())
 MAIN = frozenset(["article", "main"])
-NAMED_OUTSIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-\w+|cookies?|consent|footer|masthead|menu|modal|nav\w*|"
-    r"newsletter|notices?|popup|promo\w*|recommend\w*|related|reply|replies|respond|share|sharing|sidebar|social|sponsor\w*|"
-    r"subscribe|toolbar|widget)(?:$|[\s_-])"
+# A whole class, id or role; in compounds every part has to be such a word or a plain addition, so that has-sidebar,
+# no-ads and share-price name nothing.
+_WORD = (
+    r"(?:ads?|advert[a-z0-9]*|banner|breadcrumbs?|comments?|cookies?|consent|footer|masthead|menu|modal|nav[a-z0-9]*|newsletter|notices?|popup|"
+    r"promo[a-z0-9]*|recommend[a-z0-9]*|related|reply|replies|respond|share|sharing|sidebar|social|sponsor[a-z0-9]*|subscribe|toolbar|widget)"
 )
+_ADDED = r"(?:site|page|main|primary|secondary|global|top|bottom|box|bar|list|links?|buttons?|container|wrapper|area|block|slot|unit|posts?|items?|form|signup|inner|[0-9]+)"
+NAMED_OUTSIDE = re.compile(rf"(?:^|\s)(?:comment[_-][\w-]+|(?:{_ADDED}[_-]+)*{_WORD}(?:[_-]+(?:{_WORD}|{_ADDED}))*)(?:$|\s)")
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)",
     re.S,
@@ -75,7 +80,8 @@ class Block:
 
 def cut_blocks(html: str) -> Iterator[Block]:
     """The blocks with text, in page order."""
-    stack: list[tuple[str, bool, int]] = []  # tag, is it outside the main text, its article
+    # Tag, is it outside the main text, its article, is it outside only by name and not within an article element.
+    stack: list[tuple[str, bool, int, bool]] = []
     articles = link = at = 0
     block = Block(0, False)
 
@@ -122,15 +128,18 @@ def cut_blocks(html: str) -> Iterator[Block]:
                     del stack[k:]
                     break
         elif tag in HOLD and not found[0].endswith("/>"):
-            outside, article = stack[-1][1:] if stack else (False, 0)
+            outside, article, merely = stack[-1][1:] if stack else (False, 0, False)
             names = " ".join("".join(x) for x in NAMES.findall(found[2] or "")).lower()
-            if tag in MAIN and not outside:
+            named = bool(names) and tag != "body" and bool(NAMED_OUTSIDE.search(names))
+            if tag in MAIN and (not outside or (merely and not named)):
                 articles += 1
-                article = articles
-            elif tag in OUTSIDE or (tag == "header" and not article) or (names and NAMED_OUTSIDE.search(names)):
-                outside = True
-            stack.append((tag, outside, article))
-        outside, article = stack[-1][1:] if stack else (False, 0)
+                outside, article, merely = False, articles, False
+            elif tag in OUTSIDE or (tag == "header" and not article):
+                outside, merely = True, False
+            elif named and not outside:
+                outside, merely = True, all(x[0] != "article" for x in stack)
+            stack.append((tag, outside, article, merely))
+        outside, article = stack[-1][1:3] if stack else (False, 0)
         block = Block(article, outside, tag in ("h1", "h2", "h3", "h4", "h5", "h6") and not closing)
     yield from done()
 
