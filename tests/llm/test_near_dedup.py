@@ -85,3 +85,15 @@ def test_edge_cases(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert component_report(df).collect() == [] and one_of_each(df).collect() == []
+
+
+def test_one_of_each_group_by_equal_and_null_ids(spark):
+    """Near copies that share an id, or have none, leave one row a group."""
+    text = lambda k, end: " ".join([f"g{k}x{i}" for i in range(60)] + [end])
+    rows = [(1, text(0, "a")), (1, text(0, "b")), (1, text(0, "b")), (7, text(0, "c")), (1, text(1, "a")), (None, text(2, "a")), (None, text(2, "b"))]
+    rows += [(None, text(3, "a")), (None, text(3, "a")), (4, text(4, "a")), (None, text(4, "b")), (None, None), (1, " ")]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, top int").repartition(3)
+    kept = one_of_each(df).collect()
+    assert sorted((str(r.doc_id), (r.text or " ").split("x")[0]) for r in kept) == sorted(
+        [("1", "g0"), ("1", "g1"), ("None", "g2"), ("None", "g3"), ("4", "g4"), ("None", " "), ("1", " ")]
+    )

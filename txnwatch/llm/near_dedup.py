@@ -328,8 +328,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: doc_id, t (hash of the text), n_shingles, component_id and kept."""
+def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with ``chosen``: is the row the first of its component by doc_id, nulls last, and text hash."""
     base = same_columns(docs, ["doc_id", "text"])
     prints = stored(sketches(base, width), "sketches")
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")
@@ -340,17 +340,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = Links(base, classes, width, percent)
     link_classes(classes, links)
     groups = links.groups
-    named = classes.select("cls", "label", "d1", "d2").join(groups, F.col("cls") == F.col("node"))
-    least = named.groupBy("root").agg(F.min("label").alias("least"))
-    moved = named.join(least, "root").select("d1", "d2", "least")
-    labels = classes.select("d1", "d2", "label").join(moved, ["d1", "d2"], "left").select(
-        "d1", "d2", F.coalesce("least", "label").alias("component")
+    named = classes.select("cls", "label", "at", "d1", "d2").join(groups, F.col("cls") == F.col("node"))
+    least = named.groupBy("root").agg(F.min("label").alias("least"), F.min("at").alias("top"))
+    moved = named.join(least, "root").select("d1", "d2", "least", "top")
+    labels = classes.select("d1", "d2", "label", "at").join(moved, ["d1", "d2"], "left").select(
+        "d1", "d2", F.coalesce("least", "label").alias("component"), F.coalesce("top", "at").alias("top")
     )
     joined = prints.select("doc_id", "t", "n", "d1", "d2").join(labels, ["d1", "d2"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return joined.select(
-        "doc_id", "t", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
-    )
+        "doc_id", "t", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
+        at.eqNullSafe(F.col("top")).alias("chosen"),
+    )
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of ``docs``: doc_id, t (hash of the text), n_shingles, component_id and kept."""
+    return grouped(docs, width, percent).drop("chosen")
 
 
 def component_report(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
@@ -358,8 +364,11 @@ def component_report(docs: DataFrame, width: int = 2, percent: int = 80) -> Data
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with one left of each group, all columns kept; of repeated rows of one id and text, one."""
-    found = near_duplicates(docs, width, percent).filter("kept and n_shingles > 0").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct()
+    """The documents with one left of each group, all columns kept; of repeated rows of one id and text, one.
+
+    The smallest doc_id stays, nulls last; of different texts with that id, the one with the smallest hash.
+    """
+    found = grouped(docs, width, percent).filter("chosen and n_shingles > 0").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col("text")).alias("_key"))
     blank = ~F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     same = (F.col("_key") == F.col("_t")) & F.col("row.doc_id").eqNullSafe(F.col("_d"))
