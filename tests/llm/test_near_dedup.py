@@ -1,4 +1,5 @@
 import random
+from math import comb
 
 import pytest
 
@@ -97,3 +98,17 @@ def test_one_of_each_group_by_equal_and_null_ids(spark):
     assert sorted((str(r.doc_id), (r.text or " ").split("x")[0]) for r in kept) == sorted(
         [("1", "g0"), ("1", "g1"), ("None", "g2"), ("None", "g3"), ("4", "g4"), ("None", " "), ("1", " ")]
     )
+
+
+@pytest.mark.parametrize("level, least", [(3, 0.9998), (4, 0.9993), (5, 0.998)])
+def test_recall_over_shared_places(level, least):
+    """A pair of similarity 0.8 agrees in a binomial number of places, and all trees draw from these."""
+
+    def kept(share):
+        below = 1.0
+        for _ in range(level - 1):
+            below = 0.75 * share * below + 0.25 * (1 - (1 - share * below) ** 2)
+        return 1 - (1 - share * below) ** near_dedup.TREES
+
+    n = near_dedup.PLACES
+    assert sum(comb(n, k) * 0.8**k * 0.2 ** (n - k) * kept(k / n) for k in range(n + 1)) >= least
