@@ -17,6 +17,7 @@ from txnwatch.llm.quality_rules import quality_rules
 from txnwatch.llm.spelling import spelling_report
 from txnwatch.llm.sql import SQL as SQL
 from txnwatch.llm.suffixes import repeat_report
+from txnwatch.llm.turn_repair import repair_report
 from txnwatch.llm.url_filter import filter_urls
 
 
@@ -35,5 +36,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": lambda s, d: quality_scores(_table(s, d, "documents"), _table(s, d, "labels")),
     "op10_line_dedup": lambda s, d: line_report(_table(s, d, "documents")),
     "op11_spelling_variants": lambda s, d: spelling_report(_table(s, d, "documents")),
+    "op12_turn_repair": lambda s, d: repair_report(_table(s, d, "conversations")),
     "op9_url_filter": lambda s, d: filter_urls(_table(s, d, "pages")),
 }
