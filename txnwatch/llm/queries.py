@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from txnwatch.llm.chat_format import chat_report
 from txnwatch.llm.decontaminate import leak_report
 from txnwatch.llm.html_text import extract
 from txnwatch.llm.language import language_id
@@ -37,5 +38,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": lambda s, d: line_report(_table(s, d, "documents")),
     "op11_spelling_variants": lambda s, d: spelling_report(_table(s, d, "documents")),
     "op12_turn_repair": lambda s, d: repair_report(_table(s, d, "conversations")),
+    "op13_chat_format": lambda s, d: chat_report(_table(s, d, "conversations")),
     "op9_url_filter": lambda s, d: filter_urls(_table(s, d, "pages")),
 }
