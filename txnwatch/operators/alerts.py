@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txnwatch.functions.expressions import FormulaError, formula
 from txnwatch.functions.text import money
@@ -30,27 +31,31 @@ def alert_id(run_id: str, scenario_id: str, owner: Sequence[str], end: str, valu
     )
 
 
-def alert_condition(rows: DataFrame, rule: Rule) -> DataFrame:
+def condition(columns: Sequence[str], schema: T.StructType, rule: Rule) -> Column:
     """Strictly above the threshold when there is no expression; else rows where it holds.
 
     Without threshold and expression nothing alerts. An expression that cannot be read, or names a
-    column the rows lack, holds for no row. Additional conditions narrow the result further.
+    column that is not among ``columns``, holds for no row. Additional conditions narrow the result further.
     """
     if rule.expression is None:
-        kept = rows.filter(F.col("aggregated_value") > F.col("threshold")) if "threshold" in rows.columns else rows.limit(0)
+        test = F.col("aggregated_value") > F.col("threshold") if "threshold" in columns else F.lit(False)
     else:
-        numeric = {"txn_count": F.col("transaction_count")} if "transaction_count" in rows.columns else {}
+        numeric = {"txn_count": F.col("transaction_count")} if "transaction_count" in columns else {}
         try:
-            test = formula(rule.expression, {**{name: F.col(name) for name in rows.columns}, **numeric})
+            test = formula(rule.expression, {**{name: F.col(name) for name in columns}, **numeric})
         except FormulaError:
             test = F.lit(False)
-        kept = rows.filter(F.coalesce(test.cast("boolean"), F.lit(False)))
     extra = [
-        predicate(F.col(item["field"]), rows.schema[item["field"]].dataType, item["operator"], item["value"])
+        predicate(F.col(item["field"]), schema[item["field"]].dataType, item["operator"], item["value"])
         for item in rule.conditions
-        if complete(item) and item["field"] in rows.columns
+        if complete(item) and item["field"] in columns
     ]
-    return kept.filter(all_of(extra)) if extra else kept
+    return F.coalesce(test.cast("boolean"), F.lit(False)) & all_of(extra)
+
+
+def alert_condition(rows: DataFrame, rule: Rule) -> DataFrame:
+    """The rows on which a rule alerts."""
+    return rows.filter(condition(rows.columns, rows.schema, rule))
 
 
 def attribute(columns: Sequence[str], names: Sequence[str], default: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +29,9 @@ CRYPTO_KEYWORDS = ["crypto", "bitcoin", "binance", "coinbase"]
 EDUCATION_LIMIT = 50000
 ENTITY_TYPE = {"education": "University", "loan": "FinancialInstitution"}
 LOOKBACK_DAYS = 30
+# Sizes of the grams by which names are looked up, and names per block of a frequent gram.
+GRAM_SIZES = (1, 2, 4, 8, 16, 32)
+NAMES_PER_BLOCK = 256
 
 
 def _mentions(text: Column, words: Sequence[str], whole_words: bool) -> Column:
@@ -62,25 +65,62 @@ def keyword_hit(narrative: str | Column, events: Iterable[str]) -> Column:
     return F.coalesce(_mentions(F.lower(col(narrative)), words, False), F.lit(False)) if words else F.lit(False)
 
 
-def name_parts(whitelist: DataFrame, keys: DataFrame) -> DataFrame:
-    """The substrings of the active entity names that have the length of some key, per entity type.
+def name_grams(names: DataFrame) -> DataFrame:
+    """An inverted index of names: columns entity_type, _id, _gram.
 
-    "The entity's name contains the beneficiary" becomes an equi-join on these parts. ``keys`` holds the distinct
-    beneficiaries; a name of n characters gives at most n parts per length that occurs among them.
+    ``names`` has entity_type and ``_name``. Grams are the substrings of ``GRAM_SIZES`` characters, as hashes, each once per
+    name, so a name of n characters has at most n grams per size. Ids and grams are hashes; the names are
+    compared in the end, so equal hashes only cost time.
     """
-    names = whitelist.filter("is_active").select("entity_type", F.lower("entity_name").alias("_name")).distinct()
-    lengths = keys.select(F.length("_key").alias("_n")).distinct()
-    sized = names.select("entity_type", "_name", F.explode(F.sequence(F.lit(1), F.length("_name"))).alias("_n")).join(lengths, "_n")
-    starts = F.sequence(F.lit(1), F.length("_name") - F.col("_n") + 1)
-    return sized.filter("length(_name) >= _n").select(
-        "entity_type", F.explode(F.transform(starts, lambda at: F.substring("_name", at, F.col("_n")))).alias("_key")
-    ).distinct()
+    length = F.length("_name")
+    sizes = F.filter(F.array(*[F.lit(n) for n in GRAM_SIZES]), lambda n: n <= length)
+    parts = F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), length - n + 1), lambda at: F.xxhash64(F.substring("_name", at, n))))
+    return names.select("entity_type", F.xxhash64("_name").alias("_id"), F.explode(F.array_distinct(F.flatten(parts))).alias("_gram"))
+
+
+def key_grams(keys: DataFrame) -> DataFrame:
+    """Grams that cover each key (column ``_key``), all of the largest size that fits, with their number ``_need``."""
+    length = F.length("_key")
+    size = F.lit(GRAM_SIZES[0])
+    for n in GRAM_SIZES[1:]:
+        size = F.when(length >= n, F.lit(n)).otherwise(size)
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(1), length - size + 1, size), F.array(length - size + 1)))
+    found = F.array_distinct(F.transform(starts, lambda at: F.xxhash64(F.substring("_key", at, size))))
+    return keys.withColumn("_found", found).select("_key", F.size("_found").alias("_need"), F.explode("_found").alias("_gram"))
 
 
 def verified_names(names: DataFrame, whitelist: DataFrame, column: str = "beneficiary_name") -> DataFrame:
-    """Distinct beneficiaries (lower case, ``_key``) with the entity types that verify them."""
+    """Distinct beneficiaries (lower case, ``_key``) with the entity types that verify them.
+
+    An active entity verifies a beneficiary that its name contains. Each key is looked up in the index of names by its
+    rarest gram per entity type; a key with a gram that no name has is done. Names of a frequent gram are dealt into blocks
+    of about ``NAMES_PER_BLOCK``: most keys are found in the first block, the others see all blocks.
+    """
     wanted = names.select(F.lower(col(column)).alias("_key")).filter(F.col("_key") != "").distinct()
-    return wanted.join(name_parts(whitelist, wanted), "_key", "inner")
+    listed = whitelist.filter("is_active").select("entity_type", F.lower("entity_name").alias("_name")).filter("_name != ''").distinct()
+    grams = name_grams(listed)
+    counts = grams.groupBy("entity_type", "_gram").agg(F.ceil(F.count(F.lit(1)) / F.lit(NAMES_PER_BLOCK)).cast("int").alias("_blocks"), F.count(F.lit(1)).alias("_names"))
+    postings = grams.join(counts.select("entity_type", "_gram", "_blocks"), ["entity_type", "_gram"]).select(
+        "entity_type", "_gram", "_id", F.pmod("_id", "_blocks").cast("int").alias("_block")
+    )
+    asked = (
+        key_grams(wanted)
+        .join(counts, "_gram")
+        .groupBy("_key", "entity_type", "_need")
+        .agg(F.count(F.lit(1)).alias("_have"), F.min(F.struct("_names", "_gram", "_blocks")).alias("_rarest"))
+        .filter("_have = _need")
+        .select("_key", "entity_type", "_rarest._gram", "_rarest._blocks")
+    )
+
+    def found(units: DataFrame) -> DataFrame:
+        near = units.join(postings, ["entity_type", "_gram", "_block"]).select("_key", "entity_type", "_id")
+        known = listed.select("entity_type", F.xxhash64("_name").alias("_id"), "_name")
+        return near.join(known, ["entity_type", "_id"]).filter(F.contains("_name", "_key")).select("_key", "entity_type").distinct()
+
+    first = found(asked.withColumn("_block", F.lit(0)))
+    left = asked.filter("_blocks > 1").join(first, ["_key", "entity_type"], "left_anti")
+    rest = found(left.withColumn("_block", F.explode(F.sequence(F.lit(1), F.col("_blocks") - 1))))
+    return first.unionByName(rest)
 
 
 def with_verification(rows: DataFrame, whitelist: DataFrame, expected: Column, column: str = "beneficiary_name") -> DataFrame:
@@ -104,8 +144,12 @@ def event_context(
     crypto: bool = False,
 ) -> DataFrame:
     """transactions that speak of an event, with ``is_verified`` and ``amount_reasonable``."""
-    kind = event_type(narrative, whole_words, crypto)
-    rows = transactions.withColumn("event_type", kind).filter(F.col("event_type").isNotNull())
+    rows = transactions.withColumn("event_type", event_type(narrative, whole_words, crypto))
+    return judged_events(rows.filter(F.col("event_type").isNotNull()), whitelist, amount)
+
+
+def judged_events(rows: DataFrame, whitelist: DataFrame, amount: str = "transaction_amount") -> DataFrame:
+    """rows with their ``event_type``, and whether beneficiary and amount fit it."""
     value = number(amount)
     reasonable = ~((F.col("event_type") == "education") & (value > EDUCATION_LIMIT))
     expected = None
@@ -182,35 +226,72 @@ def refine(
     profile: str = PEAK,
     hot: Hot = UNKNOWN,
 ) -> DataFrame:
-    """Mark alerts that a refinement excludes.
+    """Mark alerts of one rule that a refinement excludes; see ``refine_rules``."""
+    marked = refine_rules(
+        alerts.withColumn("_rule", F.lit(0)), transactions, whitelist, {0: (refinements, profile)}, lookback_days, narrative, amount, ts, crypto, hot
+    )
+    return marked.drop("_rule")
+
+
+def _active(refinements: Sequence[Refinement], profile: str) -> list[Refinement]:
+    found = [r for r in refinements if r.enabled and r.kind == "event_based" and r.events]
+    return [r for r in found if gate_words(r.events)] if profile == GROUPED else found
+
+
+def refine_rules(
+    alerts: DataFrame,
+    transactions: DataFrame,
+    whitelist: DataFrame,
+    rules: Mapping[int, tuple[Sequence[Refinement], str]],
+    lookback_days: int = LOOKBACK_DAYS,
+    narrative: str = "transaction_narrative",
+    amount: str = "transaction_amount",
+    ts: str = "transaction_date",
+    crypto: bool = False,
+    hot: Hot = UNKNOWN,
+) -> DataFrame:
+    """Mark alerts that a refinement of their rule excludes. Column ``_rule`` of an alert is its key in
+    ``rules``, which hold refinements and profile.
 
-    A rule excludes an alert when its customer has, in the lookback before the alert, a transaction of
+    A refinement excludes an alert when its customer has, in the lookback before the alert, a transaction of
     an excluded event; an education transaction must also be verified and reasonable. The first such
-    transaction by (date, id) is the reason, and the first rule that applies wins. Qualifying
-    transactions are reduced to one per customer, rule and instant; alerts and these are then read
+    transaction by (date, id) is the reason, and the first refinement that applies wins. Refinements with the same events
+    share their work. Transactions that speak of an event are read from ``transactions`` once and stored; they are
+    reduced to one per customer, kind of refinement and instant; alerts and these are then read
     once in time order, so the work does not depend on how many transactions a lookback holds.
 
-    With the grouped ``profile`` a rule only looks at customers with a transaction, of any date, that holds one of
-    its own gate words (F3), and a rule whose events have no gate words excludes nothing. ``hot`` may hand over the
+    With the grouped profile a refinement only looks at customers with a transaction, of any date, that holds one of
+    its own gate words (F3), and one whose events have no gate words excludes nothing. ``hot`` may hand over the
     hot customers among transactions and alerts, if the caller has counted them.
     """
-    active = [r for r in refinements if r.enabled and r.kind == "event_based" and r.events]
-    if profile == GROUPED:
-        active = [r for r in active if gate_words(r.events)]
-    plain = alerts.withColumns(
-        {
-            "excluded": F.lit(False),
-            "exclusion_reason": F.lit(None).cast("string"),
-            "exclusion_rule_id": F.lit(None).cast("string"),
-        }
-    )
+    active = {rule: _active(*spec) for rule, spec in rules.items()}
+    active = {rule: found for rule, found in active.items() if found}
     if not active:
-        return plain.withColumn("risk_flags", F.lit(None).cast(FLAGS))
-    context = event_context(transactions, whitelist, narrative, amount, crypto=crypto)
+        return alerts.withColumns(
+            {
+                "excluded": F.lit(False), "exclusion_reason": F.lit(None).cast("string"),
+                "exclusion_rule_id": F.lit(None).cast("string"), "risk_flags": F.lit(None).cast(FLAGS),
+            }
+        )
+    gated = {rule: spec[1] == GROUPED for rule, spec in rules.items()}
+    kinds = sorted({(r.events, gated[rule]) for rule, found in active.items() for r in found})
+    gates = {k: keyword_hit(narrative, events) for k, (events, gate) in enumerate(kinds) if gate}
+    kind, at = event_type(narrative, crypto=crypto), micros(ts)
+    wanted = {event for events, _ in kinds for event in events}
+    events = transactions.select(
+        "customer_id",
+        at.alias("_at"),
+        "transaction_id",
+        F.when(kind.isin(*sorted(wanted)) & at.isNotNull(), kind).alias("event_type"),
+        "beneficiary_name",
+        F.col(amount).alias("_amount"),
+        F.array_compact(F.array(*[F.when(test, F.lit(k)) for k, test in gates.items()])).cast("array<int>").alias("_gates"),
+    ).filter(F.col("customer_id").isNotNull() & (F.col("event_type").isNotNull() | (F.size("_gates") > 0)))
+    # The few rows that matter are read again for names, items, gates and hot customers.
+    events = stored(events, "events")
+    spoken = events.filter(F.col("event_type").isNotNull())
+    context = judged_events(spoken, whitelist, "_amount")
     sound = (F.col("event_type") != "education") | (F.col("is_verified") & F.col("amount_reasonable"))
-    rules = F.array(
-        *[F.when(F.col("event_type").isin(list(r.events)), F.lit(i)) for i, r in enumerate(active)]
-    )
     item = F.struct(
         F.col("_at").alias("at"),
         F.col("transaction_id").alias("transaction_id"),
@@ -218,44 +299,46 @@ def refine(
         F.col("is_verified").alias("is_verified"),
         F.col("amount_reasonable").alias("amount_reasonable"),
         F.col("beneficiary_name").alias("beneficiary"),
-        F.col(amount).cast("double").alias("amount"),
+        F.col("_amount").try_cast("double").alias("amount"),
     )
+    fits = F.array(*[F.when(F.col("event_type").isin(list(events)), F.lit(k)) for k, (events, _) in enumerate(kinds)])
     items = (
         context.filter(sound)
-        .withColumn("_at", micros(ts))
-        .filter(F.col("_at").isNotNull() & F.col("customer_id").isNotNull())
-        .withColumn("_rule", F.explode(F.array_compact(rules)))
-        .groupBy("customer_id", "_rule", "_at")
+        .withColumn("_kind_no", F.explode(F.array_compact(fits)))
+        .groupBy("customer_id", "_kind_no", "_at")
         .agg(F.min(item).alias("_first"))
     )
+    places = by_rule(
+        {rule: F.array(*[F.struct(F.lit(j).alias("place"), F.lit(kinds.index((r.events, gated[rule]))).alias("kind_no")) for j, r in enumerate(found)]) for rule, found in active.items()}
+    )
     probes = alerts.filter(F.col("customer_id").isNotNull() & F.col("alert_date").isNotNull()).select(
         "customer_id",
-        F.explode(F.sequence(F.lit(0), F.lit(len(active) - 1))).alias("_rule"),
+        F.explode(places).alias("_p"),
         "alert_id",
         micros("alert_date").alias("_end"),
         (micros("alert_date") - F.lit(lookback_days * DAY)).alias("_start"),
-    )
+    ).select("customer_id", F.col("_p.kind_no").alias("_kind_no"), F.col("_p.place").alias("_place"), "alert_id", "_end", "_start")
     if hot is UNKNOWN:
-        # Counted on the key alone, alerts included, before any join.
-        hot = hot_groups(transactions.select("customer_id").union(alerts.select("customer_id")), ["customer_id"])
-    if profile == GROUPED:
-        tests = [F.when(keyword_hit(narrative, r.events), F.lit(i)) for i, r in enumerate(active)]
-        gate = transactions.select("customer_id", F.explode(F.array_compact(F.array(*tests))).alias("_rule")).distinct()
-        items = skew_join(items, gate, ["customer_id", "_rule"], "left_semi", salt_on=["_at"], hot=_per_rule(hot, len(active)))
+        # Only rows that take part below count.
+        hot = hot_groups(events.select("customer_id").union(alerts.select("customer_id")), ["customer_id"])
     if hot is not None:
-        hot = _per_rule(hot, len(active))
-    found = next_after(probes, items, ["customer_id", "_rule"], "_start", "_at", "_first", "_item", hot)
+        hot = hot.withColumn("_kind_no", F.explode(F.sequence(F.lit(0), F.lit(len(kinds) - 1))))
+    if gates:
+        gate = events.select("customer_id", F.explode("_gates").alias("_kind_no")).distinct().withColumn("_open", F.lit(True))
+        through = skew_join(items, gate, ["customer_id", "_kind_no"], "left", salt_on=["_at"], hot=hot)
+        items = through.filter(F.col("_open") | ~F.col("_kind_no").isin(list(gates))).drop("_open")
+    found = next_after(probes, items, ["customer_id", "_kind_no"], "_start", "_at", "_first", "_item", hot)
     first = (
         found.filter(F.col("_item.at") <= F.col("_end"))
         .groupBy("alert_id")
-        .agg(F.min(F.struct("_rule", "_item")).alias("_hit"))
+        .agg(F.min(F.struct("_place", "_item")).alias("_hit"))
     )
     event, beneficiary = F.col("_hit._item.event_type"), F.col("_hit._item.beneficiary")
     reason = F.when(
         event == "education",
         F.concat(F.lit("Verified education transaction to "), F.coalesce(beneficiary, F.lit("None"))),
     ).otherwise(F.concat(F.lit("Legitimate "), event, F.lit(" transaction")))
-    names = F.array(*[F.lit(r.rule_id) for r in active])
+    names = by_rule({rule: F.array(*[F.lit(r.rule_id) for r in found]) for rule, found in active.items()})
     flags = F.struct(
         event.alias("event_type"),
         F.col("_hit._item.is_verified").alias("is_verified"),
@@ -267,13 +350,18 @@ def refine(
         *alerts.columns,
         F.col("_hit").isNotNull().alias("excluded"),
         F.when(F.col("_hit").isNotNull(), reason).alias("exclusion_reason"),
-        F.when(F.col("_hit").isNotNull(), names[F.col("_hit._rule")]).alias("exclusion_rule_id"),
+        F.when(F.col("_hit").isNotNull(), names[F.col("_hit._place")]).alias("exclusion_rule_id"),
         F.when(F.col("_hit").isNotNull(), flags).alias("risk_flags"),
     )
 
 
-def _per_rule(hot: DataFrame | None, rules: int) -> DataFrame | None:
-    return None if hot is None else hot.withColumn("_rule", F.explode(F.sequence(F.lit(0), F.lit(rules - 1))))
+def by_rule(values: Mapping[int, Column]) -> Column:
+    """The value of the row's rule (column ``_rule``), null for rules without one."""
+    chain = None
+    for rule, value in values.items():
+        test = F.col("_rule") == rule
+        chain = F.when(test, value) if chain is None else chain.when(test, value)
+    return chain
 
 
 FLAGS = "struct<event_type:string,is_verified:boolean,amount_reasonable:boolean,beneficiary:string,amount:double>"

@@ -115,7 +115,7 @@ def mark_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(hot, list(keys), "left")
 
 
-def whole(column: Column, width: int) -> Column:
+def whole(column: Column, width: int | Column) -> Column:
     """``column`` divided by ``width``, rounded down, in whole numbers throughout."""
     return F.call_function("div", column - F.pmod(column, F.lit(width)), F.lit(width))
 
@@ -220,7 +220,7 @@ def sliding(
     nodes: DataFrame,
     group: Sequence[str],
     at: str,
-    width: int,
+    width: int | Column,
     aggs: Mapping[str, tuple[str, str]],
     tie: str | None = None,
     source: DataFrame | None = None,
@@ -233,7 +233,7 @@ def sliding(
     of one block plus the start of the next, so two running passes replace a frame scan per row,
     and the work is linear in the nodes however long the windows are. ``source`` may give the raw
     rows (group and ``at``) from which hot groups and blocks are counted cheaply, ``hot`` the hot groups
-    if they are known.
+    if they are known. ``width`` may be a column over the group columns.
     """
     group = list(group)
     block = whole(F.col(at), width)
@@ -241,7 +241,10 @@ def sliding(
     counted = source if source is not None else nodes
     groups = hot_groups(counted, group) if hot is UNKNOWN else hot
     blocks = hot_blocks(counted, group, block, groups)
-    step = max(1, -(-width // CHUNKS_PER_WINDOW))
+    if isinstance(width, int):
+        step: int | Column = max(1, -(-width // CHUNKS_PER_WINDOW))
+    else:
+        step = F.greatest(F.lit(1), whole(width + F.lit(CHUNKS_PER_WINDOW - 1), CHUNKS_PER_WINDOW))
     order = [F.desc(at)] + ([F.desc(tie)] if tie else [])
     tail = running(
         nodes.withColumn("_block", block),

@@ -274,22 +274,24 @@ def in_peak_window(
     value: str = "transaction_amount",
     ts: str = "transaction_date",
     hot: Hot = UNKNOWN,
+    keys: Sequence[str] = ("customer_id",),
 ) -> DataFrame:
-    """Transactions that belong to the peak window of their customer, one window per customer.
+    """Transactions that belong to the peak window of their customer, one window per customer (or ``keys``).
 
     A window that starts at the last of several equal losses takes only the one with the greatest id. That one is
     found among the few rows at the start of such windows, so the pairs of window and transaction are formed once.
     """
     starts = windows.filter(F.col("transaction_count") > 0)
-    joined = skew_join(transactions, starts, ["customer_id"], "inner", salt_on=["transaction_id"], hot=hot)
+    keys = list(keys)
+    joined = skew_join(transactions, starts, keys, "inner", salt_on=["transaction_id"], hot=hot)
     v, at = number(value), instant(ts)
     first = at == F.col("window_start")
     later = (at > F.col("window_start")) & (at <= F.col("window_end"))
     # The greatest id at the start of windows that hold losses only; one row per such customer.
-    alone = starts.filter("starts_at_last").select("customer_id", F.col("window_start").alias("_s"), F.col("start_value").alias("_v"))
-    ends = transactions.select("customer_id", instant(ts).alias("_s"), v.alias("_v"), "transaction_id")
-    last = ends.join(alone, ["customer_id", "_s", "_v"], "left_semi").groupBy("customer_id").agg(F.max("transaction_id").alias("_last"))
-    marked = joined.join(last, "customer_id", "left")
+    alone = starts.filter("starts_at_last").select(*keys, F.col("window_start").alias("_s"), F.col("start_value").alias("_start"))
+    ends = transactions.select(*keys, instant(ts).alias("_s"), v.alias("_start"), "transaction_id")
+    last = ends.join(alone, [*keys, "_s", "_start"], "left_semi").groupBy(*keys).agg(F.max("transaction_id").alias("_last"))
+    marked = joined.join(last, keys, "left")
     begin = F.when(F.col("starts_at_last"), F.col("transaction_id") == F.col("_last")).otherwise(v >= F.col("start_value"))
     return marked.filter(later | (first & F.coalesce(begin, F.lit(False)))).drop("_last")
 
@@ -297,7 +299,7 @@ def in_peak_window(
 def in_trailing_window(
     transactions: DataFrame,
     alerts: DataFrame,
-    width: int,
+    width: int | Column,
     group_by: Sequence[str] = ("customer_id",),
     ts: str = "transaction_date",
     hot: Hot = UNKNOWN,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -14,10 +14,11 @@ from txnwatch.operators.aggregate import contributions
 from txnwatch.operators.alerts import union_alerts
 from txnwatch.operators.filters import in_date_range
 from txnwatch.operators.mapping import map_columns
-from txnwatch.operators.refine import exclusion_log, refine
+from txnwatch.operators.refine import exclusion_log, refine, refine_rules
 from txnwatch.operators.skew import UNKNOWN, Hot, hot_groups, list_join, stored
 from txnwatch.plans.grouped import grouped_alert_links, grouped_alerts
 from txnwatch.plans.peak import peak_alerts, peak_links
+from txnwatch.plans.together import fits, grouped_alerts_of, grouped_links_of, peak_alerts_of, peak_links_of
 from txnwatch.rules import GROUPED, PEAK, Rule, RuleError, make_rule
 
 COMMON = [
@@ -27,6 +28,9 @@ COMMON = [
     "risk_flags",
 ]
 
+# What suppression adds to an alert.
+MARKS = ("excluded", "exclusion_reason", "exclusion_rule_id", "risk_flags")
+
 
 @dataclass
 class RunResult:
@@ -75,17 +79,6 @@ def rule_alerts(transactions: DataFrame, customers: DataFrame, rule: Rule, run_i
     return make(transactions, customers, rule, run_id, hot)
 
 
-def refined_alerts(
-    transactions: DataFrame, customers: DataFrame, rule: Rule, run_id: str, whitelist: DataFrame | None, hot: Hot = UNKNOWN
-) -> DataFrame:
-    """Alerts of one rule with suppression marks."""
-    alerts = rule_alerts(transactions, customers, rule, run_id, hot)
-    if whitelist is None:
-        # Nothing is verified then; loans and deposits need no whitelist.
-        whitelist = transactions.sparkSession.createDataFrame([], "entity_name string, entity_type string, is_active boolean")
-    return refine(alerts, transactions, whitelist, rule.refinements, profile=rule.profile)
-
-
 def rule_links(
     transactions: DataFrame, customers: DataFrame, alerts: DataFrame, rule: Rule, hot: Hot = UNKNOWN
 ) -> DataFrame:
@@ -94,8 +87,8 @@ def rule_links(
     return make(transactions, customers, alerts, rule, hot)
 
 
-def common_alerts(alerts: DataFrame) -> DataFrame:
-    """One shape for alerts of both dialects: details, metadata and context as one JSON text."""
+def _shaped(alerts: DataFrame) -> DataFrame:
+    """Alerts of either dialect in one shape: details, metadata and context as one JSON text."""
     extras = [c for c in ("alert_metadata", "enrichment_data") if c in alerts.columns]
     details = F.to_json("trigger_details")
     if extras:
@@ -107,7 +100,58 @@ def common_alerts(alerts: DataFrame) -> DataFrame:
             "alert_status": F.lit("OPN"),
             "threshold": F.col("threshold").cast("double"),
         }
-    ).select(*COMMON)
+    )
+
+
+def common_alerts(alerts: DataFrame) -> DataFrame:
+    """One shape for marked alerts of both dialects."""
+    return _shaped(alerts).select(*COMMON)
+
+
+def _whitelist(transactions: DataFrame, whitelist: DataFrame | None) -> DataFrame:
+    """Without a whitelist nothing is verified; loans and deposits need none."""
+    if whitelist is None:
+        return transactions.sparkSession.createDataFrame([], "entity_name string, entity_type string, is_active boolean")
+    return whitelist
+
+
+def _alone(
+    transactions: DataFrame, customers: DataFrame, rule: Rule, run_id: str, whitelist: DataFrame, hot: Hot, with_links: bool
+) -> tuple[DataFrame, DataFrame | None]:
+    """Alerts and links of one rule in plans of its own."""
+    alerts = rule_alerts(transactions, customers, rule, run_id, hot)
+    if with_links or rule.refinements:
+        # Links, suppression and the result read the alerts, so they are computed once.
+        alerts = stored(alerts, "alerts")
+    marked = refine(alerts, transactions, whitelist, rule.refinements, profile=rule.profile, hot=hot)
+    if not with_links:
+        return common_alerts(marked), None
+    return common_alerts(stored(marked, "marked")), stored(contributions(rule_links(transactions, customers, alerts, rule, hot)), "links")
+
+
+def _together(
+    transactions: DataFrame, customers: DataFrame, rules: Sequence[Rule], run_id: str, whitelist: DataFrame, hot: DataFrame | None, with_links: bool
+) -> tuple[DataFrame, DataFrame | None]:
+    """Alerts and links of many rules, with scans and exchanges that do not depend on their number."""
+    numbered = dict(enumerate(rules))
+    refined = {i: (rule.refinements, rule.profile) for i, rule in numbered.items()}
+    kept = with_links or any(rule.refinements for rule in rules)
+    parts, behind = [], []
+    for profile, alerts_of, links_of in ((PEAK, peak_alerts_of, peak_links_of), (GROUPED, grouped_alerts_of, grouped_links_of)):
+        some = {i: rule for i, rule in numbered.items() if rule.profile == profile}
+        if not some:
+            continue
+        alerts = alerts_of(transactions, customers, some, run_id, hot)
+        if kept:
+            alerts = stored(alerts, "alerts")
+        parts.append(_shaped(alerts).select("_rule", *[c for c in COMMON if c not in MARKS]))
+        if with_links:
+            links = links_of(transactions, customers, alerts, some, hot)
+            behind.append(links.select("alert_id", *[c for c in ("transaction_id", "upload_id", "transaction_date", "transaction_amount") if c in transactions.columns]))
+    marked = refine_rules(union_alerts(parts), transactions, whitelist, refined, hot=hot).select(*COMMON)
+    if not with_links:
+        return marked, None
+    return stored(marked, "marked"), stored(contributions(union_alerts(behind)), "links")
 
 
 def run_rules(
@@ -121,12 +165,14 @@ def run_rules(
     end: Any = None,
     with_links: bool = True,
     uploads: DataFrame | None = None,
+    together: bool = True,
 ) -> RunResult:
     """Alerts of all rules, over the datasets of ``uploads`` (column upload_id) if given; a rule that cannot be read, planned or stored contributes nothing and is reported.
 
     The run's mapping and date range apply once (B4, B19). A peak rule's own mapping applies when it
-    uses a field (B3), a grouped rule's to the data after the run's (B4). Without links everything stays lazy; with links, alerts and
-    links are stored, so failures while running also stay with their rule. Without a whitelist nothing is verified.
+    uses a field (B3), a grouped rule's to the data after the run's (B4). Rules share one pass over the data where they can
+    (``plans.together``); the others, and all of them if the shared pass fails, run alone, so failures stay with their rule.
+    With links or refinements alerts and links are stored. Without a whitelist nothing is verified.
     """
     if uploads is not None:
         # A run over chosen datasets: one upload, those of a user, or the active ones.
@@ -136,34 +182,40 @@ def run_rules(
     people = map_columns(customers, mapping)
     # Hot customers are counted once for all rules.
     shared = hot_groups(txns, ["customer_id"])
-    alerts, links, rejected = [], [], {}
+    known = _whitelist(transactions, whitelist)
+    alerts, links, rejected, one_by_one, sharing = [], [], {}, {}, {}
     for scenario_id, config in configs.items():
         try:
             rule = make_rule(scenario_id, config)
+            (sharing if together and fits(rule, txns, people) else one_by_one)[scenario_id] = rule
+        except (RuleError, TypeError, ValueError, KeyError, PySparkException) as error:
+            rejected[scenario_id] = str(error).split("\n")[0]
+    if sharing:
+        try:
+            found = _together(txns, people, list(sharing.values()), run_id, known, shared, with_links)
+            alerts.append(found[0])
+            links += [found[1]] if with_links else []
+        except (RuleError, TypeError, ValueError, KeyError, PySparkException):
+            one_by_one |= sharing
+    for scenario_id, rule in one_by_one.items():
+        try:
             rows, owners, hot = txns, people, shared
             if rule.profile == GROUPED and rule.mapping:
                 # A grouped rule's own mapping renames the data, so that keys and thresholds follow it too.
                 rows, owners = map_columns(txns, rule.mapping), map_columns(people, rule.mapping)
                 hot = UNKNOWN if "customer_id" in rule.mapping else shared
                 rule = replace(rule, mapping={})
-            marked = refined_alerts(rows, owners, rule, run_id, whitelist, hot)
-            behind = None
-            if with_links:
-                # Alerts and their links feed several tables, so they are computed once and stored.
-                marked = stored(marked, "alerts")
-                behind = stored(contributions(rule_links(rows, owners, marked, rule, hot)), "links")
-            shaped = common_alerts(marked)
-        except (RuleError, TypeError, ValueError, KeyError, PySparkException) as error:
             # One bad rule must not cost the others their alerts.
+            found = _alone(rows, owners, rule, run_id, known, hot, with_links)
+        except (RuleError, TypeError, ValueError, KeyError, PySparkException) as error:
             rejected[scenario_id] = str(error).split("\n")[0]
             continue
-        alerts.append(shaped)
-        if behind is not None:
-            links.append(behind)
+        alerts.append(found[0])
+        links += [found[1]] if with_links else []
     if not alerts:
         return RunResult(None, None, None, rejected, run_id, tuple(configs))
-    together = union_alerts(alerts)
-    return RunResult(together, union_alerts(links) if links else None, exclusion_log(together), rejected, run_id, tuple(configs))
+    everything = union_alerts(alerts)
+    return RunResult(everything, union_alerts(links) if links else None, exclusion_log(everything), rejected, run_id, tuple(configs))
 
 
 def sample_customers(customers: DataFrame, size: int = 20) -> DataFrame:
