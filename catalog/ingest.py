@@ -7,7 +7,7 @@ from catalog.base import Tables, query
 from txnwatch.functions.text import display_id
 from txnwatch.operators.reports import export_alerts, export_comparison
 from txnwatch.operators.compare import diff_peak
-from txnwatch.sources import datasets, ingest, sinks
+from txnwatch.sources import datasets, ingest, payload, sinks, state
 
 NOW = "2001-08-02 00:00:00"
 
@@ -310,14 +310,124 @@ def replace_upload(t: Tables) -> DataFrame:
     return datasets.replace_upload(stored, fresh, "UP1998")
 
 
-@query("a18_write_run", "select alert_id, run_id, customer_id, risk_score, excluded from alert")
+def nested_payloads(t: Tables) -> DataFrame:
+    """Events as JSON text with nested, mixed, missing and unreadable parts."""
+    number, user = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    text = F.concat(
+        F.lit('{"kind":"'), "event_type", F.lit('","amount":'), F.col("value").cast("string"), F.lit(',"props":'), "props",
+        F.lit(',"list":['), (F.col("event_id") % 3).cast("string"), F.lit(","), (F.col("event_id") % 5).cast("string"), F.lit('],"mixed":'),
+        F.when(F.col("event_id") % 2 == 0, user).otherwise(F.concat(F.lit('"u'), user, F.lit('"'))),
+        F.when(F.col("event_id") % 7 == 0, F.lit(',"late":null')).when(F.col("event_id") % 7 == 1, F.lit(',"late":true')).otherwise(F.lit("")),
+    )
+    whole = F.when(F.col("event_id") % 11 == 0, text).otherwise(F.concat(text, F.lit("}")))
+    return t.read("events").select(number.alias("transaction_id"), whole.alias("raw_data"))
+
+
+@query(
+    "a14_any_payload",
+    """select cast(event_id as varchar) as transaction_id, case when ok then event_type end as kind, case when ok then value end as amount,
+              case when ok then cast(json_extract_string(props, '$.k') as bigint) end as k, case when ok then event_id % 3 + event_id % 5 end as total,
+              case when ok then case when event_id % 2 = 0 then cast(user_id as varchar) else 'u' || cast(user_id as varchar) end end as mixed,
+              case when ok and event_id % 7 = 1 then true end as late
+       from (select *, event_id % 11 <> 0 as ok from events)""",
+)
+def any_payload(t: Tables) -> DataFrame:
+    rows = payload.flatten_any(nested_payloads(t))
+    total = F.aggregate("list", F.lit(0).cast("long"), lambda a, b: a + b)
+    return rows.select("transaction_id", "kind", F.col("amount").cast("double").alias("amount"), F.col("props.k").alias("k"), total.alias("total"), "mixed", "late")
+
+
+@query(
+    "h1_payload_profile",
+    """with e as (select * from events where event_id % 11 <> 0)
+       select 'kind' as field_name, 'STRING' as kind, count(*) as payloads, 0 as nulls from e
+       union all select 'amount', 'DECIMAL', count(*), 0 from e union all select 'props', 'OBJECT<k: BIGINT>', count(*), 0 from e
+       union all select 'list', 'ARRAY<BIGINT>', count(*), 0 from e union all select 'mixed', 'MIXED', count(*), 0 from e
+       union all select 'late', 'BOOLEAN', count(*), count_if(event_id % 7 = 0) from e where event_id % 7 < 2""",
+)
+def payload_profile(t: Tables) -> DataFrame:
+    found = payload.payload_profile(nested_payloads(t))
+    return found.withColumn("kind", F.regexp_replace("kind", r"^DECIMAL\(.*", "DECIMAL"))
+
+
+@query(
+    "a14_payload_quality",
+    "select 0 as missing, count_if(event_id % 11 <> 0) as readable, count_if(event_id % 11 = 0) as unreadable from events",
+)
+def payload_quality(t: Tables) -> DataFrame:
+    return payload.payload_quality(nested_payloads(t))
+
+
+ALERT_COLUMNS = ["alert_id", "run_id", "customer_id", "risk_score", "excluded"]
+
+
+@query("a18_write_run", "select alert_id, run_id, customer_id, risk_score, excluded from alert where run_id <> 'RUN1996'")
 def write_run(t: Tables) -> DataFrame:
+    """Three writes: all runs, one of them again, and one again without any alerts."""
     folder = t.scratch("run")
-    columns = ["alert_id", "run_id", "customer_id", "risk_score", "excluded"]
-    sinks.write_run({"alerts": t.alert.select(*columns)}, folder, "unused")
-    again = t.alert.select(*columns).filter(F.col("run_id") == "RUN1997")
-    sinks.write_run({"alerts": again}, folder, "RUN1997")
-    return t.spark.read.parquet(f"{folder}/alerts").select(*columns)
+    alerts = t.alert.select(*ALERT_COLUMNS)
+    state.write_run({"alerts": alerts}, folder, "unused")
+    state.write_run({"alerts": alerts.filter(F.col("run_id") == "RUN1997")}, folder, "RUN1997")
+    state.write_run({"alerts": alerts.limit(0)}, folder, "RUN1996")
+    return state.read_table(t.spark, folder, "alerts").select(*ALERT_COLUMNS)
+
+
+def stored_state(t: Tables) -> str:
+    """The given tables as a stored state."""
+    folder = t.scratch("state")
+    tables = {
+        "transactions": t.txn, "customers": t.cust, "uploads": t.upload, "runs": t.run, "alerts": t.alert,
+        "alert_transactions": t.line.select("alert_id", "transaction_id").join(t.alert.select("alert_id", "run_id"), "alert_id"),
+    }
+    state.commit(t.spark, folder, tables, {})
+    return folder
+
+
+def rows_by(t: Tables, folder: str, keys: dict[str, str]) -> DataFrame:
+    parts = [
+        state.read_table(t.spark, folder, name).groupBy(F.col(key).cast("string").alias("what")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "what", "rows")
+        for name, key in keys.items()
+    ]
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    return both
+
+
+@query(
+    "a17_drop_stored_upload",
+    """select 'transactions' as name, upload_id as what, count(*) as rows from txn where upload_id <> 'UP1997' group by 2
+       union all select 'customers', upload_id, count(*) from cust group by 2
+       union all select 'uploads', upload_id, count(*) from upload where upload_id <> 'UP1997' group by 2
+       union all select 'alerts', run_id, count(*) from alert where run_id not in (select run_id from run where upload_id = 'UP1997') group by 2
+       union all select 'alert_transactions', run_id, count(*) from line join alert using (alert_id)
+           where run_id not in (select run_id from run where upload_id = 'UP1997') group by 2""",
+)
+def drop_stored_upload(t: Tables) -> DataFrame:
+    folder = stored_state(t)
+    state.drop_upload(t.spark, folder, "UP1997", keep=["customers"])
+    return rows_by(t, folder, {"transactions": "upload_id", "customers": "upload_id", "uploads": "upload_id", "alerts": "run_id", "alert_transactions": "run_id"})
+
+
+@query(
+    "a11_upsert_stored",
+    """select transaction_id, customer_id, upload_id, case when upload_id = 'UP1997' and cast(transaction_id as bigint) % 3 = 0 then transaction_amount + 1 else transaction_amount end as transaction_amount from txn
+       union all select 'new' || transaction_id, customer_id, 'UP2020', 5.0 from txn where upload_id = 'UP1996' and cast(transaction_id as bigint) % 50 = 0""",
+)
+def upsert_stored(t: Tables) -> DataFrame:
+    """A batch that changes rows of one upload and brings a new one; other uploads are not written again."""
+    folder = t.scratch("state")
+    rows = t.txn.select("transaction_id", "customer_id", "upload_id", "transaction_amount", F.lit(0).alias("seq"))
+    first = state.commit(t.spark, folder, {"transactions": rows}, {})
+    number = F.col("transaction_id").cast("long")
+    changed = rows.filter((F.col("upload_id") == "UP1997") & (number % 3 == 0)).withColumn("transaction_amount", F.col("transaction_amount") + 1)
+    new = rows.filter((F.col("upload_id") == "UP1996") & (number % 50 == 0)).withColumns(
+        {"transaction_id": F.concat(F.lit("new"), "transaction_id"), "upload_id": F.lit("UP2020"), "transaction_amount": F.lit(5.0)}
+    )
+    second = state.upsert_rows(t.spark, folder, "transactions", changed.unionByName(new), ["transaction_id"], "seq")
+    moved = {k for k, v in second.parts["transactions"].items() if first.parts["transactions"].get(k) != v}
+    assert moved == {"UP1997", "UP2020"}
+    return state.read_table(t.spark, folder, "transactions").drop("seq")
 
 
 EXPORT = """select a.alert_id as "Alert ID", a.scenario_name as "Scenario", a.risk_score as "Risk Score", a.customer_id as "Customer ID",

@@ -4,11 +4,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.base import Tables, query
+from catalog.ingest import rows_by, stored_state
 from catalog.rules import FLAGSHIP, peak_alert_sql
 from txnwatch.operators import lifecycle
 from txnwatch.operators.aggregate import contributions
 from txnwatch.operators.reports import alert_trace, search
 from txnwatch.plans.run import run_rules
+from txnwatch.sources.state import apply_cleanup
 
 NOW = "1998-06-01 00:00:00"
 DUE = "select upload_id from upload where status = 'active' and expires_at < timestamp '1998-06-01'"
@@ -61,6 +63,20 @@ def cleaned_tables(t: Tables) -> DataFrame:
     return counted[0].unionByName(counted[1]).unionByName(counted[2])
 
 
+@query(
+    "i3_stored_cleanup",
+    f"""select 'transactions' as name, upload_id as what, count(*) as rows from txn where upload_id not in ({DUE}) group by 2
+        union all select 'customers', upload_id, count(*) from cust where upload_id not in ({DUE}) group by 2
+        union all select 'uploads', case when upload_id in ({DUE}) then 'expired' else status end, count(*) from upload group by 2
+        union all select 'alerts', case when {HIT} then 'ANONYMIZED-' || substr(customer_id, 1, 8) else customer_name end, count(*) from alert group by 2""",
+)
+def stored_cleanup(t: Tables) -> DataFrame:
+    """The cleanup carried out on a stored state."""
+    folder = stored_state(t)
+    apply_cleanup(t.spark, folder, NOW)
+    return rows_by(t, folder, {"transactions": "upload_id", "customers": "upload_id", "uploads": "status", "alerts": "customer_name"})
+
+
 @query(
     "i3_pii_flag",
     f"select alert_id, run_id, case when {HIT} then 'true' end as pii_removed from alert",

@@ -68,13 +68,6 @@ def test_empty_and_all_null_columns(spark):
     assert ingest.cast_cells(df, {"a": "string", "b": "bigint"}).collect()[0].a is None
 
 
-def test_write_run_replaces_only_its_run(spark, tmp_path):
-    first = spark.createDataFrame([("a", "R1"), ("b", "R2")], "alert_id string, run_id string")
-    sinks.write_run({"alerts": first}, str(tmp_path), "x")
-    sinks.write_run({"alerts": spark.createDataFrame([("c", "R2")], "alert_id string, run_id string")}, str(tmp_path), "R2")
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/alerts").collect()) == [("a", "R1"), ("c", "R2")]
-
-
 def test_csv_of_nested_columns(spark, tmp_path):
     df = spark.createDataFrame([("a", ["x", "y"])], "id string, tags array<string>")
     sinks.write_csv(df, str(tmp_path / "out"))

@@ -1,9 +1,7 @@
-"""Writing results."""
+"""Writing results as CSV (A19, A20); runs are written by ``state.write_run``."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,21 +18,6 @@ def flat(df: DataFrame) -> DataFrame:
     )
 
 
-def write_run(tables: Mapping[str, DataFrame], folder: str, run_id: str) -> None:
-    """Alerts, links and logs of one run as Parquet, one partition per run.
-
-    Writing a run again replaces that run only.
-    """
-    for name, df in tables.items():
-        rows = df if "run_id" in df.columns else df.withColumn("run_id", F.lit(run_id))
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("run_id")
-            .parquet(f"{folder}/{name}")
-        )
-
-
 def write_csv(df: DataFrame, folder: str) -> None:
     """A table as CSV with header, in as many parts as Spark has tasks."""
     flat(df).write.mode("overwrite").csv(folder, header=True, quote='"', escape='"', emptyValue="")
