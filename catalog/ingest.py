@@ -358,6 +358,14 @@ def payload_quality(t: Tables) -> DataFrame:
     return payload.payload_quality(nested_payloads(t))
 
 
+@query("a1_quoted_line_breaks", "select cast(doc_id as varchar) as doc_id, text, lang, source from documents")
+def quoted_line_breaks(t: Tables) -> DataFrame:
+    """Texts with line breaks, written as CSV and read in several tasks per file."""
+    folder = t.scratch("csv")
+    sinks.write_csv(t.read("documents").select("doc_id", "text", "lang", "source"), folder)
+    return ingest.read_delimited(t.spark, folder, multi_line=True)
+
+
 ALERT_COLUMNS = ["alert_id", "run_id", "customer_id", "risk_score", "excluded"]
 
 

@@ -99,13 +99,14 @@ def verified_names(names: DataFrame, whitelist: DataFrame, column: str = "benefi
     wanted = names.select(F.lower(col(column)).alias("_key")).filter(F.col("_key") != "").distinct()
     listed = whitelist.filter("is_active").select("entity_type", F.lower("entity_name").alias("_name")).filter("_name != ''").distinct()
     grams = name_grams(listed)
-    counts = grams.groupBy("entity_type", "_gram").agg(F.ceil(F.count(F.lit(1)) / F.lit(NAMES_PER_BLOCK)).cast("int").alias("_blocks"), F.count(F.lit(1)).alias("_names"))
-    postings = grams.join(counts.select("entity_type", "_gram", "_blocks"), ["entity_type", "_gram"]).select(
-        "entity_type", "_gram", "_id", F.pmod("_id", "_blocks").cast("int").alias("_block")
-    )
+    counts = grams.groupBy("entity_type", "_gram").agg(F.count(F.lit(1)).alias("_names"))
+    blocks = F.ceil(F.col("_names") / F.lit(NAMES_PER_BLOCK)).cast("int")
+    # Stored, the index has a known size: Spark broadcasts a small one, and then beneficiaries are not shuffled by gram.
+    index = stored(grams.join(counts, ["entity_type", "_gram"]).withColumn("_blocks", blocks), "grams")
+    postings = index.select("entity_type", "_gram", "_id", F.pmod("_id", "_blocks").cast("int").alias("_block"))
     asked = (
         key_grams(wanted)
-        .join(counts, "_gram")
+        .join(index.select("entity_type", "_gram", "_names", "_blocks").distinct(), "_gram")
         .groupBy("_key", "entity_type", "_need")
         .agg(F.count(F.lit(1)).alias("_have"), F.min(F.struct("_names", "_gram", "_blocks")).alias("_rarest"))
         .filter("_have = _need")
@@ -118,6 +119,8 @@ def verified_names(names: DataFrame, whitelist: DataFrame, column: str = "benefi
         return near.join(known, ["entity_type", "_id"]).filter(F.contains("_name", "_key")).select("_key", "entity_type").distinct()
 
     first = found(asked.withColumn("_block", F.lit(0)))
+    if index.filter("_blocks > 1").isEmpty():
+        return first
     left = asked.filter("_blocks > 1").join(first, ["_key", "entity_type"], "left_anti")
     rest = found(left.withColumn("_block", F.explode(F.sequence(F.lit(1), F.col("_blocks") - 1))))
     return first.unionByName(rest)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from txnwatch.functions.text import to_number
 from txnwatch.operators.profile import DATE_PATTERNS, parsed_date
+from txnwatch.sources.quoted import read_quoted
 
 TRANSACTIONS, CUSTOMERS = "transactions", "customers"
 
@@ -39,10 +40,11 @@ class UnknownFile(ValueError):
 def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", multi_line: bool = False) -> DataFrame:
     """A1: a delimited file with header, every cell as text; a byte-order mark is removed.
 
-    ``multi_line`` keeps line breaks inside quoted cells. Spark then reads each file in one task, so use it only
-    for files that have such cells and are not huge, or that come in many parts.
+    ``multi_line`` keeps line breaks inside quoted cells; see ``quoted.read_quoted``.
     """
-    df = spark.read.csv(path, header=True, sep=delimiter, encoding="UTF-8", quote='"', escape='"', multiLine=multi_line)
+    if multi_line:
+        return read_quoted(spark, path, delimiter)
+    df = spark.read.csv(path, header=True, sep=delimiter, encoding="UTF-8", quote='"', escape='"')
     return df.toDF(*[name.lstrip("﻿") for name in df.columns])
 
 
