@@ -58,10 +58,10 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize(("small", "depth"), [(24, 5), (3, 5), (3, 3)])
-def test_same_components_as_all_pairs(spark, rows, monkeypatch, small, depth):
+@pytest.mark.parametrize(("small", "block"), [(24, 256), (3, 256), (3, 5)])
+def test_same_components_as_all_pairs(spark, rows, monkeypatch, small, block):
     monkeypatch.setattr(near_dedup, "SMALL", small)
-    monkeypatch.setattr(near_dedup, "DEPTH", depth)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert found(component_report(df)) == brute(rows)
 
@@ -100,7 +100,36 @@ def test_one_of_each_group_by_equal_and_null_ids(spark):
     )
 
 
-@pytest.mark.parametrize("level, least", [(3, 0.9998), (4, 0.9993), (5, 0.998)])
+def test_near_misses_leave_few_candidates(spark, monkeypatch):
+    """A family of texts of similarity about 0.65 meets in blocks; what is handed on follows its size, not its square."""
+    made = []
+    stored = near_dedup.stored
+
+    def watched(df, name):
+        out = stored(df, name)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", watched)
+    rng = random.Random(2)
+    most = {}
+    for size in (150, 600):
+        base = [f"b{i}" for i in range(120)]
+        rows = []
+        for k in range(size):
+            words = list(base)
+            for i in rng.sample(range(120), 12):
+                words[i] = f"x{rng.randrange(10**6)}"
+            rows.append((k, " ".join(words)))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        made.clear()
+        assert found(component_report(df)) == brute(rows)
+        most[size] = max(made)
+    assert most[600] <= 60 * 600 and most[600] <= 8 * max(most[150], 600)
+
+
+@pytest.mark.parametrize("level, least", [(3, 0.9998), (4, 0.9993), (5, 0.998), (10, 0.972), (14, 0.931)])
 def test_recall_over_shared_places(level, least):
     """A pair of similarity 0.8 agrees in a binomial number of places, and all trees draw from these."""
 

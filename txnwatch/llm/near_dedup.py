@@ -3,16 +3,20 @@
 Documents are sets of word shingles; equal sets are one class. In each of ``TREES`` trees a class
 starts in the node named by one of its minwise tokens. A small node compares all its classes. A larger one
 branches: it picks positions of the signature (1.25 on average, the inverse of the similarity sought), and each
-class moves to the child of its minwise token there, so similar classes stay together and others part. Large nodes
-also compare every class with two pivots, which links big groups of near copies with work in proportion to
-their size. Candidates whose signatures agree in too few places are dropped; the others are confirmed on
-full sets, the most promising first, and only as long as they would join two components. A large node that is one
-component is done.
+class moves to the child of its minwise token there, so similar classes stay together and others part, until nodes are
+small. Large nodes also compare every class with two pivots, which links big groups of near copies with work in
+proportion to their size. Candidates whose signatures agree in too few places are dropped; the others are
+confirmed on full sets, the most promising first, and only as long as they would join two components.
 
-With 64 places and a cut of 38, a pair of similarity 0.8 passes the signature test with probability 0.99996;
-the trees keep it with 0.9999 if its nodes are small after three levels, 0.9995 after four and 0.998 after five. All trees
-draw from the same places, so this is averaged over the number of places in which such a pair agrees.
-What is still large after ``DEPTH`` levels and not one component is compared in full.
+A large node that is one component is done. A dense one, whose classes mostly resemble each other, would hardly get smaller by
+branching, as they share nearly all tokens. As the method prescribes for points that resemble most of their node, these
+are compared with the whole node and leave the tree: where a component holds half of the node, only the other
+classes with that component, once for all nodes. They meet in blocks, and there a pair must also agree in ``WIDE_AGREE`` of
+``WIDE`` further places, so pairs a little less similar than sought leave few candidates.
+
+With 64 places and a cut of 38, a pair of similarity 0.8 passes the signature test with probability 0.99996. The trees
+propose it with 0.9999 if its nodes are small after three levels, 0.998 after five, 0.973 after ten and 0.93 after
+fourteen. All trees draw from the same places, so this is averaged over the number of places in which such a pair agrees.
 
 Defined cases: null texts and texts without words have no shingles and are linked with nothing; a text with
 fewer words than a shingle is one shingle; component_id is the smallest doc_id, nulls aside (null if all are
@@ -35,24 +39,31 @@ from txnwatch.llm.words import array, list_column, mix, shingles, signed, texts,
 
 PLACES = 64
 TREES = 14
-DEPTH = 5
 SETTLE = 2
 SMALL = 24
 AGREE = 38
 SALT = np.uint64(0xA24BAED4963EE407)
+# A class resembles a pivot if they agree in LIKE places. Classes of a dense node meet in blocks of about BLOCK by BLOCK.
+LIKE = 32
+BLOCK = 256
+WIDE = 1024
+WIDE_AGREE = 768
 _MULTIPLY = np.random.default_rng(11).integers(1, 1 << 62, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+_MULTIPLY_WIDE = np.random.default_rng(12).integers(1, 1 << 62, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of the ``width``-word shingles, A-Z folded."""
     return np.unique(shingles(words(array(text), lower=True)[2], width))
 
 
-def minwise(hashes: np.ndarray) -> np.ndarray:
+def minwise(hashes: np.ndarray, multiply: np.ndarray = _MULTIPLY) -> np.ndarray:
     """One scrambled minimum per place."""
-    least = np.full(PLACES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        least = np.minimum(least, (hashes[at : at + 4096, None] * _MULTIPLY).min(0))
+    least = np.full(len(multiply), np.iinfo(np.uint64).max, np.uint64)
+    step = (1 << 18) // len(multiply)
+    for at in range(0, len(hashes), step):
+        least = np.minimum(least, (hashes[at : at + step, None] * multiply).min(0))
     return mix(least)
 
 
@@ -100,25 +111,45 @@ def _pairs(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree.astype(np.int32))], ["a", "b", "agree"])
 
 
-# Classes that travel together through a stuck node, about.
-ODD_LIST = 64
-
+def wide_sketches(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """cls and full set to cls and ``WIDE`` bytes."""
+    for batch in batches:
+        found = [minwise(np.asarray(w, np.int64).view(np.uint64), _MULTIPLY_WIDE) for w in (batch.column(1)[k].values.to_numpy() for k in range(batch.num_rows))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(w & np.uint64(255)).astype(np.uint8).tobytes() for w in found], pa.binary())], ["cls", "wide"])
+
+
+def across(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Compare the two sides of each block. Rows (meet, side, cls, sig, wide) come sorted by meet."""
+
+    def compare(meet: np.ndarray, side: np.ndarray, cls: np.ndarray, sig: np.ndarray, wide: np.ndarray) -> Iterable[pa.RecordBatch]:
+        ends = np.flatnonzero(np.diff(meet)) + 1
+        for part in np.split(np.arange(len(meet)), ends):
+            left, right = part[side[part] == 0], part[side[part] == 1]
+            for at in range(0, len(left), 64):
+                some = left[at : at + 64]
+                i, j = np.nonzero((sig[some][:, None] == sig[right][None]).sum(2) >= AGREE)
+                i, j = some[i], right[j]
+                for k in range(0, len(i), 4096):
+                    x, y = i[k : k + 4096], j[k : k + 4096]
+                    agree = (wide[x] == wide[y]).sum(1)
+                    near = (agree >= WIDE_AGREE) & (cls[x] != cls[y])
+                    yield _pairs(cls[x[near]], cls[y[near]], agree[near] * PLACES // WIDE)
+
+    def columns(batch):
+        wide = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, WIDE)
+        return [_longs(batch.column(0)), _longs(batch.column(1)), _longs(batch.column(2)), _signatures(batch.column(3)), wide]
 
-def against_lists(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Compare cls, sig with every class of a list that is in another component."""
+    held = None
     for batch in batches:
-        cls, root, sig = _longs(batch.column(0)), _longs(batch.column(2)), _signatures(batch.column(1))
-        size = np.diff(batch.column(3).offsets.to_numpy())
-        if not size.sum():
-            continue
-        row = np.repeat(np.arange(len(cls)), size)
-        other, their = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (3, 4))
-        sigs = _signatures(batch.column(5).flatten())
-        for at in range(0, len(row), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            agree = (sig[row[part]] == sigs[part]).sum(1)
-            near = (agree >= AGREE) & (root[row[part]] != their[part])
-            yield _pairs(cls[row[part]][near], other[part][near], agree[near])
+        for at in range(0, batch.num_rows, 2048):
+            now = columns(batch.slice(at, 2048))
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            yield from compare(*[x[:cut] for x in now])
+            held = [x[cut:] for x in now]
+    if held is not None:
+        yield from compare(*held)
 
 
 ROWS = "node long, cls long, sig binary"
@@ -171,6 +202,13 @@ def small_nodes(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         yield from compare(*held)
 
 
+def resembling(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """node, cls, sig, root, most, pivot: whether sig and the pivot's agree in ``LIKE`` places, as 0 or 1."""
+    for batch in batches:
+        near = (_signatures(batch.column(2)) == _signatures(batch.column(5))).sum(1) >= LIKE
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(near.astype(np.int32))], ["node", "cls", "sig", "root", "most", "near"])
+
+
 def against(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     """Compare cls, sig with other, other_sig row by row."""
     for batch in batches:
@@ -249,54 +287,81 @@ class Links:
         mixed = rooted.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("node")
         return rooted.join(mixed, "node", "left_semi").select("node", "cls", "sig", "root")
 
-    def finish(self, stuck: DataFrame, pairs: DataFrame) -> None:
-        """Classes of a last node that are not in the component of most of it meet the whole node; then ``pairs`` too.
-
-        They travel as short lists, so each row of the node is joined once per list and not once per pair.
-        """
-        counts = stuck.groupBy("node", "root").count().groupBy("node").agg(F.max(F.struct("count", "root"))["root"].alias("most"), F.sum("count").alias("all"))
-        odd = stuck.join(counts, "node").filter("root != most")
-        salts = odd.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / ODD_LIST).alias("salts"))
-        lists = odd.join(salts, "node").groupBy("node", F.pmod(F.xxhash64("cls"), F.col("salts")).alias("salt"))
-        lists = lists.agg(F.collect_list("cls").alias("others"), F.collect_list("root").alias("roots"), F.collect_list("sig").alias("sigs")).drop("salt")
-        met = stuck.join(lists, "node").select("cls", "sig", "root", "others", "roots", "sigs").mapInArrow(against_lists, PAIRS)
-        self.advance(stored(pairs.union(met).distinct(), "pairs"))
+    def dense_nodes(self, rows: DataFrame) -> DataFrame:
+        """Rows (node, cls, sig, root) with ``most``, a component that holds half of the node, and ``like``, whether at
+        least half of the node's classes resemble one of them."""
+        mark = F.xxhash64("cls", "node")
+        counts = rows.groupBy("node", "root").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct(mark.alias("mark"), "sig")).alias("pivot"))
+        counts = counts.groupBy("node").agg(F.max(F.struct("count", "root")).alias("top"), F.sum("count").alias("all"), F.min("pivot")["sig"].alias("pivot"))
+        most = F.when(F.col("top.count") * 2 >= F.col("all"), F.col("top.root"))
+        marked = rows.join(counts.select("node", "pivot", most.alias("most")), "node").select("node", "cls", "sig", "root", "most", "pivot")
+        marked = stored(marked.mapInArrow(resembling, ROWS + ", root long, most long, near int"), "marked")
+        shares = marked.groupBy("node").agg((F.avg("near") >= 0.5).alias("like"))
+        return marked.join(shares, "node").drop("near")
+
+    def across_dense(self, dense: DataFrame) -> DataFrame:
+        """Candidates of dense nodes (columns node, cls, sig, root, most)."""
+        # Between a component and the other classes of its nodes, once for all nodes; else among all classes of the node.
+        one = dense.filter("most is not null").select(F.xxhash64("most").alias("hall"), "cls", "sig", (F.col("root") == F.col("most")).cast("long").alias("side"))
+        all_ = dense.filter("most is null").select(F.col("node").alias("hall"), "cls", "sig", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<long>")).alias("side"))
+        sides = stored(one.dropDuplicates(["hall", "cls"]).union(all_), "sides")
+        self.load(sides.select(F.col("cls").alias("a"), F.col("cls").alias("b")))
+        wide = self.sets.join(sides.select("cls").distinct(), "cls", "left_semi").select("cls", "words").mapInArrow(wide_sketches, "cls long, wide binary")
+        cut = lambda side: F.ceil(F.count_if(F.col("side") == side) / F.lit(BLOCK)).cast("int")
+        cuts = sides.groupBy("hall").agg(cut(0).alias("lefts"), cut(1).alias("rights")).filter("lefts > 0 and rights > 0")
+        # Each row meets every block of the other side.
+        left = F.col("side") == 0
+        own = F.pmod(F.xxhash64("cls"), F.when(left, F.col("lefts")).otherwise(F.col("rights")))
+        other = F.explode(F.sequence(F.lit(0), F.when(left, F.col("rights")).otherwise(F.col("lefts")) - 1).cast("array<long>"))
+        rows = sides.join(cuts, "hall").withColumn("own", own).withColumn("other", other)
+        meet = F.xxhash64("hall", F.when(left, F.col("own")).otherwise(F.col("other")), F.when(left, F.col("other")).otherwise(F.col("own")))
+        full = rows.join(stored(wide, "wide"), "cls").select(meet.alias("meet"), "side", "cls", "sig", "wide")
+        return full.repartition("meet").sortWithinPartitions("meet").mapInArrow(across, PAIRS)
 
 
 def link_classes(classes: DataFrame, links: Links) -> None:
-    """Walk the trees level by level and confirm what the nodes propose.
+    """Walk the trees level by level, until no node is large, and confirm what the nodes propose.
 
-    After level ``SETTLE`` candidates are confirmed once, and from then on large nodes whose classes are one component
-    are left aside, so a big group of near copies does not go down the trees again and again.
+    After level ``SETTLE`` candidates are confirmed once, and from then on large nodes that are, or are nearly, one
+    component are left aside, so a big group of near copies does not go down the trees again and again.
     """
     rows = stored(classes.select("cls", "sig", "roots").mapInArrow(plant, ROWS), "level")
-    pairs = None
-    for level in range(1, DEPTH + 1):
+    none = classes.sparkSession.createDataFrame([], PAIRS)
+    pairs, level = none, 0
+    while True:
+        level += 1
         mark = F.xxhash64("cls", "node")
         counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(mark).alias("low"), F.max(mark).alias("high"))
         crowd = stored(rows.join(counts.filter("size > 1"), "node"), "crowd")
-        few = crowd.filter(F.col("size") <= SMALL).select("node", "cls", "sig").repartition("node").sortWithinPartitions("node")
+        few = crowd.filter(F.col("size") <= SMALL).select("node", "cls", "sig")
         large = crowd.filter(F.col("size") > SMALL)
         pivots = large.filter((mark == F.col("low")) | (mark == F.col("high"))).select("node", F.col("cls").alias("other"), F.col("sig").alias("other_sig"))
         met = large.select("node", "cls", "sig").join(pivots, "node").select("cls", "sig", "other", "other_sig")
-        found = few.mapInArrow(small_nodes, PAIRS).union(met.mapInArrow(against, PAIRS))
-        if pairs is not None:
-            found = found.union(pairs)
-        pairs = stored(found.distinct(), "pairs")
+        found = met.mapInArrow(against, PAIRS)
         large = large.select("node", "cls", "sig")
+        if level > SETTLE:
+            # Rows whose small node is one component propose nothing.
+            few = links.open_nodes(few).drop("root")
+        found = found.union(few.repartition("node").sortWithinPartitions("node").mapInArrow(small_nodes, PAIRS))
+        pairs = stored(pairs.union(found).distinct(), "pairs")
         if level == SETTLE:
             links.advance(pairs)
         if level >= SETTLE:
-            large = stored(links.open_nodes(large), "open")
+            judged = links.dense_nodes(links.open_nodes(large))
+            dense = judged.filter("like or most is not null")
+            if not dense.isEmpty():
+                # What a component leaves behind in its node goes on; what was compared with all of it does not.
+                odd = dense.filter("most is not null and root != most")
+                odd = odd.join(odd.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "node")
+                small = odd.filter(F.col("size") <= SMALL).select("node", "cls", "sig").repartition("node").sortWithinPartitions("node")
+                found = links.across_dense(dense.drop("like")).union(small.mapInArrow(small_nodes, PAIRS))
+                pairs = stored(pairs.union(found).distinct(), "pairs")
+                judged = judged.filter("not like and most is null").select("node", "cls", "sig").union(odd.filter(F.col("size") > SMALL).select("node", "cls", "sig"))
+            large = stored(judged.select("node", "cls", "sig"), "open")
         if large.isEmpty():
             break
-        if level < DEPTH:
-            rows = stored(large.select("node", "cls", "sig").mapInArrow(branch, ROWS), "level")
-    else:
-        links.finish(large, pairs)
-        return
-    if level != SETTLE:
-        links.advance(pairs)
+        rows = stored(large.mapInArrow(branch, ROWS), "level")
+    links.advance(pairs)
 
 
 def sets_of(docs: DataFrame, where: DataFrame, width: int) -> DataFrame:
