@@ -67,3 +67,42 @@ def test_body_and_containers_by_name():
 @pytest.mark.parametrize("name", ["ad", "x sidebar", "cookie-notice", "ad-slot-2", "comment-list", "site-footer", "main_nav", "navigation", "share-buttons", "related-posts", "top-banner"])
 def test_names_outside(name):
     assert main_text(f"<article><p>{P}</p><div class='{name}'><p>{P} 2</p></div></article><div id='{name}'><p>{P} {P}</div>") == P
+
+
+PROSE = "The reader of the page is not to see this text in the main part of it, as it is what the others have to say on the matter and what the site wants from them. " * 2
+ARTICLE = "The article is about the river and the town that it runs by, and of the people who have lived there for a long time with all of its floods and of its fires. "
+
+
+@pytest.mark.parametrize(
+    "name",
+    "article-comments reader-comments user-comments comments-section disqus_thread header page-header site-header alert gdpr-notice announcement "
+    "disclaimer google-ads adsbygoogle dfp-ad login-box search-form pagination copyright comments cookie-banner sidebar".split(),
+)
+def test_named_parts_go(name):
+    beside = f"<body><div class='{name}'><p>{PROSE}</p></div><article><p>{ARTICLE}</p></article></body>"
+    assert main_text(beside) == ARTICLE.strip()
+    without = f"<body><div class='{name}'><p>{PROSE}</p></div><p>{ARTICLE}</p></body>"
+    assert main_text(without) == ARTICLE.strip()
+    if "header" not in name:
+        inside = f"<body><article><p>{ARTICLE}</p><div id='{name}'><p>{PROSE}</p></div></article></body>"
+        assert main_text(inside) == ARTICLE.strip()
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Il fiume attraversa la città vecchia e poi scende verso il mare, dove ogni mattina i pescatori tornano con le barche piene di pesce fresco e raccontano storie.",
+        "Rzeka płynie przez stare miasto, a potem skręca w stronę morza, gdzie każdego ranka rybacy wracają z pełnymi łodziami świeżych ryb i opowiadają historie.",
+    ],
+)
+def test_other_languages(text):
+    page = f"<body><nav><a href=x>Menu</a></nav><h1>{text[:20]}</h1><p>{text}</p><p>{text} {text}</p><ul><li><a href=y>{text}</a></li></ul></body>"
+    assert main_text(page) == "\n".join([text[:20].strip(), text, f"{text} {text}"])
+
+
+def test_short_pages_and_linked_paragraphs():
+    assert main_text("<body><p>Hello world, a short page.</p></body>") == "Hello world, a short page."
+    linked = "<article><p><a href=x>All of this paragraph is a link to another page</a></p><p>And a short one.</p></article>"
+    assert main_text(linked) == "All of this paragraph is a link to another page\nAnd a short one."
+    assert main_text(f"<article><p>{ARTICLE}</p><ul><li><a href=1>One link</a></li><li><a href=2>Two links</a></li></ul></article>") == ARTICLE.strip()
+    assert main_text(f"<div><p>{PROSE}</p></div><article><p>{ARTICLE}</p></article>") == ARTICLE.strip()
