@@ -124,9 +124,25 @@ def field_metadata(df: DataFrame, fields: Sequence[str] | None = None) -> DataFr
     )
 
 
+def listable_fields(df: DataFrame, fields: Sequence[str], below: int) -> list[str]:
+    """The fields that may have fewer than ``below`` distinct values.
+
+    One sketch per field in a single aggregate: no value is shuffled. A field is left out only if its estimate, off by two percent
+    as a rule, is twice the bound; the others are to be counted exactly.
+    """
+    cells = [F.col(name).cast("string") for name in fields]
+    row = df.agg(*[F.approx_count_distinct(F.when(c != "", c), 0.02).alias(f"f{k}") for k, c in enumerate(cells)]).first()
+    return [name for k, name in enumerate(fields) if row[f"f{k}"] < 2 * below]
+
+
 def field_value_index(df: DataFrame, fields: Sequence[str] | None = None, below: int = INDEX_LIMIT) -> DataFrame:
-    """Count and share of each value, for fields with fewer than ``below`` distinct values."""
-    names = list(fields or df.columns)
+    """Count and share of each value, for fields with fewer than ``below`` distinct values.
+
+    Fields with many more values, such as ids, are found by sketches first and never counted value by value.
+    """
+    names = listable_fields(df, list(fields or df.columns), below)
+    if not names:
+        return df.sparkSession.createDataFrame([], "field_name string, field_value string, value_count long, value_percentage double")
     counts = value_counts(df, names)
     listed = F.explode(F.array(*[F.lit(name) for name in names])).alias("field_name")
     totals = df.agg(F.count(F.lit(1)).alias("_total")).select(listed, "_total")
