@@ -27,6 +27,7 @@ an empty table gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -326,8 +327,9 @@ def link_classes(classes: DataFrame, links: Links) -> None:
     component are left aside, so a big group of near copies does not go down the trees again and again.
     """
     rows = stored(classes.select("cls", "sig", "roots").mapInArrow(plant, ROWS), "level")
-    none = classes.sparkSession.createDataFrame([], PAIRS)
-    pairs, level = none, 0
+    proposed: list[DataFrame] = []
+    dense: list[DataFrame] = []
+    level = 0
     while True:
         level += 1
         mark = F.xxhash64("cls", "node")
@@ -337,31 +339,40 @@ def link_classes(classes: DataFrame, links: Links) -> None:
         large = crowd.filter(F.col("size") > SMALL)
         pivots = large.filter((mark == F.col("low")) | (mark == F.col("high"))).select("node", F.col("cls").alias("other"), F.col("sig").alias("other_sig"))
         met = large.select("node", "cls", "sig").join(pivots, "node").select("cls", "sig", "other", "other_sig")
-        found = met.mapInArrow(against, PAIRS)
         large = large.select("node", "cls", "sig")
         if level > SETTLE:
-            # Rows whose small node is one component propose nothing.
+            # Small nodes that are one component propose nothing.
             few = links.open_nodes(few).drop("root")
-        found = found.union(few.repartition("node").sortWithinPartitions("node").mapInArrow(small_nodes, PAIRS))
-        pairs = stored(pairs.union(found).distinct(), "pairs")
+        found = met.mapInArrow(against, PAIRS).union(compared(few))
+        proposed.append(stored(found.distinct(), "pairs") if level <= SETTLE else found)
         if level == SETTLE:
-            links.advance(pairs)
+            links.advance(stored(union_of(proposed).distinct(), "pairs"))
         if level >= SETTLE:
             judged = links.dense_nodes(links.open_nodes(large))
-            dense = judged.filter("like or most is not null")
-            if not dense.isEmpty():
-                # What a component leaves behind in its node goes on; what was compared with all of it does not.
-                odd = dense.filter("most is not null and root != most")
-                odd = odd.join(odd.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "node")
-                small = odd.filter(F.col("size") <= SMALL).select("node", "cls", "sig").repartition("node").sortWithinPartitions("node")
-                found = links.across_dense(dense.drop("like")).union(small.mapInArrow(small_nodes, PAIRS))
-                pairs = stored(pairs.union(found).distinct(), "pairs")
-                judged = judged.filter("not like and most is null").select("node", "cls", "sig").union(odd.filter(F.col("size") > SMALL).select("node", "cls", "sig"))
-            large = stored(judged.select("node", "cls", "sig"), "open")
-        if large.isEmpty():
-            break
+            crowded = judged.filter("like or most is not null")
+            dense.append(crowded.drop("like"))
+            # What a component leaves behind in its node goes on; what was compared with all of it does not.
+            odd = crowded.filter("most is not null and root != most")
+            odd = odd.join(odd.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "node")
+            proposed.append(compared(odd.filter(F.col("size") <= SMALL).select("node", "cls", "sig")))
+            rest = judged.filter("not like and most is null").select("node", "cls", "sig")
+            large = rest.union(odd.filter(F.col("size") > SMALL).select("node", "cls", "sig"))
         rows = stored(large.mapInArrow(branch, ROWS), "level")
-    links.advance(pairs)
+        if rows.isEmpty():
+            break
+    meeting = stored(union_of(dense), "dense")
+    if not meeting.isEmpty():
+        proposed.append(links.across_dense(meeting))
+    links.advance(stored(union_of(proposed).distinct(), "pairs"))
+
+
+def compared(rows: DataFrame) -> DataFrame:
+    """Candidates of small nodes."""
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(small_nodes, PAIRS)
+
+
+def union_of(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.union(b), parts)
 
 
 def sets_of(docs: DataFrame, where: DataFrame, width: int) -> DataFrame:
