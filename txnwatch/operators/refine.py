@@ -84,7 +84,9 @@ def key_grams(keys: DataFrame) -> DataFrame:
     size = F.lit(GRAM_SIZES[0])
     for n in GRAM_SIZES[1:]:
         size = F.when(length >= n, F.lit(n)).otherwise(size)
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(1), length - size + 1, size), F.array(length - size + 1)))
+    # Spark may look at a key before it has dropped the empty ones.
+    end = F.greatest(F.lit(1), length - size + 1)
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(1), end, size), F.array(end)))
     found = F.array_distinct(F.transform(starts, lambda at: F.xxhash64(F.substring("_key", at, size))))
     return keys.withColumn("_found", found).select("_key", F.size("_found").alias("_need"), F.explode("_found").alias("_gram"))
 
