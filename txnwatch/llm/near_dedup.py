@@ -343,27 +343,25 @@ def link_classes(classes: DataFrame, links: Links) -> None:
         if level > SETTLE:
             # Small nodes that are one component propose nothing.
             few = links.open_nodes(few).drop("root")
-        found = met.mapInArrow(against, PAIRS).union(compared(few))
-        proposed.append(stored(found.distinct(), "pairs") if level <= SETTLE else found)
+        # Written level by level: one plan for all levels would be too large for the driver.
+        proposed.append(stored(met.mapInArrow(against, PAIRS).union(compared(few)).distinct(), "pairs"))
         if level == SETTLE:
             links.advance(stored(union_of(proposed).distinct(), "pairs"))
         if level >= SETTLE:
-            judged = links.dense_nodes(links.open_nodes(large))
-            crowded = judged.filter("like or most is not null")
-            dense.append(crowded.drop("like"))
-            # What a component leaves behind in its node goes on; what was compared with all of it does not.
-            odd = crowded.filter("most is not null and root != most")
-            odd = odd.join(odd.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "node")
-            proposed.append(compared(odd.filter(F.col("size") <= SMALL).select("node", "cls", "sig")))
-            rest = judged.filter("not like and most is null").select("node", "cls", "sig")
-            large = rest.union(odd.filter(F.col("size") > SMALL).select("node", "cls", "sig"))
-        rows = stored(large.mapInArrow(branch, ROWS), "level")
+            judged = stored(links.dense_nodes(links.open_nodes(large)), "judged")
+            dense.append(judged.filter("like or most is not null").drop("like"))
+            large = judged.filter("not like and most is null").select("node", "cls", "sig")
+            # What a component leaves behind stays in its node for one more level: compared there if it is small now.
+            odd = judged.filter("most is not null and root != most").select("node", "cls", "sig")
+            rows = stored(large.mapInArrow(branch, ROWS).union(odd), "level")
+        else:
+            rows = stored(large.mapInArrow(branch, ROWS), "level")
         if rows.isEmpty():
             break
     if dense:
         meeting = stored(union_of(dense), "dense")
         if not meeting.isEmpty():
-            proposed.append(links.across_dense(meeting))
+            proposed.append(stored(links.across_dense(meeting), "pairs"))
     links.advance(stored(union_of(proposed).distinct(), "pairs"))
 
 
