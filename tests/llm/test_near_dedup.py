@@ -141,3 +141,52 @@ def test_recall_over_shared_places(level, least):
 
     n = near_dedup.PLACES
     assert sum(comb(n, k) * 0.8**k * 0.2 ** (n - k) * kept(k / n) for k in range(n + 1)) >= least
+
+
+@pytest.mark.parametrize("few", [8192, 0])
+def test_dense_nodes_hand_on_links_only(spark, monkeypatch, few):
+    """Texts of similarity about 0.76 meet in blocks and are compared there; no step makes rows for all their pairs."""
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    made = []
+    stored = near_dedup.stored
+
+    def watched(df, name):
+        out = stored(df, name)
+        made.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", watched)
+    rng = random.Random(5)
+    rows = []
+    for k in range(400):
+        words = [f"b{i}" for i in range(120)]
+        for i in rng.sample(range(120), 4):
+            words[i] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(component_report(df)) == brute(rows)
+    # Small nodes give some pairs a class; there are 79,800 in all.
+    assert max(n for n, name in made if name in ("pairs", "turn")) <= 100 * len(rows)
+    assert max(n for n, name in made if name == "links") <= 4 * len(rows)
+
+
+def test_blocks_are_bounded_by_shingles(spark, rows, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK_WORDS", 200)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found(component_report(df)) == brute(rows)
+
+
+def test_texts_go_to_python_in_short_batches(spark, monkeypatch):
+    key, seen, stored = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, near_dedup.stored
+    before = spark.conf.get(key)
+
+    def watched(df, name):
+        seen[name] = int(df.sparkSession.conf.get(key))
+        return stored(df, name)
+
+    monkeypatch.setattr(near_dedup, "stored", watched)
+    text = " ".join(f"w{i}" for i in range(60))
+    component_report(spark.createDataFrame([(1, text + " a"), (2, text + " b")], "doc_id long, text string")).collect()
+    assert seen["sketches"] <= 1024 and seen["sets"] <= 1024
+    assert spark.conf.get(key) == before

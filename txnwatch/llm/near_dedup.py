@@ -12,7 +12,9 @@ A large node that is one component is done. A dense one, whose classes mostly re
 branching, as they share nearly all tokens. As the method prescribes for points that resemble most of their node, these
 are compared with the whole node and leave the tree: where a component holds half of the node, only the other
 classes with that component, once for all nodes. They meet in blocks, and there a pair must also agree in ``WIDE_AGREE`` of
-``WIDE`` further places, so pairs a little less similar than sought leave few candidates.
+``WIDE`` further places and is then compared in full at once. A block hands on only links that join two of its components, so it
+gives fewer rows than it has classes, however many pairs are a little more or less similar than sought. Large nodes that together hold at
+most ``FEW`` classes are compared in this way as well.
 
 With 64 places and a cut of 38, a pair of similarity 0.8 passes the signature test with probability 0.99996. The trees
 propose it with 0.9999 if its nodes are small after three levels, 0.998 after five, 0.973 after ten and 0.93 after
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from txnwatch.llm.shared import components, key_filter, passes, same_columns, stored
+from txnwatch.llm.shared import components, key_filter, passes, same_columns, short_batches, stored
 from txnwatch.llm.words import array, list_column, mix, shingles, signed, texts, words
 
 PLACES = 64
@@ -47,6 +49,8 @@ SALT = np.uint64(0xA24BAED4963EE407)
 # A class resembles a pivot if they agree in LIKE places. Classes of a dense node meet in blocks of about BLOCK by BLOCK.
 LIKE = 32
 BLOCK = 256
+BLOCK_WORDS = 1 << 18  # shingles of the sets of a block's side
+FEW = 8192
 WIDE = 1024
 WIDE_AGREE = 768
 _MULTIPLY = np.random.default_rng(11).integers(1, 1 << 62, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,42 +117,71 @@ def _pairs(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
 
 
 def wide_sketches(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """cls and full set to cls and ``WIDE`` bytes."""
+    """cls and full set to cls, ``WIDE`` bytes and the set."""
     for batch in batches:
         found = [minwise(np.asarray(w, np.int64).view(np.uint64), _MULTIPLY_WIDE) for w in (batch.column(1)[k].values.to_numpy() for k in range(batch.num_rows))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(w & np.uint64(255)).astype(np.uint8).tobytes() for w in found], pa.binary())], ["cls", "wide"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(w & np.uint64(255)).astype(np.uint8).tobytes() for w in found], pa.binary()), batch.column(1)], ["cls", "wide", "words"])
 
 
-def across(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Compare the two sides of each block. Rows (meet, side, cls, sig, wide) come sorted by meet."""
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Are two sets, sorted and without repeats, similar?"""
+    both = np.sort(np.concatenate([a, b]))
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
 
-    def compare(meet: np.ndarray, side: np.ndarray, cls: np.ndarray, sig: np.ndarray, wide: np.ndarray) -> Iterable[pa.RecordBatch]:
+
+def across(batches: Iterable[pa.RecordBatch], percent: int) -> Iterable[pa.RecordBatch]:
+    """Links a, b that join components of a block. Rows (meet, side, twice, cls, root, sig, wide, words) come sorted by meet.
+
+    ``twice``: both sides are the same classes, so each pair comes in two blocks.
+    """
+
+    def compare(meet, side, twice, cls, root, sig, wide, sets) -> Iterable[pa.RecordBatch]:
         ends = np.flatnonzero(np.diff(meet)) + 1
         for part in np.split(np.arange(len(meet)), ends):
             left, right = part[side[part] == 0], part[side[part] == 1]
+            above: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while x in above:
+                    above[x] = above.get(above[x], above[x])
+                    x = above[x]
+                return x
+
+            found = []
             for at in range(0, len(left), 64):
                 some = left[at : at + 64]
                 i, j = np.nonzero((sig[some][:, None] == sig[right][None]).sum(2) >= AGREE)
                 i, j = some[i], right[j]
+                ask = (root[i] != root[j]) & ((cls[i] < cls[j]) | ~twice[i])
+                i, j = i[ask], j[ask]
                 for k in range(0, len(i), 4096):
                     x, y = i[k : k + 4096], j[k : k + 4096]
                     agree = (wide[x] == wide[y]).sum(1)
-                    near = (agree >= WIDE_AGREE) & (cls[x] != cls[y])
-                    yield _pairs(cls[x[near]], cls[y[near]], agree[near] * PLACES // WIDE)
+                    order = np.argsort(-agree, kind="stable")
+                    for p, q in zip(x[order[agree[order] >= WIDE_AGREE]].tolist(), y[order[agree[order] >= WIDE_AGREE]].tolist(), strict=True):
+                        u, v = top(int(root[p])), top(int(root[q]))
+                        if u != v and similar(sets[p], sets[q], percent):
+                            above[max(u, v)] = min(u, v)
+                            found.append((int(cls[p]), int(cls[q])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     def columns(batch):
-        wide = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, WIDE)
-        return [_longs(batch.column(0)), _longs(batch.column(1)), _longs(batch.column(2)), _signatures(batch.column(3)), wide]
+        wide = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, WIDE)
+        sets = np.empty(batch.num_rows, object)
+        for k in range(batch.num_rows):
+            sets[k] = batch.column(7)[k].values.to_numpy().view(np.uint64)
+        return [*(_longs(batch.column(k)) for k in (0, 1)), _longs(batch.column(2)).astype(bool), *(_longs(batch.column(k)) for k in (3, 4)), _signatures(batch.column(5)), wide, sets]
 
     held = None
     for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            now = columns(batch.slice(at, 2048))
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1]))
-            yield from compare(*[x[:cut] for x in now])
-            held = [x[cut:] for x in now]
+        now = columns(batch)
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+        yield from compare(*[x[:cut] for x in now])
+        held = [x[cut:] for x in now]
     if held is not None:
         yield from compare(*held)
 
@@ -231,12 +264,13 @@ class Links:
 
     def load(self, pairs: DataFrame) -> None:
         """Read the full sets of the classes in ``pairs`` that are not there yet."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("cls"), "cls", "left_anti")
         where = stored(self.classes.join(wanted, "cls", "left_semi").select("cls", "at.*"), "where")
         if not where.isEmpty():
-            more = sets_of(self.docs, where, self.width)
+            with short_batches(self.docs.sparkSession):
+                more = sets_of(self.docs, where, self.width)
             self.sets = more if self.sets is None else self.sets.union(more)
 
     def rooted(self, pairs: DataFrame) -> DataFrame:
@@ -248,7 +282,11 @@ class Links:
     def confirm(self, turn: DataFrame) -> None:
         """Compare the pairs in full and merge the components that links join."""
         self.tried = self.tried.union(turn.select("a", "b"))
-        found = stored(self.rooted(confirmed(turn, self.sets, self.percent)).filter("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
+        self.merge(confirmed(turn, self.sets, self.percent))
+
+    def merge(self, pairs: DataFrame) -> None:
+        """Merge the components that links join."""
+        found = stored(self.rooted(pairs).filter("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
         if found.isEmpty():
             return
         # Only components are joined, so the graph is small after the first turn.
@@ -301,14 +339,23 @@ class Links:
         return marked.join(shares, "node").drop("near")
 
     def across_dense(self, dense: DataFrame) -> DataFrame:
-        """Candidates of dense nodes (columns node, cls, sig, root, most)."""
+        """Links (a, b) among the classes of dense nodes (columns node, cls, sig, root, most) that join what was not joined."""
         # Between a component and the other classes of its nodes, once for all nodes; else among all classes of the node.
-        one = dense.filter("most is not null").select(F.xxhash64("most").alias("hall"), "cls", "sig", (F.col("root") == F.col("most")).cast("long").alias("side"))
-        all_ = dense.filter("most is null").select(F.col("node").alias("hall"), "cls", "sig", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<long>")).alias("side"))
+        columns = ["cls", "sig", "root"]
+        one = dense.filter("most is not null").select(
+            F.xxhash64("most").alias("hall"), *columns, F.lit(False).alias("twice"), (F.col("root") == F.col("most")).cast("long").alias("side")
+        )
+        all_ = dense.filter("most is null").select(
+            F.col("node").alias("hall"), *columns, F.lit(True).alias("twice"), F.explode(F.array(F.lit(0), F.lit(1)).cast("array<long>")).alias("side")
+        )
         sides = stored(one.dropDuplicates(["hall", "cls"]).union(all_), "sides")
         self.load(sides.select(F.col("cls").alias("a"), F.col("cls").alias("b")))
-        wide = self.sets.join(sides.select("cls").distinct(), "cls", "left_semi").select("cls", "words").mapInArrow(wide_sketches, "cls long, wide binary")
-        cut = lambda side: F.ceil(F.count_if(F.col("side") == side) / F.lit(BLOCK)).cast("int")
+        wide = self.sets.join(sides.select("cls").distinct(), "cls", "left_semi").select("cls", "words")
+        wide = stored(wide.mapInArrow(wide_sketches, "cls long, wide binary, words array<long>"), "wide")
+        sides = sides.join(wide.select("cls", F.size("words").alias("len")), "cls")
+        # Blocks of bounded numbers of classes and of shingles.
+        here = lambda side: F.when(F.col("side") == side, F.col("len"))
+        cut = lambda side: F.ceil(F.greatest(F.count(here(side)) / F.lit(BLOCK), F.sum(here(side)) / F.lit(BLOCK_WORDS))).cast("int")
         cuts = sides.groupBy("hall").agg(cut(0).alias("lefts"), cut(1).alias("rights")).filter("lefts > 0 and rights > 0")
         # Each row meets every block of the other side.
         left = F.col("side") == 0
@@ -316,8 +363,8 @@ class Links:
         other = F.explode(F.sequence(F.lit(0), F.when(left, F.col("rights")).otherwise(F.col("lefts")) - 1).cast("array<long>"))
         rows = sides.join(cuts, "hall").withColumn("own", own).withColumn("other", other)
         meet = F.xxhash64("hall", F.when(left, F.col("own")).otherwise(F.col("other")), F.when(left, F.col("other")).otherwise(F.col("own")))
-        full = rows.join(stored(wide, "wide"), "cls").select(meet.alias("meet"), "side", "cls", "sig", "wide")
-        return full.repartition("meet").sortWithinPartitions("meet").mapInArrow(across, PAIRS)
+        full = rows.join(wide, "cls").select(meet.alias("meet"), "side", F.col("twice").cast("long").alias("twice"), "cls", "root", "sig", "wide", "words")
+        return full.repartition("meet").sortWithinPartitions("meet").mapInArrow(lambda b, percent=self.percent: across(b, percent), "a long, b long")
 
 
 def link_classes(classes: DataFrame, links: Links) -> None:
@@ -347,13 +394,19 @@ def link_classes(classes: DataFrame, links: Links) -> None:
         proposed.append(stored(met.mapInArrow(against, PAIRS).union(compared(few)).distinct(), "pairs"))
         if level == SETTLE:
             links.advance(stored(union_of(proposed).distinct(), "pairs"))
+            # These are all compared or within a component now.
+            proposed = []
         if level >= SETTLE:
             judged = stored(links.dense_nodes(links.open_nodes(large)), "judged")
             dense.append(judged.filter("like or most is not null").drop("like"))
-            large = judged.filter("not like and most is null").select("node", "cls", "sig")
+            large = judged.filter("not like and most is null").drop("like")
             # What a component leaves behind stays in its node for one more level: compared there if it is small now.
-            odd = judged.filter("most is not null and root != most").select("node", "cls", "sig")
-            rows = stored(large.mapInArrow(branch, ROWS).union(odd), "level")
+            odd = judged.filter("most is not null and root != most").drop("like").withColumn("most", F.lit(None).cast("long"))
+            rest = large.union(odd)
+            if rest.limit(FEW + 1).count() <= FEW:
+                dense.append(rest)
+                break
+            rows = stored(large.select("node", "cls", "sig").mapInArrow(branch, ROWS).union(odd.select("node", "cls", "sig")), "level")
         else:
             rows = stored(large.mapInArrow(branch, ROWS), "level")
         if rows.isEmpty():
@@ -361,8 +414,10 @@ def link_classes(classes: DataFrame, links: Links) -> None:
     if dense:
         meeting = stored(union_of(dense), "dense")
         if not meeting.isEmpty():
-            proposed.append(stored(links.across_dense(meeting), "pairs"))
-    links.advance(stored(union_of(proposed).distinct(), "pairs"))
+            with short_batches(classes.sparkSession):
+                links.merge(links.across_dense(meeting))
+    if proposed:
+        links.advance(stored(union_of(proposed).distinct(), "pairs"))
 
 
 def compared(rows: DataFrame) -> DataFrame:
@@ -407,7 +462,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``near_duplicates`` with ``chosen``: is the row the first of its component by doc_id, nulls last, and text hash."""
     base = same_columns(docs, ["doc_id", "text"])
-    prints = stored(sketches(base, width), "sketches")
+    with short_batches(docs.sparkSession):
+        prints = stored(sketches(base, width), "sketches")
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")
     classes = prints.filter("n > 0").groupBy("d1", "d2").agg(
         F.min("doc_id").alias("label"), F.min(at).alias("at"), F.first("sig").alias("sig"), F.first("roots").alias("roots")
