@@ -125,3 +125,17 @@ def test_no_group_grows_with_the_input(spark, monkeypatch):
     assert line_dedup.prefix_rows(lines).groupBy("tok").count().agg(F.max("count")).first()[0] > 400
     assert line_dedup.cut_rows(lines, large).groupBy("tok", "part").count().agg(F.max("count")).first()[0] <= 80
     assert found(line_report(df)) == brute(rows)
+
+
+def test_texts_go_to_python_in_short_batches(spark, monkeypatch):
+    key, seen, stored = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, line_dedup.stored
+    before = spark.conf.get(key)
+
+    def watched(df, name):
+        seen[name] = int(df.sparkSession.conf.get(key))
+        return stored(df, name)
+
+    monkeypatch.setattr(line_dedup, "stored", watched)
+    line_dedup.line_report(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e g")], "doc_id long, text string")).collect()
+    assert seen["lines"] <= 1024 and seen["sets"] <= 1024
+    assert spark.conf.get(key) == before

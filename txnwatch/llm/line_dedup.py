@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnwatch.llm.shared import key_filter, passes, same_columns, stored
+from txnwatch.llm.shared import key_filter, passes, same_columns, short_batches, stored
 from txnwatch.llm.words import blocks, list_column, mix, signed, texts, words
 from txnwatch.operators.skew import list_join
 
@@ -46,6 +46,7 @@ KEEP = 32
 SURE = 2
 BLOCK = 50_000  # prefix rows of one word that one task compares
 PARTS = (1 << 24) - 1  # low bits of a group's number: its block, from 1; 0 if the group is whole
+SEEN = 1 << 18  # sets that a task remembers
 LONG = 100  # lines with more words have wide parity maps
 LAST = np.iinfo(np.int64).max  # place of a null doc_id
 SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -179,7 +180,7 @@ def occurrences(docs: DataFrame, sent, percent: int) -> DataFrame:
                 n = s["n"]
                 size = np.where(has_neighbours(n, percent), prefix_size(n, percent), 0)
                 # Prefix entries once per task and set, again only for an earlier document.
-                if len(seen) > 1_000_000:
+                if len(seen) > SEEN:
                     seen.clear()
                 new = np.zeros(len(n), bool)
                 for i, (x, d) in enumerate(zip(s["id1"].tolist(), place[doc].tolist(), strict=True)):
@@ -429,7 +430,7 @@ def words_of(docs: DataFrame, wanted: DataFrame, sent, percent: int) -> DataFram
                     continue
                 ids, place = np.unique(signed(s["id1"]), return_index=True)
                 place = place[passes(table.value, ids) & has_neighbours(s["n"][place], percent)]
-                if len(seen) > 1_000_000:
+                if len(seen) > SEEN:
                     seen.clear()
                 place = np.array([k for k in place.tolist() if s["id1"][k] not in seen], np.int64)
                 seen.update(s["id1"][place].tolist())
@@ -453,7 +454,8 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def late_sets(docs: DataFrame, lines: DataFrame, firsts: DataFrame, sent, percent: int) -> DataFrame:
     """Ids of the sets that resemble one with an earlier first line (column id1). ``firsts`` has id1 and first."""
     pairs = stored(candidates(lines, percent), "candidates")
-    sets = stored(words_of(docs, pairs.select(F.explode(F.array("later", "earlier")).alias("key")), sent, percent), "sets")
+    with short_batches(docs.sparkSession):
+        sets = stored(words_of(docs, pairs.select(F.explode(F.array("later", "earlier")).alias("key")), sent, percent), "sets")
 
     def decided(some: DataFrame, words: DataFrame) -> DataFrame:
         found = similar(some, words, percent)
@@ -473,7 +475,8 @@ def late_sets(docs: DataFrame, lines: DataFrame, firsts: DataFrame, sent, percen
     more = stored(more, "more")
     if more.isEmpty():
         return late
-    words = stored(words_of(docs, more.select(F.explode(F.array("later", "earlier")).alias("key")), sent, percent), "sets")
+    with short_batches(docs.sparkSession):
+        words = stored(words_of(docs, more.select(F.explode(F.array("later", "earlier")).alias("key")), sent, percent), "sets")
     return late.union(decided(more, words))
 
 
@@ -483,8 +486,9 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     Line numbers count the pieces between line feeds from 0. ``n_rows`` says how many rows share id and text.
     """
     base = same_columns(docs, ["doc_id", "text"])
-    sent = docs.sparkSession.sparkContext.broadcast(rarity(base))
-    lines = stored(occurrences(base, sent, percent), "lines")
+    with short_batches(docs.sparkSession):
+        sent = docs.sparkSession.sparkContext.broadcast(rarity(base))
+        lines = stored(occurrences(base, sent, percent), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t", "line")
     real = lines.filter("line >= 0")
     sets = stored(real.groupBy("id1", "id2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
