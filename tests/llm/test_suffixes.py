@@ -78,3 +78,21 @@ def test_edge_cases(spark):
 
 def test_empty_table(spark):
     assert repeat_report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_texts_pass_python_once_at_most(spark, monkeypatch):
+    """Texts without repeats stay in Spark at the end, and filters by key send Python the key alone."""
+    key, seen, stored = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, suffixes.stored
+    before = spark.conf.get(key)
+
+    def watched(df, name):
+        seen[name] = int(df.sparkSession.conf.get(key))
+        return stored(df, name)
+
+    monkeypatch.setattr(suffixes, "stored", watched)
+    text = "".join(chr(97 + i * i % 23) for i in range(900))
+    out = suffixes.remove_repeats(spark.createDataFrame([(1, text), (2, text), (3, "ä"), (4, None)], "doc_id long, text string"))
+    assert out._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+    assert seen["anchors"] <= 1024 and seen["surroundings"] <= 1024 and spark.conf.get(key) == before
+    rows = {r.doc_id: (r.n_bytes, len(r.runs), bytes(r.kept)) for r in out.collect()}
+    assert rows == {1: (900, 1, b""), 2: (900, 1, b""), 3: (2, 0, "ä".encode()), 4: (0, 0, b"")}
