@@ -170,6 +170,38 @@ def test_dense_nodes_hand_on_links_only(spark, monkeypatch, few):
     assert max(n for n, name in made if name == "links") <= 4 * len(rows)
 
 
+@pytest.mark.parametrize("copies", [150, 600])
+def test_candidates_are_looked_up_once(spark, monkeypatch, copies):
+    """A large group of near copies: components are looked up once a candidate, not in every turn again."""
+    made, looked = [], []
+    stored, rooted = near_dedup.stored, near_dedup.Links.rooted
+
+    def watched(df, name):
+        out = stored(df, name)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+
+    def counted(self, pairs):
+        if not self.groups.isEmpty():
+            looked.append(pairs.count())
+        return rooted(self, pairs)
+
+    monkeypatch.setattr(near_dedup, "stored", watched)
+    monkeypatch.setattr(near_dedup.Links, "rooted", counted)
+    rng = random.Random(7)
+    rows = []
+    for k in range(copies):
+        words = [f"b{i}" for i in range(120)]
+        words[rng.randrange(120)] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(component_report(df)) == brute(rows)
+    # ``made`` lists what the levels propose and, again, all of it.
+    assert sum(looked) <= max(made) + 4 * copies
+    assert max(made) <= 100 * copies
+
+
 def test_blocks_are_bounded_by_shingles(spark, rows, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", 3)
     monkeypatch.setattr(near_dedup, "BLOCK_WORDS", 200)

@@ -212,21 +212,22 @@ def branch(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
 
 
 def small_nodes(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Compare all classes of each node; rows come sorted by node, and nodes are small."""
+    """Compare the classes of each node that are not of one component; rows come sorted by node, and nodes are small."""
 
-    def compare(node: np.ndarray, cls: np.ndarray, sig: np.ndarray) -> Iterable[pa.RecordBatch]:
+    def compare(node: np.ndarray, cls: np.ndarray, sig: np.ndarray, root: np.ndarray) -> Iterable[pa.RecordBatch]:
         live, step = np.arange(len(node)), 0
         while len(live):
             step += 1
             live = live[live + step < len(node)]
             live = live[node[live] == node[live + step]]
-            agree = (sig[live] == sig[live + step]).sum(1)
-            near = (agree >= AGREE) & (cls[live] != cls[live + step])
-            yield _pairs(cls[live[near]], cls[live[near] + step], agree[near])
+            apart = live[root[live] != root[live + step]]
+            agree = (sig[apart] == sig[apart + step]).sum(1)
+            near = agree >= AGREE
+            yield _pairs(cls[apart[near]], cls[apart[near] + step], agree[near])
 
     held = None
     for batch in batches:
-        now = [_longs(batch.column(0)), _longs(batch.column(1)), _signatures(batch.column(2))]
+        now = [_longs(batch.column(0)), _longs(batch.column(1)), _signatures(batch.column(2)), _longs(batch.column(3))]
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now, strict=True)]
         cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
@@ -244,11 +245,11 @@ def resembling(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
 
 
 def against(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Compare cls, sig with other, other_sig row by row."""
+    """Compare cls, sig, root with other, other_sig, other_root row by row, where the roots differ."""
     for batch in batches:
-        cls, other = _longs(batch.column(0)), _longs(batch.column(2))
-        agree = (_signatures(batch.column(1)) == _signatures(batch.column(3))).sum(1)
-        near = (agree >= AGREE) & (cls != other)
+        cls, other = _longs(batch.column(0)), _longs(batch.column(3))
+        agree = (_signatures(batch.column(1)) == _signatures(batch.column(4))).sum(1)
+        near = (agree >= AGREE) & (_longs(batch.column(2)) != _longs(batch.column(5)))
         yield _pairs(cls[near], other[near], agree[near])
 
 
@@ -258,6 +259,7 @@ class Links:
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> None:
         self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
         none = docs.sparkSession.createDataFrame([], "x long, y long")
+        self.joined = False
         self.sets: DataFrame | None = None
         self.tried = none.select(F.col("x").alias("a"), F.col("y").alias("b"))
         self.groups = none.select(F.col("x").alias("node"), F.col("y").alias("root"))
@@ -275,6 +277,8 @@ class Links:
 
     def rooted(self, pairs: DataFrame) -> DataFrame:
         """Pairs with the components of their ends: columns ra and rb."""
+        if not self.joined:
+            return pairs.withColumns({"ra": F.col("a"), "rb": F.col("b")})
         side = lambda x: self.groups.select(F.col("node").alias(x), F.col("root").alias(f"_{x}"))
         both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
         return both.withColumns({"ra": F.coalesce("_a", "a"), "rb": F.coalesce("_b", "b")}).drop("_a", "_b")
@@ -293,19 +297,23 @@ class Links:
         merged = components(found).select(F.col("node").alias("old"), F.col("root").alias("new"))
         grown = self.groups.join(merged, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
         fresh = merged.select(F.col("old").alias("node"), F.col("new").alias("root")).join(self.groups.select("node"), "node", "left_anti")
-        self.groups = stored(grown.union(fresh), "groups")
+        self.groups, self.joined = stored(grown.union(fresh), "groups"), True
 
     def advance(self, pairs: DataFrame) -> None:
         """Confirm candidates (a, b, agree) until none joins two components.
 
         First every class tries its most promising partner and the smallest one, which tends to be shared. Then
-        pairs across components are compared, per pair of components the best 16, then all.
+        pairs across components are compared, per pair of components the best 16, then all. What a turn has compared or
+        joined is not looked at again.
         """
         self.load(pairs)
         if self.sets is None:
             return
         for take in (0, 16, None):
             open_ = self.rooted(pairs).filter("ra != rb").join(self.tried, ["a", "b"], "left_anti")
+            if self.joined:
+                open_ = stored(open_, "left")
+                pairs = open_.drop("ra", "rb")
             if take == 0:
                 ends = open_.select(F.col("a").alias("u"), F.col("b").alias("v"), "agree").union(open_.select("b", "a", "agree"))
                 best = ends.groupBy("u").agg(F.max(F.struct("agree", (-F.col("v")).alias("v")))["v"].alias("x"), F.max(-F.col("v")).alias("y"))
@@ -319,10 +327,14 @@ class Links:
                 return
             self.confirm(turn)
 
+    def with_roots(self, rows: DataFrame) -> DataFrame:
+        """Rows (node, cls, sig) with the component of their class, ``root``."""
+        side = self.groups.select(F.col("node").alias("cls"), "root")
+        return rows.join(side, "cls", "left").select("node", "cls", "sig", F.coalesce("root", "cls").alias("root"))
+
     def open_nodes(self, rows: DataFrame) -> DataFrame:
         """The rows (node, cls, sig) of nodes that hold more than one component, with their ``root``."""
-        side = self.groups.select(F.col("node").alias("cls"), "root")
-        rooted = rows.join(side, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        rooted = self.with_roots(rows)
         mixed = rooted.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("node")
         return rooted.join(mixed, "node", "left_semi").select("node", "cls", "sig", "root")
 
@@ -379,17 +391,22 @@ def link_classes(classes: DataFrame, links: Links) -> None:
     level = 0
     while True:
         level += 1
-        mark = F.xxhash64("cls", "node")
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(mark).alias("low"), F.max(mark).alias("high"))
-        crowd = stored(rows.join(counts.filter("size > 1"), "node"), "crowd")
-        few = crowd.filter(F.col("size") <= SMALL).select("node", "cls", "sig")
+        # Of the two pivots one has the least mark wherever it is, so a big group has nearly the same one in all its nodes.
+        mark, low = F.xxhash64("cls", "node"), F.xxhash64("cls")
+        # Until candidates are confirmed, each class is a component. Later nodes that are one component propose nothing, and
+        # the others only pairs across components.
+        rooted = links.with_roots(rows) if level > SETTLE else rows.withColumn("root", F.col("cls"))
+        counts = rooted.groupBy("node").agg(
+            F.count(F.lit(1)).alias("size"), F.min(low).alias("low"), F.max(mark).alias("high"), F.min("root").alias("least"), F.max("root").alias("most")
+        )
+        crowd = stored(rooted.join(counts.filter("least != most").drop("least", "most"), "node"), "crowd")
+        few = crowd.filter(F.col("size") <= SMALL).select("node", "cls", "sig", "root")
         large = crowd.filter(F.col("size") > SMALL)
-        pivots = large.filter((mark == F.col("low")) | (mark == F.col("high"))).select("node", F.col("cls").alias("other"), F.col("sig").alias("other_sig"))
-        met = large.select("node", "cls", "sig").join(pivots, "node").select("cls", "sig", "other", "other_sig")
-        large = large.select("node", "cls", "sig")
-        if level > SETTLE:
-            # Small nodes that are one component propose nothing.
-            few = links.open_nodes(few).drop("root")
+        pivots = large.filter((low == F.col("low")) | (mark == F.col("high"))).select(
+            "node", F.col("cls").alias("other"), F.col("sig").alias("other_sig"), F.col("root").alias("other_root")
+        )
+        large = large.select("node", "cls", "sig", "root")
+        met = large.join(pivots, "node").select("cls", "sig", "root", "other", "other_sig", "other_root")
         # Written level by level: one plan for all levels would be too large for the driver.
         proposed.append(stored(met.mapInArrow(against, PAIRS).union(compared(few)).distinct(), "pairs"))
         if level == SETTLE:
@@ -397,7 +414,7 @@ def link_classes(classes: DataFrame, links: Links) -> None:
             # These are all compared or within a component now.
             proposed = []
         if level >= SETTLE:
-            judged = stored(links.dense_nodes(links.open_nodes(large)), "judged")
+            judged = stored(links.dense_nodes(links.open_nodes(large.drop("root")) if level == SETTLE else large), "judged")
             dense.append(judged.filter("like or most is not null").drop("like"))
             large = judged.filter("not like and most is null").drop("like")
             # What a component leaves behind stays in its node for one more level: compared there if it is small now.
@@ -408,7 +425,7 @@ def link_classes(classes: DataFrame, links: Links) -> None:
                 break
             rows = stored(large.select("node", "cls", "sig").mapInArrow(branch, ROWS).union(odd.select("node", "cls", "sig")), "level")
         else:
-            rows = stored(large.mapInArrow(branch, ROWS), "level")
+            rows = stored(large.drop("root").mapInArrow(branch, ROWS), "level")
         if rows.isEmpty():
             break
     if dense:
