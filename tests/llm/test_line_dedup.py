@@ -139,3 +139,60 @@ def test_texts_go_to_python_in_short_batches(spark, monkeypatch):
     line_dedup.line_report(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e g")], "doc_id long, text string")).collect()
     assert seen["lines"] <= 1024 and seen["sets"] <= 1024
     assert spark.conf.get(key) == before
+
+
+def test_prefix_entries_go_in_bundles(spark, rows, monkeypatch):
+    """Few rows are shuffled, and they hold every entry: word, size, set, document, place and parity map."""
+    shuffled, seen = [], line_dedup.bundles
+    more = [(None, "n1 n2 n3 n4 n5 n6"), (-5, "n1 n2 n3 n4 n5 n6 n7"), (2**62, " ".join(f"n{k}" for k in range(250)))]
+    df = spark.createDataFrame(rows + more, "doc_id long, text string").repartition(5)
+    sent = spark.sparkContext.broadcast(line_dedup.rarity(df))
+    lines = line_dedup.stored(line_dedup.occurrences(df, sent, 80), "lines")
+    expected = {tuple(r) for r in line_dedup.prefix_rows(lines).select("tok", "n", "id", "doc", "spot", "p0", "p1", "p2", "p3").collect()}
+    batches = line_dedup.listed_lines(lines).toArrow().to_batches()
+    for batch in seen(batches, 10, None):
+        shuffled.append(batch)
+    assert sum(b.num_rows for b in shuffled) <= 1024 < len(expected)
+    found, search = set(), line_dedup.search
+
+    def kept(tok, n, ident, doc, spot, parity, *rest):
+        columns = [tok.view("i4"), n, ident, doc, spot, *parity.view("i8").T]
+        found.update(zip(*(c.tolist() for c in columns), strict=True))
+        return search(tok, n, ident, doc, spot, parity, *rest)
+
+    monkeypatch.setattr(line_dedup, "search", kept)
+    monkeypatch.setattr(line_dedup, "GATHER", 50)
+    assert len(list(line_dedup.unbundled(iter(shuffled), 10, 80, 4, 2))) > 10
+    least = {}
+    for tok, n, ident, doc, *more in expected:
+        least[tok, n, ident, *more] = min(doc, least.get((tok, n, ident, *more), doc))
+    assert found == {(tok, n, ident, doc, *more) for (tok, n, ident, *more), doc in least.items()}
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 64])
+def test_long_lines(spark, monkeypatch, chunk):
+    """Lines about the lengths where parity maps become wider, and odd document ids."""
+    monkeypatch.setattr(line_dedup, "CHUNK", chunk)
+    rng = random.Random(11)
+    vocabulary, rows = [f"v{k}" for k in range(900)], []
+    for n in (96, 101, 150, 199, 205, 260, 400):
+        line = rng.sample(vocabulary, n)
+        for cut in (0, 2, 3, n // 12, n // 6, n // 4):
+            words = line[cut:] + rng.sample([f"x{k}" for k in range(300)], rng.randint(0, n // 20))
+            rows.append((rng.choice([-1, 1]) * rng.randrange(2**62), " ".join(rng.sample(words, len(words)))))
+    rows.append((None, rows[3][1] + " more"))
+    got = found(line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert got == brute(rows)
+    assert 10 < sum(len(gone) for _, gone in got.values()) < len(rows) - 7
+
+
+def test_only_wanted_lines_are_read(spark):
+    df = spark.createDataFrame([(k, "\n".join(f"a{k} b{j} c{j} d{k} e{j} f{i}" for i, j in enumerate((k, k + 1)))) for k in range(300)], "doc_id long, text string")
+    sent = spark.sparkContext.broadcast(line_dedup.rarity(df))
+    lines = line_dedup.stored(line_dedup.occurrences(df, sent, 80), "lines")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t", "line")
+    places = lines.filter("line = 1 and doc_id < 10").select(F.col("id1").alias("id"), place.alias("first"))
+    got = line_dedup.words_of(df, places, sent, 80).collect()
+    wanted = {r.id for r in places.collect()}
+    assert wanted <= {r.id for r in got} and len(got) < 20
+    assert all(len(r.words) == r.n == 6 for r in got)
