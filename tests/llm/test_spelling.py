@@ -125,3 +125,18 @@ def test_edge_cases(spark):
     rows = [(1, 1, "x", None, "w"), (2, 2, "x", "", "w"), (3, None, None, "Example EXAMPLE exampl", None), (3, None, None, "Example EXAMPLE exampl", None),
             (4, 7, "", f"{big} {big} 12 exämple exämple", "")]
     assert found(spelling_report(spark.createDataFrame(rows, schema))) == brute([(r[1], r[3]) for r in rows])
+
+
+def test_no_join_broadcasts_words(spark, rows, monkeypatch):
+    plans, stored = [], spelling.stored
+
+    def ran(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(spelling, "stored", lambda df, name: stored(ran(df), name))
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b")) > 1_000_000
+    ran(spelling_report(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sum("Join" in plan for plan in plans) >= 4
+    assert not [plan for plan in plans if "Broadcast" in plan]

@@ -6,6 +6,7 @@ are dealt into ``parts``; two differences touch at most two parts, so near words
 ``parts - 2`` of them. Every such choice is a signature. One edit also leaves the first or the last half of the
 shorter word as it is, so a signature is joined together with that half. Equal keys are joined in Spark and
 each candidate is verified by its edit distance; nothing is capped, and a hot key is split by the join.
+No join sends its words through the driver (see ``MERGE``).
 
 Defined cases: a null or empty text has no words; a null id counts as empty text when runs are damaged; repeated
 rows count each time; ties of the largest count go to the smallest word in code-point order; words of any length
@@ -32,6 +33,9 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Distinct words a task holds before it hands its counts on.
 HELD = 200_000
 DISTANCE = 2
+# Hint of every join on words. Spark would size written words by their compressed files, and the keys of a word as
+# one row, and broadcast tables many times larger than it allows.
+MERGE = "merge"
 
 
 def runs(text: str) -> Counter[str]:
@@ -142,7 +146,7 @@ def near_words(counts: DataFrame, parts: int = 5) -> DataFrame:
     left = rows.select("key", F.col("word").alias("a"), F.col("n").alias("a_n"))
     right = rows.select("key", F.col("word").alias("b"), F.col("n").alias("b_n"))
     apart = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1)
-    pairs = left.join(right, "key").filter(apart & (F.levenshtein("a", "b", 1) == 1))
+    pairs = left.join(right.hint(MERGE), "key").filter(apart & (F.levenshtein("a", "b", 1) == 1))
     return pairs.groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
 
 
@@ -154,7 +158,7 @@ def follow(forms: DataFrame) -> DataFrame:
     chain = forms.select("word", F.col("form").alias("root"))
     while True:
         further = chain.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        moved = chain.join(further, "root", "left")
+        moved = chain.join(further.hint(MERGE), "root", "left")
         chain = stored(moved.select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")), "roots")
         if chain.filter("_moved").isEmpty():
             return chain.drop("_moved")
@@ -174,7 +178,7 @@ def spelling_variants(counts: DataFrame, times: int = 10, parts: int = 5) -> Dat
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("b_n")).alias("minus"), F.col("b").alias("near"))).alias("best")
     )
     enough = -F.col("best.minus") >= times * F.col("n")
-    judged = words.join(best, "word", "left").select(
+    judged = words.join(best.hint(MERGE), "word", "left").select(
         "word",
         "n",
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
@@ -183,7 +187,7 @@ def spelling_variants(counts: DataFrame, times: int = 10, parts: int = 5) -> Dat
     )
     judged = stored(judged, "variants")
     roots = follow(judged.filter("form is not null"))
-    return judged.join(roots, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return judged.join(roots.hint(MERGE), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def spelling_report(docs: DataFrame) -> DataFrame:
